@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import queries_score  # noqa: F401
+from . import queries_arms, queries_score  # noqa: F401
 from .registry import ORACLES, QUERIES, oracle_text, runner
 
 
