@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from .binding import let
 from .urls import WS, trim_ws
 
 # Seconds per unit of a relative phrase (30-day month, 365-day year).
@@ -37,55 +38,63 @@ _HTML_PATTERNS = [
 ]
 
 
-def _in_window(ts: Column, now: Column) -> Column:
-    """Keep instants from the year 2000 up to a day past now, as a DATE."""
-    ok = (F.year(ts) >= 2000) & (ts <= now + F.expr("interval 1 day"))
-    return F.when(ok, F.to_date(ts))
+def _first_in_window(now: Column, *instants: Column) -> Column:
+    """First instant from the year 2000 up to a day past now, as a DATE."""
+    start, end = F.lit("2000-01-01").cast("timestamp"), now + F.expr("interval 1 day")
+    return F.to_date(F.try_element_at(F.filter(F.array(*instants), lambda t: t.between(start, end)), F.lit(1)))
 
 
 def _rolled(year: Column, month: Column, day: Column) -> Column:
     """First of the year plus months plus days, so month 13 or day 31 roll over."""
     first = F.make_date(year, F.lit(1), F.lit(1))
-    return F.date_add(F.add_months(first, month - 1), day - 1)
+    return F.date_add(F.add_months(first, month - 1), day - 1).cast("timestamp")
 
 
-def relative_date(s: Column, now: Column) -> Column:
-    t = trim_ws(F.lower(s))
-    # Seven digits of the smallest unit already lie before 2000.
-    n = F.regexp_extract(t, _RELATIVE, 1)
-    unit = F.regexp_extract(t, _RELATIVE, 2)
-    secs = F.lit(None).cast("bigint")
-    for name, length in UNIT_SECONDS.items():
-        secs = F.when(unit == name, F.lit(length)).otherwise(secs)
-    count = F.when(F.length(n) <= 6, n.try_cast("bigint"))
-    back = F.timestamp_seconds(F.unix_timestamp(now) - count * secs)
-    ts = (
-        F.when(t.rlike(r"^today\b"), now)
-        .when(t.rlike(r"^yesterday\b"), now - F.expr("interval 1 day"))
-        .otherwise(back)
-    )
-    return _in_window(ts, now)
+def _relative(s: Column, now: Column) -> Column:
+    def instant(t: Column) -> Column:
+        # Seven digits of the smallest unit already lie before 2000.
+        n = F.regexp_extract(t, _RELATIVE, 1)
+        units = F.create_map(*[x for k, secs in UNIT_SECONDS.items() for x in (F.lit(k), F.lit(secs))])
+        secs = F.try_element_at(units, F.regexp_extract(t, _RELATIVE, 2))
+        count = F.when(F.length(n) <= 6, n.try_cast("bigint"))
+        return (
+            F.when(t.rlike(r"^today\b"), now)
+            .when(t.rlike(r"^yesterday\b"), now - F.expr("interval 1 day"))
+            .otherwise(F.timestamp_seconds(F.unix_timestamp(now) - count * secs))
+        )
 
+    return let(trim_ws(F.lower(s)), instant)
 
-def wordy_date(s: Column, now: Column) -> Column:
+
+def _wordy(s: Column) -> Column:
     key = F.lower(F.substring(F.regexp_extract(s, _WORDY, 1), 1, 3))
     month = F.array_position(F.array(*[F.lit(m) for m in MONTHS]), key).cast("int")
     day = F.regexp_extract(s, _WORDY, 2).try_cast("int")
     year = F.regexp_extract(s, _WORDY, 3).try_cast("int")
-    ok = (month > 0) & (year >= 1999)
-    return _in_window(F.when(ok, _rolled(year, month, day)).cast("timestamp"), now)
+    return F.when((month > 0) & (year >= 1999), _rolled(year, month, day))
+
+
+def relative_date(s: Column, now: Column) -> Column:
+    return _first_in_window(now, _relative(s, now))
+
+
+def wordy_date(s: Column, now: Column) -> Column:
+    return _first_in_window(now, _wordy(s))
 
 
 def parse_published(raw: Column, now: Column) -> Column:
-    s = trim_ws(raw)
-    iso = _in_window(s.try_cast("timestamp"), now)
-    loose = F.coalesce(relative_date(s, now), wordy_date(s, now))
-    return F.when(s.rlike(r"^\d{4}-\d{2}-\d{2}"), iso).otherwise(loose)
+    """ISO dates as they stand; otherwise a relative phrase, else a written-out date."""
+    def parse(s: Column) -> Column:
+        iso = s.rlike(r"^\d{4}-\d{2}-\d{2}")
+        return _first_in_window(
+            now, F.when(iso, s.try_cast("timestamp")), F.when(~iso, _relative(s, now)), F.when(~iso, _wordy(s))
+        )
+
+    return let(trim_ws(raw), parse)
 
 
 def _from_head(text: Column, chars: int, now: Column) -> Column:
-    head = F.substring(text, 1, chars)
-    return F.coalesce(relative_date(head, now), wordy_date(head, now))
+    return let(F.substring(text, 1, chars), lambda head: _first_in_window(now, _relative(head, now), _wordy(head)))
 
 
 def date_from_snippet(snippet: Column, now: Column) -> Column:
@@ -100,29 +109,30 @@ def date_from_url(url: Column, now: Column) -> Column:
     year = F.regexp_extract(url, _IN_PATH, 1).try_cast("int")
     month = F.regexp_extract(url, _IN_PATH, 2).try_cast("int")
     day = F.coalesce(F.regexp_extract(url, _IN_PATH, 3).try_cast("int"), F.lit(1))
-    return _in_window(F.when(year.isNotNull(), _rolled(year, month, day)).cast("timestamp"), now)
+    return _first_in_window(now, F.when(year.isNotNull(), _rolled(year, month, day)))
 
 
 def date_from_metadata(meta: Column, now: Column) -> Column:
     """Keys match in any case; a later duplicate of a key replaces an earlier one."""
     entries = F.map_entries(meta)
-
-    def value(key: str) -> Column:
-        hits = F.filter(entries, lambda e: F.lower(e["key"]) == key)
-        return F.try_element_at(hits, F.lit(-1))["value"]
-
-    return F.coalesce(*[parse_published(value(k), now) for k in META_KEYS])
+    found = F.transform(
+        F.array(*[F.lit(k) for k in META_KEYS]),
+        lambda k: F.try_element_at(F.filter(entries, lambda e: F.lower(e["key"]) == k), F.lit(-1))["value"],
+    )
+    dated = F.transform(F.filter(found, lambda x: x.isNotNull()), lambda x: parse_published(x, now))
+    return F.try_element_at(F.filter(dated, lambda d: d.isNotNull()), F.lit(1))
 
 
 def date_from_html(html: Column, now: Column) -> Column:
     return F.coalesce(*[parse_published(F.regexp_extract(html, p, 1), now) for p in _HTML_PATTERNS])
 
 
-def date_ladder(now: Column, *rungs: tuple[str, Column]) -> tuple[Column, Column]:
-    """First dated rung and its name."""
-    published = F.coalesce(*[d for _, d in rungs])
-    which = F.coalesce(*[F.when(d.isNotNull(), F.lit(n)) for n, d in rungs], F.lit("none"))
-    return published, which
+def date_ladder(*rungs: tuple[str, Column]) -> Column:
+    """STRUCT<published, dated_by> of the first dated rung; 'none' when there is none."""
+    tried = F.array(*[F.struct(d.alias("published"), F.lit(n).alias("dated_by")) for n, d in rungs])
+    first = F.try_element_at(F.filter(tried, lambda r: r["published"].isNotNull()), F.lit(1))
+    empty = F.struct(F.lit(None).cast("date").alias("published"), F.lit("none").alias("dated_by"))
+    return F.coalesce(first, empty)
 
 
 def age_days(published: Column, now: Column) -> Column:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from .binding import let
 from .stats import half_up
 from .urls import trim_ws
 
@@ -13,53 +14,65 @@ BASELINE_VERDICTS = ["knew", "partial", "wrong", "unknown"]
 
 def unfence_json(text: Column) -> Column:
     """The JSON object inside a code fence or surrounding prose."""
-    s = trim_ws(text)
     fence = r"(?s)^```(?:json)?\s*\n?(.*?)\n?\s*```$"
-    body = trim_ws(F.when(s.rlike(fence), F.regexp_extract(s, fence, 1)).otherwise(text))
-    inner = F.regexp_extract(body, r"(?s)\{.*\}", 0)
-    return F.when(body.startswith("{") | (inner == ""), body).otherwise(inner)
 
+    def inner(body: Column) -> Column:
+        return let(
+            F.regexp_extract(body, r"(?s)\{.*\}", 0),
+            lambda found: F.when(body.startswith("{") | (found == ""), body).otherwise(found),
+        )
+
+    return let(
+        trim_ws(text),
+        lambda s: let(trim_ws(F.when(s.rlike(fence), F.regexp_extract(s, fence, 1)).otherwise(s)), inner),
+    )
+
+
+def is_json(raw: Column) -> Column:
+    """One whole JSON value: the parser alone would let text after it pass."""
+    return F.coalesce(F.json_array_length(F.concat(F.lit("["), raw, F.lit("]"))) == 1, F.lit(False))
 
-def _parsed(raw: Column) -> Column:
-    return F.try_parse_json(raw)
 
+def _parsed(raw: Column, body) -> Column:
+    """``body`` of STRUCT<ok, is_object, rung, score, verdict, rationale>, read in one pass.
+
+    Every field is read as text; JSON numbers and numeric strings become
+    numbers later, anything else does not.
+    """
+    fields = F.from_json(raw, "rung STRING, score STRING, verdict STRING, rationale STRING")
+    obj = F.when(raw.startswith("{"), fields)
+    return let(
+        F.struct((is_json(raw) & (raw != "null")).alias("ok"), obj.alias("f")),
+        lambda x: body(x["ok"], lambda name: x["f"][name]),
+    )
 
-def _readable(raw: Column) -> Column:
-    """Valid JSON that is not the bare word null."""
-    return _parsed(raw).isNotNull() & (trim_ws(raw) != "null")
 
+def _number(text: Column) -> Column:
+    def rounded(n: Column) -> Column:
+        return F.when(~F.isnan(n) & (F.abs(n) < F.lit(float("inf"))), half_up(n))
 
-def _field(raw: Column, name: str) -> Column:
-    return F.try_variant_get(_parsed(raw), f"$.{name}", "string")
+    return let(text.try_cast("double"), rounded)
 
 
-def _number(raw: Column, name: str) -> Column:
-    """JSON numbers and numeric strings only; anything else is null."""
-    n = _field(raw, name).try_cast("double")
-    finite = ~F.isnan(n) & (F.abs(n) < F.lit(float("inf")))
-    return F.when(finite, half_up(n))
+def _verdict(value: Column, rationale: Column) -> Column:
+    return F.struct(value.alias("value"), rationale.alias("rationale"))
 
 
 def parse_scale(raw: Column, field: str, top: int = 3) -> Column:
     """STRUCT<value INT, rationale STRING>; off the 0..top scale is null, never 0."""
-    n = _number(raw, field)
-    ok = n.between(0, top)
-    return (
-        F.when(~_readable(raw), F.struct(F.lit(None).cast("int").alias("value"), F.lit(UNPARSEABLE).alias("rationale")))
-        .when(
-            F.coalesce(ok, F.lit(False)),
-            F.struct(
-                n.cast("int").alias("value"),
-                F.coalesce(_field(raw, "rationale"), F.lit("")).alias("rationale"),
-            ),
-        )
-        .otherwise(
-            F.struct(
-                F.lit(None).cast("int").alias("value"),
-                F.lit(f"judge returned an out-of-range or missing {field}").alias("rationale"),
+    def body(ok: Column, get) -> Column:
+        def typed(n: Column) -> Column:
+            good = ok & F.coalesce(n.between(0, top), F.lit(False))
+            why = (
+                F.when(~ok, UNPARSEABLE)
+                .when(good, F.coalesce(get("rationale"), F.lit("")))
+                .otherwise(f"judge returned an out-of-range or missing {field}")
             )
-        )
-    )
+            return _verdict(F.when(good, n).cast("int"), why)
+
+        return let(_number(get(field)), typed)
+
+    return let(trim_ws(raw), lambda s: _parsed(s, body))
 
 
 def parse_rung(raw: Column) -> Column:
@@ -72,27 +85,28 @@ def parse_set_score(raw: Column) -> Column:
 
 def parse_clamped(raw: Column, unparseable: str = UNPARSEABLE) -> Column:
     """The older 0-10 rule: clamp into range, garbage becomes a 0."""
-    score = F.coalesce(F.greatest(F.lit(0), F.least(F.lit(10), _number(raw, "score"))), F.lit(0))
-    return F.when(
-        _readable(raw),
-        F.struct(
-            score.cast("int").alias("value"),
-            F.coalesce(_field(raw, "rationale"), F.lit("")).alias("rationale"),
-        ),
-    ).otherwise(F.struct(F.lit(0).alias("value"), F.lit(unparseable).alias("rationale")))
+    def body(ok: Column, get) -> Column:
+        score = F.greatest(F.lit(0), F.least(F.lit(10), F.coalesce(_number(get("score")), F.lit(0))))
+        return _verdict(
+            F.when(ok, score).otherwise(0).cast("int"),
+            F.when(ok, F.coalesce(get("rationale"), F.lit(""))).otherwise(unparseable),
+        )
+
+    return let(trim_ws(raw), lambda s: _parsed(s, body))
 
 
 def parse_baseline(raw: Column) -> Column:
-    verdict = F.lower(trim_ws(_field(raw, "verdict")))
-    known = F.coalesce(verdict.isin(BASELINE_VERDICTS), F.lit(False))
-    none = F.lit(None).cast("string")
-    return (
-        F.when(~_readable(raw), F.struct(none.alias("value"), F.lit("grader returned unparseable output").alias("rationale")))
-        .when(
-            known,
-            F.struct(verdict.alias("value"), F.coalesce(_field(raw, "rationale"), F.lit("")).alias("rationale")),
-        )
-        .otherwise(
-            F.struct(none.alias("value"), F.lit("grader returned an unrecognised verdict").alias("rationale"))
-        )
-    )
+    """STRUCT<value STRING, rationale STRING>; the value is one of four words or null."""
+    def body(ok: Column, get) -> Column:
+        def typed(word: Column) -> Column:
+            known = ok & F.coalesce(word.isin(BASELINE_VERDICTS), F.lit(False))
+            why = (
+                F.when(~ok, "grader returned unparseable output")
+                .when(known, F.coalesce(get("rationale"), F.lit("")))
+                .otherwise("grader returned an unrecognised verdict")
+            )
+            return _verdict(F.when(known, word), why)
+
+        return let(F.lower(trim_ws(get("verdict"))), typed)
+
+    return let(trim_ws(raw), lambda s: _parsed(s, body))

@@ -51,6 +51,9 @@ def oracle_text(body: str) -> str:
     if not order:
         return body
     ctes = ",\n".join(f"{n} as ({_text(n)})" for n in order)
+    own = body.lstrip()
+    if own.startswith("with "):
+        return f"with {ctes},\n{own[5:]}"
     return f"with {ctes}\n{body}"
 
 
@@ -68,7 +71,7 @@ def presented(df: DataFrame) -> DataFrame:
             c = c.cast("bigint")
         elif t in ("double", "float", "decimal"):
             c = F.round(c.cast("double"), 6)
-        elif t in ("date", "timestamp"):
+        elif t in ("date", "timestamp", "timestamp_ntz"):
             c = c.cast("string")
         out.append(c.alias(f.name))
     return df.select(*out)

@@ -28,7 +28,7 @@ select event_id as seq, 'r' || cast(cast(ts as date) as string) as run_id,
  't' || cast(user_id % 100 % 6 as string) as type,
  case when user_id % 100 % 2 = 0 then 'sharp' when user_id % 100 % 10 = 5 then null else 'open' end as sharpness,
  case when user_id % 100 % 7 = 6 then null else 'g' || cast(user_id % 100 % 7 as string) end as genre,
- case when event_type = 'error' then case event_id % 3 when 0 then 'fetch failed' when 1 then '402 payment required'
+ case when event_type = 'error' then case cast(floor(value * 100) as bigint) % 3 when 0 then 'fetch failed' when 1 then '402 payment required'
    else '500 from provider' end end as error,
  case when event_type = 'error' then case event_id % 5 when 0 then 'judge' when 1 then null else 'provider' end end as error_stage,
  case when event_type <> 'error' then cast(floor(value * 100) as bigint) end as fetch_ms,
@@ -92,6 +92,20 @@ select o_orderkey as seq, 'q' || cast(o_orderkey as string) as id, o_orderpriori
     "reuse_entries": """
 select event_id as seq, 'p' || cast(event_id % 4 as string) as provider, 'ask ' || cast(user_id as string) as query,
  'all' as freshness, 8 as num_sources, 'clean' as extraction, 0 as seed, ts as fetched_at from {events}""",
+    "doc_texts": """
+select doc_id, 'p' || cast(doc_id % 8 as string) as provider, lang, source,
+ case doc_id % 7 when 0 then '# Title' || chr(10) || text when 1 then text || '…'
+  when 2 then text || chr(10) || '|---|:--|' when 3 then 'see [a](http://x.y) ![i ' || text
+  when 4 then '* [Home](/home)' || chr(13) || chr(10) || '  [News](/n)  ' || chr(10) || chr(10) || chr(10) || chr(10) || text || chr(10) || chr(10) || chr(10) || '**end**  '
+  when 5 then '' else '- item' || chr(10) || text end as content
+from {documents}""",
+    "provider_costs": """
+select 'p' || cast(p_partkey % 8 as string) as provider, avg(p_retailprice) / 1000 as usd_per_query,
+ sum(p_retailprice) / 1000 as usd_for_run, count(*) as calls from {part} group by 1""",
+    "baseline_log": """
+select o_orderkey as seq, 'q' || cast(o_custkey as string) as query_id, 'g' || cast(o_orderkey % 3 as string) as grader,
+ case cast(floor(o_totalprice) as bigint) % 5 when 0 then 'knew' when 1 then 'partial' when 2 then 'wrong' when 3 then 'unknown' end as verdict,
+ case when o_orderkey % 31 = 0 then 'timed out' end as error from {orders}""",
     "part_points": """
 select p_partkey, 'v' || cast(p_partkey as string) as provider, p_retailprice as cost, avg(l_quantity) as rating
 from {part} join {lineitem} on p_partkey = l_partkey group by p_partkey, p_retailprice""",
