@@ -30,7 +30,8 @@ def stated_numbers(pages: DataFrame, key: str, html: str) -> DataFrame:
 
 
 def _fixed(n: Column, places: int) -> Column:
-    return F.regexp_replace(F.format_number(n, places), ",", "")
+    """Plain decimals, halves away from zero."""
+    return F.regexp_replace(F.format_number(F.round(n, places), places), ",", "")
 
 
 def renderings(values: DataFrame, col: str = "n") -> DataFrame:

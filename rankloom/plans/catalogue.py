@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import queries_arms, queries_report, queries_score, queries_sources, queries_text  # noqa: F401
+from . import queries_arms, queries_report, queries_score, queries_sources, queries_streams, queries_text  # noqa: F401
 from .registry import ORACLES, QUERIES, oracle_text, runner
 
 

@@ -34,29 +34,27 @@ def split_corrupt(df: DataFrame, on_corrupt: str) -> DataFrame | tuple[DataFrame
     return good, df.where(bad).select(F.col(CORRUPT).alias("line"))
 
 
+def _typed(lines: DataFrame, col: str, schema: str, *carry: str) -> DataFrame:
+    """Fields of each JSON line, with the line itself where it does not parse."""
+    parsed = F.from_json(F.col(col), f"{schema}, {CORRUPT} STRING", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT})
+    return lines.where(F.trim(F.col(col)) != "").select(*carry, parsed.alias("_p")).select(*carry, "_p.*")
+
+
 def parse_lines(lines: DataFrame, col: str, schema: str, on_corrupt: str = "fail", *carry: str):
     """Log rows from a column of JSON lines under an explicit schema. Blank lines are no rows."""
-    parsed = F.from_json(F.col(col), f"{schema}, {CORRUPT} STRING", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT})
-    rows = lines.where(F.trim(F.col(col)) != "").select(*carry, parsed.alias("_p")).select(*carry, "_p.*")
-    return split_corrupt(_columns(rows), on_corrupt)
+    return split_corrupt(_columns(_typed(lines, col, schema, *carry)), on_corrupt)
 
 
 def scan_log(spark: SparkSession, path: str, name: str, on_corrupt: str = "fail"):
     """A JSON-lines log by name. Lines without ``seq`` get one from their place in the files."""
-    schema = LOGS[name]
-    has_seq = "seq BIGINT" in schema
-    df = (
-        spark.read.schema(f"{schema}, {CORRUPT} STRING")
-        .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT).json(path)
-    )
-    if not has_seq:
-        df = df.withColumn("seq", F.lit(None).cast("bigint"))
     place = F.struct(
-        F.unix_micros("_metadata.file_modification_time"), "_metadata.file_name", "_metadata.file_block_start",
-        F.monotonically_increasing_id(),
+        F.unix_micros("_metadata.file_modification_time").alias("t"), F.col("_metadata.file_name").alias("file"),
+        F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"),
     )
-    df = with_seq(df.withColumn("_place", place), "_place").drop("_place")
-    return split_corrupt(_columns(df), on_corrupt)
+    df = _typed(spark.read.text(path).select("value", place.alias("_place")), "value", LOGS[name], "_place")
+    if "seq" not in df.columns:
+        df = df.withColumn("seq", F.lit(None).cast("bigint"))
+    return split_corrupt(_columns(with_seq(df, "_place").drop("_place")), on_corrupt)
 
 
 def with_seq(df: DataFrame, place: str) -> DataFrame:
@@ -66,8 +64,8 @@ def with_seq(df: DataFrame, place: str) -> DataFrame:
     rows are numbered per block and blocks are offset by the sizes before them.
     Only the list of blocks (one row per file split) is ordered as a whole.
     """
-    block = [F.col(f"{place}.{f}") for f in df.schema[place].dataType.fieldNames()[:3]]
-    rows = df.withColumn("_block", F.struct(*block)).withColumn("_id", F.col(place)[df.schema[place].dataType.fieldNames()[3]])
+    block = F.struct(*[F.col(f"{place}.{f}") for f in ("t", "file", "block")])
+    rows = df.withColumns({"_block": block, "_id": F.col(f"{place}.id")})
     sizes = rows.groupBy("_block").agg(F.count(F.lit(1)).alias("_n"))
     offsets = sizes.withColumn("_from", F.sum("_n").over(Window.orderBy("_block")) - F.col("_n")).drop("_n")
     inside = F.row_number().over(Window.partitionBy("_block").orderBy("_id"))
