@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from .binding import let
+
 WS = r"[\s\u00a0]"
 _EDGE_WS = rf"^{WS}+|{WS}+$"
 # scheme, user info, host, port, path, query, fragment
 _PARTS = r"(?is)^(https?|wss?|ftp)://([^/?#@]*@)?(\[[^\]]*\]|[^/?#:@\s<>^|%]+)(:\d*)?(/[^?#]*)?(\?[^#]*)?(#.*)?$"
 # Parameters that never identify a different page.
 _TRACKING = r"(?i)^(utm_[^=]*|fbclid|gclid|mc_cid|mc_eid|igshid)(=.*)?$"
+_MARK = "\u0001"
 # Default port of each scheme.
 _DEFAULT_PORTS = {"http": ":80", "https": ":443", "ws": ":80", "wss": ":443", "ftp": ":21"}
 
@@ -18,31 +21,39 @@ def trim_ws(x: Column) -> Column:
     return F.regexp_replace(x, _EDGE_WS, "")
 
 
+def _split_url(s: Column) -> Column:
+    """[scheme, user, host, port, path, query, fragment] in one match; one element when it does not parse."""
+    marks = _MARK.join(f"${i}" for i in range(1, 8))
+    return F.split(F.regexp_replace(s, _PARTS, marks), _MARK)
+
+
+def _without_tracking(query: Column) -> Column:
+    def clean(params: Column) -> Column:
+        def joined(kept: Column) -> Column:
+            rest = F.array_join(F.filter(kept, lambda p: p != ""), "&")
+            return F.when(F.size(kept) == F.size(params), query).when(rest == "", "").otherwise(F.concat(F.lit("?"), rest))
+
+        return let(F.filter(params, lambda p: ~p.rlike(_TRACKING)), joined)
+
+    return F.when(query == "", "").otherwise(let(F.split(F.substring(query, 2, 1 << 30), "&"), clean))
+
+
 def normalize_url(raw: Column) -> Column:
     """One key per page: no fragment, no tracking parameters, lower-case host,
     no default port, one trailing slash less. Anything that does not parse
     comes back trimmed. Other percent-encoding is left as it is.
     """
-    s = trim_ws(raw)
-
-    def part(i: int) -> Column:
-        return F.regexp_extract(s, _PARTS, i)
-
-    scheme, port, query = F.lower(part(1)), part(4), part(6)
-    is_default = F.lit(False)
-    for name, p in _DEFAULT_PORTS.items():
-        is_default = is_default | ((scheme == name) & (port == p))
-    port = F.when(is_default | (port == ":"), "").otherwise(port)
-    path = F.when(part(5) == "", "/").otherwise(part(5))
-    params = F.split(F.substring(query, 2, 1 << 30), "&")
-    kept = F.filter(params, lambda p: ~p.rlike(_TRACKING))
-    dropped = F.size(kept) < F.size(params)
-    cleaned = F.array_join(F.filter(kept, lambda p: p != ""), "&")
-    search = (
-        F.when(~dropped, query).when(cleaned == "", "").otherwise(F.concat(F.lit("?"), cleaned))
-    )
-    whole = F.concat(scheme, F.lit("://"), part(2), F.lower(part(3)), port, path, search)
-    return F.when(s.rlike(_PARTS), F.regexp_replace(whole, "/$", "")).otherwise(s)
+    ports = F.create_map(*[F.lit(x) for kv in _DEFAULT_PORTS.items() for x in kv])
+
+    def rebuilt(p: Column) -> Column:
+        scheme, port = F.lower(p[0]), p[3]
+        shown = F.when((port == ":") | (port == F.try_element_at(ports, scheme)), "").otherwise(port)
+        whole = F.concat(
+            scheme, F.lit("://"), p[1], F.lower(p[2]), shown, F.when(p[4] == "", "/").otherwise(p[4]), _without_tracking(p[5])
+        )
+        return F.regexp_replace(whole, "/$", "")
+
+    return let(trim_ws(raw), lambda s: let(_split_url(s), lambda p: F.when(F.size(p) == 7, rebuilt(p)).otherwise(s)))
 
 
 def host(url: Column) -> Column:

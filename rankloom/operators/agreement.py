@@ -5,35 +5,39 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 
-def declared_pairs(judges: list[str]) -> Column:
-    """Unordered pairs of the declared panel; a label used twice is an error."""
+def check_labels(judges: list[str]) -> None:
     if len(set(judges)) != len(judges):
         raise ValueError(f"two judges share a label: {judges}")
+
+
+def declared_pairs(judges: list[str]) -> Column:
+    """Unordered pairs of the declared panel; a label used twice is an error."""
+    check_labels(judges)
     pairs = [(a, b) for i, a in enumerate(judges) for b in judges[i + 1:]]
     return F.array(*[F.struct(F.lit(a).alias("judge_a"), F.lit(b).alias("judge_b")) for a, b in pairs])
 
 
-def ratings_by_page(judgements: DataFrame, judges: list[str], *carry: str) -> DataFrame:
-    """One map judge -> rung per page, built once for all judge pairs.
-
-    A page has at most one row per declared judge, so the map is panel-sized.
-    """
+def ratings_wide(judgements: DataFrame, judges: list[str], *carry: str) -> DataFrame:
+    """One row per page with a column r0, r1, ... per declared judge."""
     rated = judgements.where(F.col("rung").isNotNull() & F.col("judge").isin(*judges))
-    per_page = [F.max(F.when(F.col("judge") == j, F.col("rung"))).alias(f"_r{i}") for i, j in enumerate(judges)]
-    wide = rated.groupBy("query_id", "url", *carry).agg(*per_page)
-    ratings = F.create_map(*[x for i, j in enumerate(judges) for x in (F.lit(j), F.col(f"_r{i}"))])
-    return wide.select("query_id", "url", *carry, ratings.alias("ratings"))
+    return rated.groupBy("query_id", "url", *carry).agg(
+        *[F.max(F.when(F.col("judge") == j, F.col("rung"))).alias(f"r{i}") for i, j in enumerate(judges)]
+    )
 
 
 def contingency(judgements: DataFrame, judges: list[str], *by: str) -> DataFrame:
-    """Count of pages per (pair, rung a, rung b), optionally within a tag."""
-    pairs = ratings_by_page(judgements, judges, *by).withColumn("pair", F.explode(declared_pairs(judges)))
+    """Count of pages per (pair, rung a, rung b), optionally within a tag.
+
+    Pages are shuffled once for all pairs; pairs come from the declared panel.
+    """
+    check_labels(judges)
+    n = len(judges)
+    pairs = F.array(*[
+        F.struct(F.lit(judges[i]).alias("judge_a"), F.lit(judges[k]).alias("judge_b"), F.col(f"r{i}").alias("a"), F.col(f"r{k}").alias("b"))
+        for i in range(n) for k in range(i + 1, n)
+    ])
     return (
-        pairs.select(
-            *by, "pair.judge_a", "pair.judge_b",
-            F.col("ratings")[F.col("pair.judge_a")].alias("a"),
-            F.col("ratings")[F.col("pair.judge_b")].alias("b"),
-        )
+        ratings_wide(judgements, judges, *by).select(*by, F.inline(pairs))
         .where(F.col("a").isNotNull() & F.col("b").isNotNull())
         .groupBy(*by, "judge_a", "judge_b", "a", "b")
         .agg(F.count(F.lit(1)).alias("c"))

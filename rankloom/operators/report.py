@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..functions import text as T
 from ..functions.errors import failed, stage_of
 from ..functions.stats import percent, share, sign_test_p
-from .agreement import declared_pairs, ratings_by_page
+from .agreement import declared_pairs, ratings_wide
 from .ranks import floor_quantiles
 
 FULL, HALF = 2.5, 1.5
@@ -40,12 +40,12 @@ def rated_pages(returned: DataFrame, judgements: DataFrame, judges: list[str]) -
     Both inputs carry normalised URLs. The panel is declared, never inferred:
     a page counts as fully rated only when every declared judge rated it.
     """
-    ratings = ratings_by_page(judgements, judges)
-    vals = F.filter(F.map_values("ratings"), lambda r: r.isNotNull())
-    rated = ratings.select(
-        "query_id", "url", F.size(vals).alias("n_ratings"),
-        (F.aggregate(vals, F.lit(0).cast("bigint"), lambda s, x: s + x) / F.size(vals)).alias("page_mean"),
-        (F.array_max(vals) - F.array_min(vals)).alias("spread"),
+    r = [F.col(f"r{i}") for i in range(len(judges))]
+    n = sum(x.isNotNull().cast("int") for x in r)
+    total = sum(F.coalesce(x, F.lit(0)) for x in r)
+    widest = F.greatest(*r) - F.least(*r) if len(r) > 1 else F.lit(0)
+    rated = ratings_wide(judgements, judges).select(
+        "query_id", "url", n.alias("n_ratings"), (total / n).alias("page_mean"), widest.alias("spread")
     )
     out = returned.select("query_id", "provider", "url").distinct().join(rated, ["query_id", "url"], "left")
     return out.withColumn("n_ratings", F.coalesce("n_ratings", F.lit(0))).withColumn(

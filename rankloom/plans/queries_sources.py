@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..operators import pages as pages_ops
 from ..operators import pool
+from ..session import shared_dir
 from ..sources import logs, nested, payloads, question_sets, reuse, serp
 from .queries_arms import batch_rows, run_arms
 from .queries_text import _DATED, _DETAG
@@ -43,6 +46,28 @@ def s03b(v):
     return bad.agg(F.count(F.lit(1)).alias("n_bad"), F.count_if(F.col("line").endswith("}")).alias("n_whole"))
 
 
+def _area(v: Views, name: str) -> str:
+    return f"{shared_dir(v.spark)}/logs/{name}-{uuid.uuid4().hex}"
+
+
+@query("s04_append_log", "select seq, run_id, query_id, provider, error from fetch_log")
+def s04(v):
+    path = _area(v, "s04")
+    rows = v.fetch_log.select("seq", "run_id", "query_id", "provider", "error")
+    for part in (F.col("error").isNull(), F.col("error").isNotNull()):
+        logs.append(rows.where(part), path, partition_by=("run_id",))
+    return v.spark.read.schema(rows.schema).parquet(path)
+
+
+@query("s05_summary_snapshot", "select provider, count(*) as n, count(error) as n_errors from fetch_log group by 1")
+def s05(v):
+    path = _area(v, "s05")
+    summary = v.fetch_log.groupBy("provider").agg(F.count(F.lit(1)).alias("n"), F.count("error").alias("n_errors"))
+    logs.write_snapshot(summary.limit(0), path)
+    logs.write_snapshot(summary, path)
+    return v.spark.read.schema(summary.schema).json(path)
+
+
 _MIXED = (
     "seq BIGINT, mode STRING, id STRING, batchId STRING, ts STRING, query STRING, winner STRING, "
     "arms ARRAY<STRUCT<id STRING, provider STRING>>, row STRUCT<queryId STRING, type STRING, provider STRING, retrieval_score DOUBLE, error STRING>"
