@@ -171,10 +171,10 @@ def first_day_progress(log: DataFrame, controls=("plain",)) -> DataFrame:
     """Rows per provider on the first day, and whether it had none later."""
     dated = log.withColumn("day", F.to_date("fetched_at")).where("day is not null")
     first = dated.agg(F.min("day").alias("d")).scalar()
-    on_first = F.col("day") == first
+    mine = dated.where(~F.col("provider").isin(*controls)).withColumn("_first", F.col("day") == first)
     return (
-        dated.where(~F.col("provider").isin(*controls)).groupBy("provider")
-        .agg(F.count_if(on_first).alias("first_day_rows"), F.bool_and(on_first).alias("finished_first_day"))
+        mine.groupBy("provider")
+        .agg(F.count_if("_first").alias("first_day_rows"), F.bool_and("_first").alias("finished_first_day"))
         .where("first_day_rows > 0")
     )
 

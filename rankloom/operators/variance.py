@@ -29,18 +29,18 @@ def variance_shares(cells: DataFrame) -> DataFrame:
     n_cells = total.select("n").scalar()
 
     def spread(df: DataFrame):
-        return df.agg(F.sum(F.col("n") * F.pow(F.col("m") - grand, F.lit(2)))).scalar()
+        return df.withColumn("_off", F.col("m") - grand).agg(F.sum(F.col("n") * F.col("_off") * F.col("_off"))).scalar()
 
     per_query = level("query_id").select("query_id", F.col("m").alias("mq"))
     per_provider = level("provider").select("provider", F.col("m").alias("mp"))
     per_judge = cells.groupBy("judge").agg(F.count("value").alias("n"), F.avg("value").alias("m"))
     mixed = qp.join(per_query, "query_id").join(per_provider, "provider")
-    inter = F.col("m") - F.col("mq") - F.col("mp") + grand
+    mixed = mixed.withColumn("_off", F.col("m") - F.col("mq") - F.col("mp") + grand)
     ss = {
         "provider": spread(level("provider")),
         "query": spread(level("query_id")),
         "judge": spread(per_judge),
-        "provider_by_query": mixed.agg(F.sum(F.col("n") * inter * inter)).scalar(),
+        "provider_by_query": mixed.agg(F.sum(F.col("n") * F.col("_off") * F.col("_off"))).scalar(),
     }
     out = cells.sparkSession.range(1).select(
         n_cells.alias("n_cells"), ss_total.alias("total"), *[x.alias(k) for k, x in ss.items()]

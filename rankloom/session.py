@@ -27,6 +27,9 @@ def build_session(app: str = "rankloom", cores: str = "*", shuffle_partitions: i
     return spark
 
 
+_LOCAL: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach, named by the cluster in spark.checkpoint.dir.
 
@@ -35,9 +38,10 @@ def shared_dir(spark: SparkSession) -> str:
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured
-    local = tempfile.mkdtemp(prefix="spark-rankloom-", dir="/tmp")
-    spark.conf.set("spark.checkpoint.dir", local)
-    return local
+    app = spark.sparkContext.applicationId
+    if app not in _LOCAL:
+        _LOCAL[app] = tempfile.mkdtemp(prefix="spark-rankloom-", dir="/tmp")
+    return _LOCAL[app]
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:

@@ -6,7 +6,7 @@ rejects table with the reason; nothing is dropped silently.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.labels import TYPE_ORDER
 from ..functions.urls import trim_ws
@@ -48,9 +48,13 @@ def _present(v: Column, path: str) -> Column:
 
 
 def _with_duplicates(df: DataFrame, scope: list[str]) -> DataFrame:
-    """Marks an id already used by an earlier entry of the same set."""
-    first = F.min("pos").over(Window.partitionBy(*scope, "id"))
-    return df.withColumn("_dup", F.col("pos") > first)
+    """Marks an id already used by an earlier entry of the same set.
+
+    First uses are aggregated before the join, so an id that fills a set is
+    one row there.
+    """
+    first = df.groupBy(*scope, "id").agg(F.min("pos").alias("_first"))
+    return df.join(first, [*scope, "id"]).withColumn("_dup", F.col("pos") > F.col("_first"))
 
 
 def _split(df: DataFrame, keep: list[str], scope: list[str]) -> tuple[DataFrame, DataFrame]:
