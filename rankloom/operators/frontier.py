@@ -15,7 +15,8 @@ RANGES = 256
 
 
 def dominance(points: DataFrame, cost: str = "cost", rating: str = "rating", ranges: int = RANGES) -> DataFrame:
-    """Adds ``beaten``. Points equal on both axes do not beat one another."""
+    """Adds ``beaten``. Points equal on both axes do not beat one another; unpriced or unrated ones take no part."""
+    points = points.where(F.col(cost).isNotNull() & F.col(rating).isNotNull())
     per_cost = points.groupBy(cost).agg(F.max(rating).alias("_best"))
     marks = [i / ranges for i in range(1, ranges)]
     edges = per_cost.agg(F.percentile_approx(cost, marks, 10 * ranges)).scalar()

@@ -41,11 +41,16 @@ def _bucket(v: Column) -> Column:
 def values_at(df: DataFrame, keys: list[str], value: str, picks: dict[str, Rank]) -> DataFrame:
     """One row per key: ``n`` and the value at each named rank. Keys must not be null."""
     v = F.col(value).cast("double")
+    present = v.isNotNull()
+    for k in keys:
+        present = present & F.col(k).isNotNull()
+    # Both uses below carry these filters already, so they share one shuffle.
     counts = (
-        df.where(v.isNotNull())
+        df.where(present)
         .groupBy(*keys, v.alias("_v"))
         .agg(F.count(F.lit(1)).alias("_c"))
         .withColumn("_b", _bucket(F.col("_v")))
+        .where(F.col("_b").isNotNull())
     )
     per_key = Window.partitionBy(*keys)
     buckets = (

@@ -161,6 +161,13 @@ def latency_table(log: DataFrame, controls=("plain",)) -> DataFrame:
     return q.join(top, "provider")
 
 
+def control_attempts(log: DataFrame, controls=("plain",)) -> DataFrame:
+    """Attempts of the control providers, which are counted but never scored."""
+    return log.where(F.col("provider").isin(*controls)).groupBy("provider").agg(
+        F.count(F.lit(1)).alias("attempts"), F.count_if(failed(F.col("error"))).alias("failed")
+    )
+
+
 def run_window(log: DataFrame) -> DataFrame:
     """First and last fetch day of the run and how many distinct days it took."""
     days = log.select(F.to_date("fetched_at").alias("day")).where("day is not null").distinct()

@@ -13,9 +13,13 @@ RELEVANT_AT = 2
 
 
 def panel_means(judgements: DataFrame) -> DataFrame:
-    """Mean rung of each question-and-page pair over the judges that gave one."""
+    """Mean rung of each question-and-page pair over the judges that gave one.
+
+    Key filters are spelled out so that every use of the panel plans the same
+    shuffle and Spark runs it once.
+    """
     return (
-        judgements.where(F.col("rung").isNotNull())
+        judgements.where("rung is not null and query_id is not null and url is not null")
         .groupBy("query_id", "url")
         .agg(F.avg("rung").alias("mean_rung"))
     )

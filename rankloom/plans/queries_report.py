@@ -171,6 +171,11 @@ def a34b(v):
     return report.first_day_progress(v.fetch_log, controls=("p7",))
 
 
+@query("a34_control_attempts", "select provider, count(*) as attempts, count(error) as failed from fetch_log where provider = 'p7' group by 1")
+def a34c(v):
+    return report.control_attempts(v.fetch_log, controls=("p7",))
+
+
 @query("a43_completeness", """
 select provider, count(*) filter (error is null) as clean, count(error) as failed,
  count(*) filter (error is not null and error_stage = 'provider') as failed_provider,
@@ -484,10 +489,14 @@ def u04(v):
 
 @query("u06_ratio_forms", """
 select distinct cast(cast(floor(a.usd_per_query / b.usd_per_query + 0.5) as bigint) as varchar) as form from provider_costs a cross join provider_costs b
-union select distinct cast(cast(floor(a.p50_ms / b.p50_ms + 0.5) as bigint) as varchar) from latency a cross join latency b""")
+union select distinct cast(cast(floor(a.p50_ms / b.p50_ms + 0.5) as bigint) as varchar) from latency a cross join latency b
+union select distinct unnest([printf('%.0f', round(p50_ms / 1000, 0)), printf('%.1f', round(p50_ms / 1000, 1)), printf('%.0f', round(p90_ms / 1000, 0)),
+ printf('%.1f', round(p90_ms / 1000, 1)), printf('%.0f', round(max_ms / 1000, 0)), printf('%.1f', round(max_ms / 1000, 1))]) from latency""")
 def u06(v):
-    a = audit.ratio_forms(v.provider_costs, "usd_per_query")
-    return a.union(audit.ratio_forms(latency(v), "p50_ms")).distinct()
+    waits = latency(v)
+    costs = audit.ratio_forms(v.provider_costs, "usd_per_query")
+    forms = costs.union(audit.ratio_forms(waits, "p50_ms")).union(audit.second_forms(waits, "p50_ms", "p90_ms", "max_ms"))
+    return forms.distinct()
 
 
 @query("u07_shared_verbatim", """

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import errors as E
 from ..functions.stats import ci95, mean0, pearson, std0
 from ..operators import agreement, dims, latest, ranks, score, variance
+from ..session import staged
 from .registry import query, step
 from .views import JUDGES, PROVIDERS, Views
 
@@ -101,6 +102,11 @@ def cells(v: Views):
     return score.judge_cells(fetches(v), v.fetch_pages, judgements(v))
 
 
+def staged_cells(v: Views):
+    """Written once: the shares read the cells at five grains."""
+    return staged(cells(v), "cells")
+
+
 # --- D: dedupe --------------------------------------------------------------
 
 _FETCH_OUT = ["seq", "query_id", "provider", "type", "error", "error_stage", "fetch_ms"]
@@ -381,7 +387,7 @@ select round(provider / total, 6) as provider, round(query / total, 6) as query,
  round(provider_by_query / total, 6) as provider_by_query,
  round(greatest(0, total - provider - query - judge - provider_by_query) / total, 6) as residual, n_cells from variance""")
 def a19(v):
-    return variance.variance_shares(cells(v))
+    return variance.variance_shares(staged_cells(v))
 
 
 @query("a20_variance_cells", 'select query_id, provider, judge, round("value", 6) as "value" from cells')
@@ -402,7 +408,7 @@ def a21(v):
 select round(provider / total, 6) as provider, round(provider_by_query / total, 6) as provider_by_query,
  n_cells > 0 and provider / total < 0.05 and provider_by_query > provider * 2 as map_not_ranking from variance""")
 def a50(v):
-    return variance.map_not_ranking(variance.variance_shares(cells(v)))
+    return variance.map_not_ranking(variance.variance_shares(staged_cells(v)))
 
 
 # --- J: matrices and resume -------------------------------------------------
