@@ -7,7 +7,8 @@ from pyspark.sql import Column, functions as F
 from .binding import let
 
 WS = r"[\s\u00a0]"
-_EDGE_WS = rf"^{WS}+|{WS}+$"
+# Every character that counts as white space at the edges of a text.
+EDGE_WS = " \t\n\u000b\f\r\u00a0\ufeff\u1680\u2028\u2029\u202f\u205f\u3000" + "".join(chr(c) for c in range(0x2000, 0x200B))
 # scheme, user info, host, port, path, query, fragment
 _PARTS = r"(?is)^(https?|wss?|ftp)://([^/?#@]*@)?(\[[^\]]*\]|[^/?#:@\s<>^|%]+)(:\d*)?(/[^?#]*)?(\?[^#]*)?(#.*)?$"
 # Parameters that never identify a different page.
@@ -18,7 +19,7 @@ _DEFAULT_PORTS = {"http": ":80", "https": ":443", "ws": ":80", "wss": ":443", "f
 
 
 def trim_ws(x: Column) -> Column:
-    return F.regexp_replace(x, _EDGE_WS, "")
+    return F.btrim(x, F.lit(EDGE_WS))
 
 
 def _split_url(s: Column) -> Column:

@@ -16,16 +16,15 @@ def unfence_json(text: Column) -> Column:
     """The JSON object inside a code fence or surrounding prose."""
     fence = r"(?s)^```(?:json)?\s*\n?(.*?)\n?\s*```$"
 
-    def inner(body: Column) -> Column:
-        return let(
-            F.regexp_extract(body, r"(?s)\{.*\}", 0),
-            lambda found: F.when(body.startswith("{") | (found == ""), body).otherwise(found),
-        )
+    def braces(body: Column) -> Column:
+        found = let(F.regexp_extract(body, r"(?s)\{.*\}", 0), lambda x: F.when(x == "", body).otherwise(x))
+        return F.when(body.startswith("{"), body).otherwise(found)
+
+    def opened(s: Column) -> Column:
+        fenced = F.when(s.startswith("```") & s.rlike(fence), trim_ws(F.regexp_extract(s, fence, 1))).otherwise(s)
+        return F.when(s.startswith("{"), s).otherwise(let(fenced, braces))
 
-    return let(
-        trim_ws(text),
-        lambda s: let(trim_ws(F.when(s.rlike(fence), F.regexp_extract(s, fence, 1)).otherwise(s)), inner),
-    )
+    return let(trim_ws(text), opened)
 
 
 def is_json(raw: Column) -> Column:
@@ -33,18 +32,25 @@ def is_json(raw: Column) -> Column:
     return F.coalesce(F.json_array_length(F.concat(F.lit("["), raw, F.lit("]"))) == 1, F.lit(False))
 
 
+_FIELDS = "ARRAY<STRUCT<rung: STRING, score: STRING, verdict: STRING, rationale: STRING>>"
+
+
 def _parsed(raw: Column, body) -> Column:
-    """``body`` of STRUCT<ok, is_object, rung, score, verdict, rationale>, read in one pass.
+    """``body`` of (is it JSON, field reader), an object being read in one pass.
 
-    Every field is read as text; JSON numbers and numeric strings become
-    numbers later, anything else does not.
+    It is read as the only element of an array, so text after the object makes
+    it unreadable. Every field is read as text; JSON numbers and numeric
+    strings become numbers later, anything else does not.
     """
-    fields = F.from_json(raw, "rung STRING, score STRING, verdict STRING, rationale STRING")
-    obj = F.when(raw.startswith("{"), fields)
-    return let(
-        F.struct((is_json(raw) & (raw != "null")).alias("ok"), obj.alias("f")),
-        lambda x: body(x["ok"], lambda name: x["f"][name]),
-    )
+    wrapped = F.from_json(F.concat(F.lit("["), raw, F.lit("]")), _FIELDS)
+    objects = F.when(raw.startswith("{"), wrapped)
+
+    def read(found: Column) -> Column:
+        one = F.size(found) == 1
+        other = ~raw.startswith("{") & (raw != "null") & is_json(raw)
+        return body(F.coalesce(one, F.lit(False)) | other, lambda name: F.try_element_at(found, F.lit(1))[name])
+
+    return let(objects, read)
 
 
 def _number(text: Column) -> Column:
