@@ -50,49 +50,54 @@ def land(rows: DataFrame, checkpoint: str, out: str) -> StreamingQuery:
 
 # --- dead provider -------------------------------------------------------------
 
-class _DeadProvider(StatefulProcessor):
-    """Remembers the smallest failing positions until a success is seen.
-
-    Rows of a micro-batch may come in any order, so the decision is taken on
-    positions: the provider is dead at its n-th failure if no success precedes
-    it. At most ``limit`` positions are held per key.
-    """
-
-    def __init__(self, limit: int):
-        self.limit = limit
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("tally", "fails array<bigint>, settled boolean")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        fails, settled = ([], False)
-        if self.state.exists():
-            saved = self.state.get()
-            fails, settled = list(saved[0]), saved[1]
-        first_ok = None
-        for batch in rows:
-            ok = batch.loc[~batch["bad"], "seq"]
-            if len(ok):
-                first_ok = int(ok.min()) if first_ok is None else min(first_ok, int(ok.min()))
-            fails = heapq.nsmallest(self.limit, fails + batch.loc[batch["bad"], "seq"].astype(int).tolist())
-        if not settled:
-            before = fails if first_ok is None else [s for s in fails if s < first_ok]
-            if len(before) == self.limit:
-                settled = True
-                yield pd.DataFrame({"run_id": [key[0]], "provider": [key[1]], "dead_at": [before[-1]]})
-            elif first_ok is not None:
-                settled = True
-        self.state.update(([] if settled else [int(s) for s in fails], settled))
-
-    def close(self) -> None:
-        pass
+def _dead_provider(limit: int) -> StatefulProcessor:
+    """Built here so that the class travels with the job; workers need not have the package."""
+
+    class DeadProvider(StatefulProcessor):
+        """Remembers the smallest failing positions until a success is seen.
+
+        Rows of a micro-batch may come in any order, so the decision is taken on
+        positions: the provider is dead at its n-th failure if no success precedes
+        it. At most ``limit`` positions are held per key.
+        """
+
+        def __init__(self, limit: int):
+            self.limit = limit
+
+        def init(self, handle: StatefulProcessorHandle) -> None:
+            self.state = handle.getValueState("tally", "fails array<bigint>, settled boolean")
+
+        def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+            fails, settled = ([], False)
+            if self.state.exists():
+                saved = self.state.get()
+                fails, settled = list(saved[0]), saved[1]
+            first_ok = None
+            for batch in rows:
+                ok = batch.loc[~batch["bad"], "seq"]
+                if len(ok):
+                    first_ok = int(ok.min()) if first_ok is None else min(first_ok, int(ok.min()))
+                fails = heapq.nsmallest(self.limit, fails + batch.loc[batch["bad"], "seq"].astype(int).tolist())
+            if not settled:
+                before = fails if first_ok is None else [s for s in fails if s < first_ok]
+                if len(before) == self.limit:
+                    settled = True
+                    yield pd.DataFrame({"run_id": [key[0]], "provider": [key[1]], "dead_at": [before[-1]]})
+                elif first_ok is not None:
+                    settled = True
+            self.state.update(([] if settled else [int(s) for s in fails], settled))
+
+        def close(self) -> None:
+            pass
+
+    return DeadProvider(limit)
 
 
 def dead_provider_alerts(log: DataFrame, limit: int = DEAD_AFTER) -> DataFrame:
     """One row when a provider's first ``limit`` counted attempts all failed."""
     lean = log.where(~is_transport(F.col("error"))).select("run_id", "provider", "seq", failed(F.col("error")).alias("bad"))
     return lean.groupBy("run_id", "provider").transformWithStateInPandas(
-        _DeadProvider(limit), outputStructType="run_id string, provider string, dead_at bigint",
+        _dead_provider(limit), outputStructType="run_id string, provider string, dead_at bigint",
         outputMode="append", timeMode="none",
     )
 
@@ -166,36 +171,41 @@ def latest_progress(spark: SparkSession, out: str) -> DataFrame:
 
 # --- expiry ----------------------------------------------------------------------
 
-class _Expiry(StatefulProcessor):
-    """Holds a key's newest fetch and reports it once the watermark passes its end."""
+def _expiry(ttl_ms: int) -> StatefulProcessor:
+    """Built here for the same reason as the tally above."""
+
+    class Expiry(StatefulProcessor):
+        """Holds a key's newest fetch and reports it once the watermark passes its end."""
+
+        def __init__(self, ttl_ms: int):
+            self.ttl_ms = ttl_ms
 
-    def __init__(self, ttl_ms: int):
-        self.ttl_ms = ttl_ms
+        def init(self, handle: StatefulProcessorHandle) -> None:
+            self.handle = handle
+            self.newest = handle.getValueState("newest", "fetched_ms bigint")
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.newest = handle.getValueState("newest", "fetched_ms bigint")
+        def handleInputRows(self, key, rows, timerValues):  # noqa: N802, N803
+            held = self.newest.get()[0] if self.newest.exists() else None
+            top = held
+            for batch in rows:
+                m = int(batch["fetched_ms"].max())
+                top = m if top is None else max(top, m)
+            if top != held:
+                if held is not None:
+                    self.handle.deleteTimer(held + self.ttl_ms)
+                self.newest.update((top,))
+                self.handle.registerTimer(top + self.ttl_ms)
+            yield pd.DataFrame({"key": pd.Series([], dtype="str"), "fetched_ms": pd.Series([], dtype="int64")})
 
-    def handleInputRows(self, key, rows, timerValues):  # noqa: N802, N803
-        held = self.newest.get()[0] if self.newest.exists() else None
-        top = held
-        for batch in rows:
-            m = int(batch["fetched_ms"].max())
-            top = m if top is None else max(top, m)
-        if top != held:
-            if held is not None:
-                self.handle.deleteTimer(held + self.ttl_ms)
-            self.newest.update((top,))
-            self.handle.registerTimer(top + self.ttl_ms)
-        yield pd.DataFrame({"key": pd.Series([], dtype="str"), "fetched_ms": pd.Series([], dtype="int64")})
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):  # noqa: N802, N803
+            fetched = self.newest.get()[0]
+            self.newest.clear()
+            yield pd.DataFrame({"key": [key[0]], "fetched_ms": [fetched]})
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):  # noqa: N802, N803
-        fetched = self.newest.get()[0]
-        self.newest.clear()
-        yield pd.DataFrame({"key": [key[0]], "fetched_ms": [fetched]})
+        def close(self) -> None:
+            pass
 
-    def close(self) -> None:
-        pass
+    return Expiry(ttl_ms)
 
 
 def expired_entries(fetches: DataFrame, ttl_seconds: int = 24 * 60 * 60, delay: str = "0 seconds") -> DataFrame:
@@ -204,7 +214,7 @@ def expired_entries(fetches: DataFrame, ttl_seconds: int = 24 * 60 * 60, delay:
         "key", "fetched_at", F.unix_millis("fetched_at").alias("fetched_ms")
     )
     return timed.groupBy("key").transformWithStateInPandas(
-        _Expiry(ttl_seconds * 1000), outputStructType="key string, fetched_ms bigint",
+        _expiry(ttl_seconds * 1000), outputStructType="key string, fetched_ms bigint",
         outputMode="append", timeMode="eventTime",
     )
 
