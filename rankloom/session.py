@@ -27,21 +27,19 @@ def build_session(app: str = "rankloom", cores: str = "*", shuffle_partitions: i
     return spark
 
 
-_LOCAL: dict[str, str] = {}
-
-
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach, named by the cluster in spark.checkpoint.dir.
 
-    Only where the setting is absent, as in tests, is a local folder made.
+    Where it is unset and driver and executors are one machine (local mode, as
+    in tests), a folder is made and set. On a cluster an unset folder is an error.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured
-    app = spark.sparkContext.applicationId
-    if app not in _LOCAL:
-        _LOCAL[app] = tempfile.mkdtemp(prefix="spark-rankloom-", dir="/tmp")
-    return _LOCAL[app]
+    if not spark.sparkContext.master.startswith("local["):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    spark.conf.set("spark.checkpoint.dir", f"file://{tempfile.mkdtemp(prefix='spark-', dir='/tmp')}")
+    return spark.conf.get("spark.checkpoint.dir")
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
