@@ -1 +1,11 @@
-"""Training-data operators and their queries."""
+"""Training-data operators and their queries.
+
+What runs inside Python tasks is sent with the job, so executors need no copy of this package.
+"""
+
+from pyspark import cloudpickle
+
+from . import shingles
+
+for _module in (shingles,):
+    cloudpickle.register_pickle_by_value(_module)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import mixing, spotsigs, warc
+from . import minhash, mixing, spotsigs, warc
 from .common import table
 
 
@@ -14,6 +14,26 @@ def op1_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spotsigs.fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), k=4)
+
+
+OP2_SQL = r"""
+with recursive w as (select doc_id, regexp_extract_all(
+   translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as ws from documents),
+s as (select distinct doc_id, unnest(case when len(ws) = 0 then [] when len(ws) < 4 then [array_to_string(ws, ' ')]
+   else list_transform(range(1, len(ws) - 2), lambda i: array_to_string(ws[i:i + 3], ' ')) end) as sh from w),
+n as (select doc_id, count(*) as n from s group by doc_id),
+x as (select a.doc_id as a, b.doc_id as b, count(*) as common from s a join s b on a.sh = b.sh and a.doc_id < b.doc_id group by all),
+l as materialized (select a, b from x join n na on na.doc_id = a join n nb on nb.doc_id = b where 100 * common >= 80 * (na.n + nb.n - common)),
+e as materialized (select a, b from l union all select b, a from l),
+r(doc_id, seen) as (select doc_id, doc_id from documents union select e.b, r.seen from r join e on e.a = r.doc_id),
+c as (select doc_id, min(seen) as component_id from r group by doc_id)
+select d.doc_id, coalesce(n.n, 0)::bigint as n_shingles, c.component_id, d.doc_id = c.component_id as kept
+from documents d join c using (doc_id) left join n using (doc_id)
+"""
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     plan, mix = mixing.mixture(docs.withColumn("size", mixing.words(F.col("text"))))
@@ -56,7 +76,8 @@ select page_id, payload_bytes, payload_digest, case when page_id = first_page th
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_spotsigs": op1_spotsigs,
+    "op2_minhash": op2_minhash,
     "op7_mixing": op7_mixing,
     "op9_warc": op9_warc,
 }
-ORACLES: dict[str, str] = {"op7_mixing": OP7_SQL, "op9_warc": OP9_SQL}
+ORACLES: dict[str, str] = {"op2_minhash": OP2_SQL, "op7_mixing": OP7_SQL, "op9_warc": OP9_SQL}
