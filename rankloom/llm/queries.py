@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import minhash, mixing, spotsigs, warc
+from . import licenses, minhash, mixing, spotsigs, warc
 from .common import table
 
 
@@ -74,10 +74,15 @@ select page_id, payload_bytes, payload_digest, case when page_id = first_page th
  case when page_id <> first_page then first_page end as refers_to from f
 """
 
+def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_spotsigs": op1_spotsigs,
     "op2_minhash": op2_minhash,
     "op7_mixing": op7_mixing,
     "op9_warc": op9_warc,
+    "op10_licenses": op10_licenses,
 }
 ORACLES: dict[str, str] = {"op2_minhash": OP2_SQL, "op7_mixing": OP7_SQL, "op9_warc": OP9_SQL}
