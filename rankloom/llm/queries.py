@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import licenses, minhash, mixing, spotsigs, warc
+from . import licenses, minhash, mixing, quality, spotsigs, warc
 from .common import table
 
 
@@ -34,6 +34,10 @@ from documents d join c using (doc_id) left join n using (doc_id)
 """
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     plan, mix = mixing.mixture(docs.withColumn("size", mixing.words(F.col("text"))))
@@ -81,6 +85,7 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_spotsigs": op1_spotsigs,
     "op2_minhash": op2_minhash,
+    "op4_quality": op4_quality,
     "op7_mixing": op7_mixing,
     "op9_warc": op9_warc,
     "op10_licenses": op10_licenses,
