@@ -5,7 +5,7 @@ What runs inside Python tasks is sent with the job, so executors need no copy of
 
 from pyspark import cloudpickle
 
-from . import quality, shingles, textstats, warc
+from . import quality, shingles, textstats, toxicity, voters, warc
 
-for _module in (quality, shingles, textstats, warc):
+for _module in (quality, shingles, textstats, toxicity, voters, warc):
     cloudpickle.register_pickle_by_value(_module)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import licenses, minhash, mixing, quality, spotsigs, warc
+from . import licenses, minhash, mixing, quality, spotsigs, toxicity, warc
 from .common import table
 
 
@@ -38,6 +38,10 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     plan, mix = mixing.mixture(docs.withColumn("size", mixing.words(F.col("text"))))
@@ -86,6 +90,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_spotsigs": op1_spotsigs,
     "op2_minhash": op2_minhash,
     "op4_quality": op4_quality,
+    "op6_toxicity": op6_toxicity,
     "op7_mixing": op7_mixing,
     "op9_warc": op9_warc,
     "op10_licenses": op10_licenses,
