@@ -1,10 +1,10 @@
 """Toxicity by weak supervision.
 
 Voters: hand-written lexicons, lexicons induced from the labelled training rows
-(words and beginnings of words that toxic rows hold far more often, dealt to
-groups) and patterns. A generative label model with a hidden class has for
-each voter the rates of voting in either class; expectation maximisation
-starts from the training labels. Voters that still agree within a class are
+(words and beginnings of words that toxic rows hold far more often, grouped by
+strength) and patterns. A generative label model with a hidden class has for
+each voter the rates of voting in either class, estimated by expectation
+maximisation; a training label is one more voter, trusted but not blindly. Voters that still agree within a class are
 correlated: their log-likelihood ratios are divided by one plus the sum of
 their positive conditional correlations, and the model is estimated again. A
 linear (logistic) classifier is then trained on the posterior labels.
@@ -54,8 +54,8 @@ def sample(docs: DataFrame, labels: DataFrame, folds: int, held: int, max_rows:
         F.broadcast(known), F.col("doc_id") == F.col("_id")).select("text", "label")
 
 
-def induced(rows: DataFrame, least: int = 3, size: int = 4000, z: float = 4.0) -> list[str]:
-    """Entries whose share of toxic rows exceeds their share of others by ``z`` standard errors, at most ``size`` of them."""
+def induced(rows: DataFrame, least: int = 3, size: int = 4000, z: float = 4.0) -> dict[str, float]:
+    """Entries whose share of toxic rows exceeds their share of others by ``z`` standard errors, at most ``size``, with the ratio of the shares."""
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             seen = (Counter(), Counter())
@@ -66,19 +66,23 @@ def induced(rows: DataFrame, least: int = 3, size: int = 4000, z: float = 4.0) -
 
     n = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
     if len(n) < 2:
-        return []
+        return {}
     per = rows.mapInPandas(count, "entry string, bad long, fine long").groupBy("entry").agg(
         F.sum("bad").alias("bad"), F.sum("fine").alias("fine")).where(F.col("bad") >= least)
     p, q = (F.col("bad") + 0.5) / (n[1] + 1), (F.col("fine") + 0.5) / (n[0] + 1)
     both = (F.col("bad") + F.col("fine") + 1) / (n[0] + n[1] + 2)
-    per = per.withColumn("z", (p - q) / F.sqrt(both * (1 - both) * (1 / n[0] + 1 / n[1]))).where((F.col("z") >= z) & (p > 8 * q))
-    return [r["entry"] for r in per.orderBy(F.col("z").desc(), "entry").limit(size).collect()]
+    per = per.withColumn("z", (p - q) / F.sqrt(both * (1 - both) * (1 / n[0] + 1 / n[1]))).where((F.col("z") >= z) & (p > V.STRENGTHS[0] * q))
+    per = per.withColumn("ratio", p / q).orderBy(F.col("z").desc(), "entry").limit(size)
+    return {r["entry"]: r["ratio"] for r in per.collect()}
 
 
-def label_model(votes: np.ndarray, labels: np.ndarray, rounds: int = 25, trust: float = 0.9) -> np.ndarray:
-    """Posterior of the hidden class of each row, by EM over binary votes with correlations discounted."""
-    posterior = np.where(labels == 1, trust, 1 - trust)
-    start = posterior.copy()
+def label_model(votes: np.ndarray, labels: np.ndarray, rounds: int = 25, right: float = 0.97, wrong: float = 0.02) -> np.ndarray:
+    """Posterior of the hidden class of each row, by EM over binary votes with correlations discounted.
+
+    The label of a training row is a voter of fixed rates: ``right`` in toxic rows, ``wrong`` in others.
+    """
+    said = np.where(labels == 1, np.log(right / wrong), np.log((1 - right) / (1 - wrong)))
+    posterior = np.where(labels == 1, right, wrong)
     discount = np.ones(votes.shape[1])
     for turn in range(2 * rounds):
         weight = np.array([1 - posterior, posterior])
@@ -92,10 +96,9 @@ def label_model(votes: np.ndarray, labels: np.ndarray, rounds: int = 25, trust:
                 corr = np.maximum(corr, (d.T @ d) / np.outer(sd, sd))
             np.fill_diagonal(corr, 0)
             discount = 1 / (1 + np.where(corr > 0.1, corr, 0).sum(axis=1))
-        odds = np.log(mass[1] / mass[0]) + (
+        odds = said + np.log(mass[1] / mass[0]) + (
             votes * np.log(rate[1] / rate[0]) + (1 - votes) * np.log((1 - rate[1]) / (1 - rate[0]))) @ discount
         posterior = 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
-        posterior = 0.5 * posterior + 0.5 * start if turn < 3 else posterior
     return posterior
 
 

@@ -12,7 +12,7 @@ LEXICONS = {
     "worth": "worthless pathetic loser losers useless trash garbage failure nobody miserable lowlife",
     "disgust": "disgusting scum filth filthy vermin vile repulsive parasite parasites pig pigs rat rats creep",
     "ridicule": "clown clowns joke laughable ridiculous crybaby coward cowards liar liars",
-    "menace": "kill die hurt destroy hate hang shoot suffer",
+    "menace": "kill hurt destroy hate hang shoot suffer",
 }
 ADDRESS = set("you your youre ur du dich dein ihr tu toi te vous usted ustedes eres".split())
 LEET = str.maketrans("013457@$!", "oieastasi")
@@ -28,22 +28,29 @@ def tokens_of(text: str | None) -> list[bytes]:
 
 
 def entries_of(token: bytes) -> list[str]:
-    """What an induced lexicon may hold of a token: itself, and its beginnings by letters."""
+    """What an induced lexicon may hold of a token: itself, and its beginnings with its length."""
     word = token.decode("utf-8", "replace")
-    return [f"={word}"] + [f"^{word[:n]}" for n in PREFIXES if n <= len(word)]
+    return [f"={word}"] + [f"^{word[:n]}:{len(word)}" for n in PREFIXES if n < len(word)]
+
+
+#: An induced entry belongs to a voter by its kind and by how many times likelier it is in toxic rows.
+STRENGTHS = (8, 20, 50, 150)
 
 
 class Voters:
-    """Votes by hand-written lexicons, induced lexicons in groups, and patterns."""
+    """Votes by hand-written lexicons, induced lexicons by strength and group, and patterns."""
 
-    def __init__(self, induced: list[str], groups: int = 16):
+    def __init__(self, induced: dict[str, float], groups: int = 4):
         self.groups = groups
-        self.names = [*LEXICONS, *[f"word{i}" for i in range(groups)], *[f"begin{i}" for i in range(groups)], "leet", "addressed"]
+        kinds = [f"{k}{s}.{g}" for k in ("word", "begin") for s in STRENGTHS for g in range(groups)]
+        self.names = [*LEXICONS, *kinds, "leet", "addressed"]
         self.hand = {w: i for i, words in enumerate(LEXICONS.values()) for w in words.split()}
-        self.induced = {e: self._voter(e) for e in induced}
+        self.induced = {e: self._voter(e, ratio) for e, ratio in induced.items()}
 
-    def _voter(self, entry: str) -> int:
-        return len(LEXICONS) + (0 if entry[0] == "=" else self.groups) + zlib.crc32(entry.encode()) % self.groups
+    def _voter(self, entry: str, ratio: float) -> int:
+        strength = max(i for i, s in enumerate(STRENGTHS) if ratio >= s or i == 0)
+        kind = 0 if entry[0] == "=" else 1
+        return len(LEXICONS) + (kind * len(STRENGTHS) + strength) * self.groups + zlib.crc32(entry.encode()) % self.groups
 
     def of_token(self, token: bytes) -> tuple[int, ...]:
         word = token.decode("utf-8", "replace")
