@@ -1,11 +1,10 @@
 """Training-data operators and their queries.
 
-What runs inside Python tasks is sent with the job, so executors need no copy of this package.
+What runs inside Python tasks is sent with the job by value, so executors need no copy of this package.
 """
 
-from pyspark import cloudpickle
+import sys
 
-from . import quality, shingles, textstats, toxicity, voters, warc
+from pyspark import cloudpickle
 
-for _module in (quality, shingles, textstats, toxicity, voters, warc):
-    cloudpickle.register_pickle_by_value(_module)
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

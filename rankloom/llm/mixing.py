@@ -32,6 +32,9 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as
 from ..session import staged
 from .common import WORD, partitions, whole
 
+#: A word with the space before it.
+SPACED_WORD = r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"
+
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE = 1.5
 MOST = 2.0
@@ -207,3 +210,28 @@ def taken(plan: DataFrame, mix: DataFrame) -> DataFrame:
     at = F.col("source").eqNullSafe(F.col("_s")) & (F.col("seq") == F.col("_q"))
     return plan.join(got, at, "left").select(
         "doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+
+
+def mixed_documents(
+    docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, most: float = MOST,
+    block_words: int = 4096, blocks_per_shard: int = 1024, seed: int = 7,
+) -> DataFrame:
+    """The mix as documents: a row per document and pass, shuffled inside its shard, with the input's columns.
+
+    Where the target cuts the stream inside a document, the row has the
+    document's first words up to the cut, and n_chars is theirs. Rows without a
+    word are in no mix. Texts cross one shuffle, to their shard.
+    """
+    key = F.xxhash64(*[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in docs.columns if c != "text"], F.col("text"))
+    keyed = docs.withColumn("_key", key).withColumn("_size", words(F.col("text")))
+    rows = keyed.select("source", F.col("_size").alias("size"), F.col("_key").alias("doc_id"))
+    _, mix = mixture(rows, weights, share, most, block_words, blocks_per_shard, seed)
+    places = mix.select(F.col("doc_id").alias("_of"), "words", "shard", "rank")
+    # Rows equal in every column have one key and one text; each of their places reads that text.
+    out = keyed.dropDuplicates(["_key"]).join(places, F.col("_key") == F.col("_of"))
+    cut = F.col("words") < F.col("_size")
+    first = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(SPACED_WORD), F.lit(0)), F.lit(1), F.col("words").cast("int")), "")
+    out = out.withColumn("text", F.when(cut, first).otherwise(F.col("text")))
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.when(cut, F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return out.repartition("shard").sortWithinPartitions("shard", "rank").select(*docs.columns)

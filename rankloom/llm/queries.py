@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import licenses, minhash, mixing, quality, spotsigs, toxicity, warc
+from . import licenses, minhash, mixing, pieces, quality, spotsigs, toxicity, warc
 from .common import table
 
 
@@ -34,6 +34,10 @@ from documents d join c using (doc_id) left join n using (doc_id)
 """
 
 
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.round_trip(table(spark, sf_dir, "documents"))
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -89,6 +93,7 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_spotsigs": op1_spotsigs,
     "op2_minhash": op2_minhash,
+    "op3_sentencepiece": op3_sentencepiece,
     "op4_quality": op4_quality,
     "op6_toxicity": op6_toxicity,
     "op7_mixing": op7_mixing,
