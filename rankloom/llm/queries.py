@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import licenses, minhash, mixing, pieces, quality, spotsigs, toxicity, warc
+from . import licenses, minhash, mixing, neighbours, pieces, quality, spotsigs, toxicity, warc
 from .common import table
 
 
@@ -42,6 +42,23 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_hnsw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+OP5_SQL = """
+with recursive v as (select vec_id, label, embedding::double[] as e from embeddings where embedding is not null and label is not null
+  and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+l as materialized (select a.vec_id as a, b.vec_id as b from v a join v b on a.label = b.label and a.vec_id <> b.vec_id
+  and len(a.e) = len(b.e) where list_cosine_similarity(a.e, b.e) >= 0.98),
+r(vec_id, seen) as (select vec_id, vec_id from embeddings union select l.b, r.seen from r join l on l.a = r.vec_id),
+c as (select vec_id, min(seen) as component_id from r group by vec_id),
+n as (select a as vec_id, count(*) as n from l group by a)
+select e.vec_id, coalesce(n.n, 0)::bigint as n_links, component_id, e.vec_id = component_id as kept
+from embeddings e join c using (vec_id) left join n using (vec_id)
+"""
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -95,9 +112,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_minhash": op2_minhash,
     "op3_sentencepiece": op3_sentencepiece,
     "op4_quality": op4_quality,
+    "op5_hnsw": op5_hnsw,
     "op6_toxicity": op6_toxicity,
     "op7_mixing": op7_mixing,
     "op9_warc": op9_warc,
     "op10_licenses": op10_licenses,
 }
-ORACLES: dict[str, str] = {"op2_minhash": OP2_SQL, "op7_mixing": OP7_SQL, "op9_warc": OP9_SQL}
+ORACLES: dict[str, str] = {"op2_minhash": OP2_SQL, "op5_hnsw": OP5_SQL, "op7_mixing": OP7_SQL, "op9_warc": OP9_SQL}
