@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import licenses, minhash, mixing, neighbours, pieces, quality, spotsigs, toxicity, warc
+from . import langid, licenses, minhash, mixing, neighbours, pieces, quality, spotsigs, toxicity, warc
 from .common import table
 
 
@@ -87,6 +87,10 @@ select doc_id, size, ss as source_size, round(target, 6) as target,
 """
 
 
+def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "pages"), table(spark, sf_dir, "documents"))
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages")).select(
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -115,6 +119,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_hnsw": op5_hnsw,
     "op6_toxicity": op6_toxicity,
     "op7_mixing": op7_mixing,
+    "op8_langid": op8_langid,
     "op9_warc": op9_warc,
     "op10_licenses": op10_licenses,
 }
