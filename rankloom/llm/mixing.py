@@ -222,16 +222,16 @@ def mixed_documents(
     document's first words up to the cut, and n_chars is theirs. Rows without a
     word are in no mix. Texts cross one shuffle, to their shard.
     """
-    key = F.xxhash64(*[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in docs.columns if c != "text"], F.col("text"))
-    keyed = docs.withColumn("_key", key).withColumn("_size", words(F.col("text")))
-    rows = keyed.select("source", F.col("_size").alias("size"), F.col("_key").alias("doc_id"))
+    key = F.xxhash64(*[F.coalesce(F.to_json(F.struct(F.col(c))), F.lit("")) for c in docs.columns if c != "text"], F.col("text"))
+    keyed = docs.withColumn("_mix_key", key).withColumn("_mix_size", words(F.col("text")))
+    rows = keyed.select("source", F.col("_mix_size").alias("size"), F.col("_mix_key").alias("doc_id"))
     _, mix = mixture(rows, weights, share, most, block_words, blocks_per_shard, seed)
-    places = mix.select(F.col("doc_id").alias("_of"), "words", "shard", "rank")
+    places = mix.select(*[F.col(c).alias(f"_mix_{n}") for c, n in (("doc_id", "of"), ("words", "words"), ("shard", "shard"), ("rank", "rank"))])
     # Rows equal in every column have one key and one text; each of their places reads that text.
-    out = keyed.dropDuplicates(["_key"]).join(places, F.col("_key") == F.col("_of"))
-    cut = F.col("words") < F.col("_size")
-    first = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(SPACED_WORD), F.lit(0)), F.lit(1), F.col("words").cast("int")), "")
+    out = keyed.dropDuplicates(["_mix_key"]).join(places, F.col("_mix_key") == F.col("_mix_of"))
+    cut = F.col("_mix_words") < F.col("_mix_size")
+    first = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(SPACED_WORD), F.lit(0)), F.lit(1), F.col("_mix_words").cast("int")), "")
     out = out.withColumn("text", F.when(cut, first).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(cut, F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.repartition("shard").sortWithinPartitions("shard", "rank").select(*docs.columns)
+    return out.repartition("_mix_shard").sortWithinPartitions("_mix_shard", "_mix_rank").select(*docs.columns)
