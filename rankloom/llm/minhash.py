@@ -4,7 +4,8 @@ Texts with one word sequence are a class, so copies are handled once. Each
 class has a MinHash signature of ``coords`` values and is posted under each
 coordinate-value pair. Two sets with Jaccard J agree in a coordinate with
 probability J, so pairs that agree in at least ``matches`` coordinates are
-candidates (at 48 and 24 a pair of Jaccard 0.8 is missed about once in 300,000).
+candidates (at 64 and 38 a pair of Jaccard 0.8 is missed about once in 30,000, one of
+0.85 about once in 10 million).
 
 Prefix: to agree in ``matches`` of a class's coordinates, one of its rarest
 coords - matches + 1 must be shared; only these are posted, and values that no
@@ -13,10 +14,11 @@ full collision count of a candidate is read off the two signatures.
 
 Groups of near copies are not multiplied out. In each list the class whose
 values are the most common (the centre of its group) is compared with all
-others first: one row per member. Then lists whose members are not yet one
-component are searched for pairs of different components; those are compared
-too. Pairs left out are inside one component already, so the components are
-those of all links. Every candidate is confirmed on the full shingle sets.
+others first: one row per member. Then the classes of lists whose members are
+not yet one component are joined exactly, by the rarest of their shingles, for
+pairs of different components. Pairs left out are inside one component already,
+so the components are those of all links. Every candidate is confirmed on the
+full shingle sets.
 
 Null and empty texts have no shingles, are linked with nothing and kept. Rows
 that share a doc_id are separate rows with their own text. Rows with a null
@@ -110,8 +112,33 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return rows.where(100 * F.col("common") >= percent * (F.size("sa") + F.size("sb") - F.col("common"))).select("a", "b")
 
 
+def overlapping(sets: DataFrame, percent: int) -> DataFrame:
+    """Candidate pairs (a, b) of different components by exact prefix and position filtering; no pair that links is lost.
+
+    ``sets`` has class, component and shingles. Shingles are ordered rarest
+    first, those that no other class has before all. A linked pair shares one
+    of the first n - ceil(0.8 n) + 1 shingles of both, and what follows that
+    one on the shorter side still has to make up the overlap they need.
+    """
+    tokens = sets.select("class", "component", F.size("shingles").alias("n"), F.explode("shingles").alias("token"))
+    often = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("often")).where("often > 1")
+    mine = tokens.join(often, "token").groupBy("class", "component", "n").agg(
+        F.sort_array(F.collect_list(F.struct("often", "token"))).alias("common"))
+    own = F.col("n") - F.size("common")
+    room = F.col("n") - F.ceil(F.col("n") * percent / 100).cast("int") + 1 - own
+    shown = mine.where(room > 0).withColumn("own", own).withColumn("shown", F.slice("common", F.lit(1), room))
+    shown = shown.select("class", "component", "n", "own", F.posexplode("shown").alias("at", "item"))
+    shown = shown.select("class", "component", "n", (F.col("own") + F.col("at")).alias("at"), "item.token")
+    side = lambda x: shown.select("token", *[F.col(c).alias(f"{x}_{c}") for c in ("class", "component", "n", "at")])
+    reach = F.least(F.col("a_n") - F.col("a_at"), F.col("b_n") - F.col("b_at"))
+    enough = (100 + percent) * reach >= percent * (F.col("a_n") + F.col("b_n"))
+    pairs = side("a").join(side("b"), "token").where(
+        (F.col("a_component") < F.col("b_component")) & _lengths_fit("a_n", "b_n", percent) & enough)
+    return pairs.select(F.col("a_class").alias("a"), F.col("b_class").alias("b"))
+
+
 def near_duplicates(
-    docs: DataFrame, k: int = 5, percent: int = 80, coords: int = 48, matches: int = 24, seed: int = 11,
+    docs: DataFrame, k: int = 5, percent: int = 80, coords: int = 64, matches: int = 38, seed: int = 11,
 ) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row of documents (doc_id, text)."""
     rows = staged(signed(docs, k, coords, seed), "minhash-docs")
@@ -133,15 +160,13 @@ def near_duplicates(
     links = staged(confirmed(first, sets, percent), "minhash-links")
     found = staged(components(links, "a", "b"), "minhash-components")
 
-    # Lists that still hold several components: pairs across them.
+    # Classes of lists that still hold several components: pairs across them, by the full sets.
     part = lists.join(found.select(F.col("vertex").alias("class"), "component"), "class", "left").withColumn(
         "component", F.coalesce("component", "class"))
     mixed = part.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
-    part = staged(part.join(mixed, "key").join(signatures.select("class", "signature"), "class"), "minhash-mixed")
-    one = part.select("key", F.col("class").alias("a"), F.col("component").alias("ca"), F.col("n").alias("na"), F.col("signature").alias("ga"))
-    two = part.select("key", F.col("class").alias("b"), F.col("component").alias("cb"), F.col("n").alias("nb"), F.col("signature").alias("gb"))
-    across = one.join(two, (one["key"] == two["key"]) & (F.col("ca") < F.col("cb")) & fits).select("a", "b").distinct()
-    more = confirmed(across, sets, percent)
+    part = part.join(mixed, "key").select("class", "component").distinct()
+    rest = staged(sets.join(part, "class"), "minhash-mixed")
+    more = confirmed(overlapping(rest, percent).distinct(), sets, percent)
     found = components(links.union(more), "a", "b")
 
     least = classes.select("class", "doc_id").join(found, F.col("class") == F.col("vertex"), "left").withColumn(
