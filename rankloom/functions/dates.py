@@ -26,6 +26,7 @@ META_KEYS = [
     "modifiedtime",
     "datemodified",
 ]
+# How a relative phrase, a written-out date and a dated path read.
 _RELATIVE = rf"^(\d+){WS}*(hour|day|week|month|year)s?{WS}+ago"
 _WORDY = rf"([A-Za-z]{{3,9}})\.?{WS}+(\d{{1,2}}),?{WS}+(\d{{4}})"
 _IN_PATH = r"/(20\d{2})/(\d{1,2})(?:/(\d{1,2}))?/"
@@ -52,15 +53,15 @@ def _rolled(year: Column, month: Column, day: Column) -> Column:
 
 def _relative(s: Column, now: Column) -> Column:
     def instant(t: Column) -> Column:
-        # Seven digits of the smallest unit already lie before 2000.
-        n = F.regexp_extract(t, _RELATIVE, 1)
+        n = F.regexp_extract(t, _RELATIVE, 1).try_cast("bigint")
         units = F.create_map(*[x for k, secs in UNIT_SECONDS.items() for x in (F.lit(k), F.lit(secs))])
         secs = F.try_element_at(units, F.regexp_extract(t, _RELATIVE, 2))
-        count = F.when(F.length(n) <= 6, n.try_cast("bigint"))
+        ago = F.try_multiply(n, secs)
+        now_s = F.unix_timestamp(now)
         return (
             F.when(t.rlike(r"^today\b"), now)
             .when(t.rlike(r"^yesterday\b"), now - F.expr("interval 1 day"))
-            .otherwise(F.timestamp_seconds(F.unix_timestamp(now) - count * secs))
+            .otherwise(F.timestamp_seconds(F.when(ago <= now_s, now_s - ago)))
         )
 
     return let(trim_ws(F.lower(s)), instant)

@@ -15,8 +15,17 @@ NAMED_ENTITIES = {
     "rsquo": "’", "lsquo": "‘", "rdquo": "”", "ldquo": "“",
     "mdash": "—", "ndash": "–", "hellip": "…", "rsaquo": "›",
 }
+# What an entity, a line of nothing but a link, hidden parts, block ends and tags look like.
 _ENTITY = r"&(#\d+|#x[0-9a-fA-F]+|[a-zA-Z]+);"
 
+# Hexadecimal digits of a code point, without what pads it.
+_HEX_CODE = r"^#x0*(10[0-9a-fA-F]{4}|[0-9a-fA-F]{1,5})$"
+_LINK_LINE = rf"(?m)^{WS}*[-*]?{WS}*\[[^\]]*\]\([^)]*\){WS}*$"
+_HIDDEN = r"(?is)<(script|style|noscript|svg|head)\b[^>]*>.*?</\1>"
+_COMMENT = r"(?s)<!--.*?-->"
+_BLOCK_END = r"(?i)</(p|div|li|h[1-6]|tr|section|article|br)\s*>"
+_TAG = r"<[^>]+>"
+
 # Presence tests on the text a provider returned.
 HEADING = r"(?m)^#{1,6}\s"
 LINK = r"\[[^\]]+\]\([^)]+\)"
@@ -33,7 +42,7 @@ def clip(text: Column, limit: int) -> Column:
 def clean_markdown(md: Column, limit: int = CONTENT_CHARS) -> Column:
     """Drop carriage returns, lines that are only a link, and blank runs; then clip."""
     text = F.regexp_replace(md, "\r", "")
-    text = F.regexp_replace(text, rf"(?m)^{WS}*[-*]?{WS}*\[[^\]]*\]\([^)]*\){WS}*$", "")
+    text = F.regexp_replace(text, _LINK_LINE, "")
     text = trim_ws(F.regexp_replace(text, r"\n{3,}", "\n\n"))
     return F.when(F.length(text) > limit, F.concat(clip(text, limit), F.lit(ELLIPSIS))).otherwise(text)
 
@@ -41,14 +50,11 @@ def clean_markdown(md: Column, limit: int = CONTENT_CHARS) -> Column:
 def _decode_one(token: Column) -> Column:
     name = F.substring(token, 2, 1 << 30)
     name = F.substring(name, F.lit(1), F.length(name) - 1)
-    named = F.lit(None).cast("string")
-    for key, value in NAMED_ENTITIES.items():
-        named = F.when(name == key, F.lit(value)).otherwise(named)
-    digits = F.when(
-        name.startswith("#x"), F.conv(F.substring(name, 3, 1 << 30), 16, 10)
-    ).otherwise(F.substring(name, 2, 1 << 30))
-    code = F.when(name.startswith("#") & (F.length(digits) <= 7), digits.try_cast("bigint"))
-    usable = (code <= 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
+    known = F.create_map(*[F.lit(x) for pair in NAMED_ENTITIES.items() for x in pair])
+    named = F.try_element_at(known, name)
+    hexed = F.conv(F.when(name.startswith("#x"), F.nullif(F.regexp_extract(name, _HEX_CODE, 1), F.lit(""))), 16, 10)
+    code = F.when(name.startswith("#"), F.coalesce(hexed, F.substring(name, 2, 1 << 30)).try_cast("bigint"))
+    usable = code.between(0, 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
     char = F.decode(F.unhex(F.lpad(F.hex(F.when(usable, code)), 8, "0")), "UTF-32")
     return F.coalesce(named, char, token)
 
@@ -65,10 +71,10 @@ def decode_entities(text: Column) -> Column:
 
 def strip_tags(html: Column) -> Column:
     """HTML to text: no script, style or comments; block ends become line breaks."""
-    text = F.regexp_replace(html, r"(?is)<(script|style|noscript|svg|head)\b[^>]*>.*?</\1>", " ")
-    text = F.regexp_replace(text, r"(?s)<!--.*?-->", " ")
-    text = F.regexp_replace(text, r"(?i)</(p|div|li|h[1-6]|tr|section|article|br)\s*>", "\n")
-    text = decode_entities(F.regexp_replace(text, r"<[^>]+>", " "))
+    text = F.regexp_replace(html, _HIDDEN, " ")
+    text = F.regexp_replace(text, _COMMENT, " ")
+    text = F.regexp_replace(text, _BLOCK_END, "\n")
+    text = decode_entities(F.regexp_replace(text, _TAG, " "))
     text = F.regexp_replace(text, r"[ \t\u00a0]+", " ")
     text = F.regexp_replace(text, r"\n[ \t]+", "\n")
     return trim_ws(F.regexp_replace(text, r"\n{3,}", "\n\n"))

@@ -17,11 +17,16 @@ def declared_pairs(judges: list[str]) -> Column:
     return F.array(*[F.struct(F.lit(a).alias("judge_a"), F.lit(b).alias("judge_b")) for a, b in pairs])
 
 
-def ratings_wide(judgements: DataFrame, judges: list[str], *carry: str) -> DataFrame:
-    """One row per page with a column r0, r1, ... per declared judge."""
+def ratings_wide(judgements: DataFrame, judges: list[str], *carry: str, order: tuple[str, ...] = ()) -> DataFrame:
+    """One row per page with a column r0, r1, ... per declared judge.
+
+    Where a page has several ratings of one judge (URL variants that read the
+    same once normalised), the last by ``order`` counts.
+    """
     rated = judgements.where(F.col("rung").isNotNull() & F.col("judge").isin(*judges))
+    at = F.struct(*order, "rung")
     return rated.groupBy("query_id", "url", *carry).agg(
-        *[F.max(F.when(F.col("judge") == j, F.col("rung"))).alias(f"r{i}") for i, j in enumerate(judges)]
+        *[F.max(F.when(F.col("judge") == j, at))["rung"].alias(f"r{i}") for i, j in enumerate(judges)]
     )
 
 

@@ -5,24 +5,25 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.stats import half_up
-from .dims import MAX_DIM
-
+# What a number in running text looks like.
 NUMBER = r"\d[\d,]*(?:\.\d+)?"
 
 
-def audit_text(html: Column) -> Column:
-    """Running text of a page: no charts, styles, comments, tags or entities."""
+def audit_text(html: Column, not_numbers: tuple[str, ...] = ()) -> Column:
+    """Running text of a page: no charts, styles, comments, tags or entities, nor what ``not_numbers`` matches (names with digits)."""
     t = F.regexp_replace(html, r"(?s)<svg.*?</svg>", " ")
     t = F.regexp_replace(t, r"(?s)<style.*?</style>", " ")
     t = F.regexp_replace(t, r"(?s)<!--.*?-->", " ")
     t = F.regexp_replace(t, r"<[a-zA-Z/][^>]*>", " ")
+    for pattern in not_numbers:
+        t = F.regexp_replace(t, pattern, " ")
     t = F.regexp_replace(t, r"&#x?[0-9a-fA-F]+;", " ")
     return F.regexp_replace(t, r"&[a-z]+;", " ")
 
 
-def stated_numbers(pages: DataFrame, key: str, html: str) -> DataFrame:
+def stated_numbers(pages: DataFrame, key: str, html: str, not_numbers: tuple[str, ...] = ()) -> DataFrame:
     """Distinct numbers each page's text states."""
-    found = F.regexp_extract_all(audit_text(F.col(html)), F.lit(NUMBER), F.lit(0))
+    found = F.regexp_extract_all(audit_text(F.col(html), not_numbers), F.lit(NUMBER), F.lit(0))
     return (
         pages.select(key, F.explode(F.array_distinct(found)).alias("raw"))
         .select(key, F.regexp_replace("raw", "[.,]$", "").alias("number")).distinct()
@@ -38,10 +39,13 @@ def renderings(values: DataFrame, col: str = "n") -> DataFrame:
     """Every text form a stored number may take on a page, distinct."""
     n = F.col(col)
     four = _fixed(n, 4)
+    exact = n.cast("double").cast("string")
+    exact = F.when(exact.contains("E"), F.regexp_replace(n.cast("decimal(38,18)").cast("string"), r"(\.\d*?)0+$", "$1")).otherwise(exact)
+    exact = F.regexp_replace(exact, r"\.0?$", "")
     plain = F.regexp_replace(F.regexp_replace(four, r"(\.\d*?)0+$", "$1"), r"\.$", "")
     grouped = F.regexp_replace(F.regexp_replace(F.format_number(n, 3), r"(\.\d*?)0+$", "$1"), r"\.$", "")
     forms = [
-        plain, *[_fixed(n, d) for d in range(5)], half_up(n).cast("bigint").cast("string"),
+        exact, plain, *[_fixed(n, d) for d in range(5)], half_up(n).cast("bigint").cast("string"),
         F.regexp_replace(plain, "^-", ""), grouped, F.format_number(half_up(n).cast("bigint"), 0),
         _fixed(n * 100, 0), _fixed(n * 100, 1), _fixed(n / 100, 3),
     ]
@@ -54,16 +58,18 @@ def text_numbers(values: DataFrame, col: str) -> DataFrame:
     return values.select(F.explode(found).alias("raw")).select(F.regexp_replace("raw", "[.,]$", "").alias("form")).distinct()
 
 
-def ratio_forms(providers: DataFrame, col: str) -> DataFrame:
-    """Rounded ratio of every ordered pair of providers, from one small array.
+def ratio_forms(providers: DataFrame, key: str, col: str, declared: list[str]) -> DataFrame:
+    """Rounded ratio of every ordered pair of the declared providers; a row holds its own ratios only."""
+    rows = providers.where(F.col(key).isin(*declared) & (F.col(col) > 0)).select(F.col(col).cast("double").alias("x"))
+    rows = rows.withColumn("others", rows.agg(F.collect_set("x")).scalar())
+    ratios = F.transform("others", lambda b: half_up(F.col("x") / b).cast("bigint").cast("string"))
+    return rows.select(F.explode(ratios).alias("form")).distinct()
+
 
-    The provider table is configuration; its size is checked before gathering.
-    """
-    v = F.collect_list(F.when(F.col(col) > 0, F.col(col).cast("double")))
-    guard = F.assert_true(F.count(F.lit(1)) <= MAX_DIM, F.lit("not a provider-sized table"))
-    one = providers.agg(v.alias("v"), guard.alias("ok"))
-    ratios = F.flatten(F.transform("v", lambda a: F.transform("v", lambda b: half_up(a / b).cast("bigint").cast("string"))))
-    return one.where(F.col("ok").isNull()).select(F.explode(F.array_distinct(ratios)).alias("form"))
+def share_forms(parts: DataFrame, part: str, whole: str) -> DataFrame:
+    """Rounded percentage of one stored number in another."""
+    pct = half_up(F.try_divide(F.col(part).cast("double"), F.col(whole)) * 100).cast("bigint").cast("string")
+    return parts.select(pct.alias("form")).where("form is not null").distinct()
 
 
 def second_forms(latency: DataFrame, *cols: str) -> DataFrame:

@@ -41,11 +41,12 @@ def baseline_counters(rows: DataFrame, raw: DataFrame) -> DataFrame:
 
 
 def attach_baseline(questions: DataFrame, rows: DataFrame) -> DataFrame:
-    """Each question with its graders' verdicts (one entry per grader, sorted)."""
+    """Each question with its graders' verdicts and reasons (one entry per grader, sorted)."""
+    rows = rows if "rationale" in rows.columns else rows.withColumn("rationale", F.lit(None).cast("string"))
     given = rows.where(F.col("verdict").isNotNull()).groupBy("query_id").agg(
-        F.array_sort(F.collect_list(F.struct("grader", "verdict"))).alias("baseline")
+        F.array_sort(F.collect_list(F.struct("grader", "verdict", "rationale"))).alias("baseline")
     )
-    empty = F.array().cast("array<struct<grader:string,verdict:string>>")
+    empty = F.array().cast("array<struct<grader:string,verdict:string,rationale:string>>")
     return questions.join(given, "query_id", "left").withColumn("baseline", F.coalesce("baseline", empty))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.errors import failed, is_account, is_provider_fault
 from ..functions.stats import ci95, mean0, pearson, std0
-from .dims import values_or, with_slices
+from .dims import values, with_slices
 from .ranks import percentiles
 
 
@@ -17,7 +17,7 @@ def arm_judgements(arms: DataFrame) -> DataFrame:
     )
 
 
-def provider_stats(arms: DataFrame, by_type: bool = False, providers: list[str] | None = None) -> DataFrame:
+def provider_stats(arms: DataFrame, by_type: bool = False, providers: list[str] = ()) -> DataFrame:
     """Mean per question first, then mean and interval over questions.
 
     Attempts, errors and latency are counted over every arm, scores over the
@@ -66,9 +66,11 @@ def provider_stats(arms: DataFrame, by_type: bool = False, providers: list[str]
     full = stats.join(timing, keys, "left")
     if not by_type:
         return full.drop("slice", "slice_value")
+    if not providers:
+        raise ValueError("a grid over types needs its providers declared")
     grid = (
         arms.select(F.lit("type").alias("slice"), F.col("type").alias("slice_value")).distinct()
-        .withColumn("provider", F.explode(values_or(arms, "provider", providers)))
+        .withColumn("provider", F.explode(values(providers)))
     )
     full = grid.join(full, keys, "left")
     counted = [c for c in stats.columns if c not in keys]

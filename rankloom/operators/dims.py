@@ -1,31 +1,17 @@
 """Small dimensions (providers, judges, types) and the grids over them.
 
 These lists are configuration: every entry is a provider or judge somebody
-set up by hand. Their size is checked where they are gathered, and a grid is an
-``explode`` of such a list, never a product of two tables.
+set up by hand, so the caller declares them. A grid is an ``explode`` of such a
+list, never a product of two tables.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-MAX_DIM = 10_000
 
-
-def dim_values(df: DataFrame, col: str) -> Column:
-    """Distinct values of a configuration column as one array, size checked."""
-    distinct = df.select(col).where(F.col(col).isNotNull()).distinct()
-    guard = F.assert_true(
-        F.count(F.lit(1)) <= MAX_DIM, F.lit(f"{col} is not a small dimension; pass its values explicitly")
-    )
-    gathered = distinct.agg(F.array_sort(F.collect_set(col)).alias("v"), guard.alias("ok"))
-    return gathered.select(F.when(F.col("ok").isNull(), F.col("v"))).scalar()
-
-
-def values_or(df: DataFrame, col: str, declared: list[str] | None) -> Column:
-    if declared is not None:
-        return F.array(*[F.lit(v) for v in declared])
-    return dim_values(df, col)
+def values(declared: list[str]) -> Column:
+    return F.array(*[F.lit(v) for v in declared])
 
 
 def matrix(questions: DataFrame, **dims: list | Column) -> DataFrame:

@@ -11,11 +11,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-RANGES = 256
-
-
-def dominance(points: DataFrame, cost: str = "cost", rating: str = "rating", ranges: int = RANGES) -> DataFrame:
+def dominance(points: DataFrame, cost: str = "cost", rating: str = "rating", ranges: int | None = None) -> DataFrame:
     """Adds ``beaten``. Points equal on both axes do not beat one another; unpriced or unrated ones take no part."""
+    ranges = ranges or max(2, int(points.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     points = points.where(F.col(cost).isNotNull() & F.col(rating).isNotNull())
     per_cost = points.groupBy(cost).agg(F.max(rating).alias("_best"))
     marks = [i / ranges for i in range(1, ranges)]
@@ -23,7 +21,7 @@ def dominance(points: DataFrame, cost: str = "cost", rating: str = "rating", ran
     cut = per_cost.withColumn("_edges", edges).withColumn(
         "_range", F.coalesce(F.size(F.filter("_edges", lambda e: e < F.col(cost))), F.lit(0))
     ).drop("_edges")
-    # at most `ranges` entries, whatever the table holds
+    # one entry per range, and as many ranges as the session has shuffle partitions
     tops = cut.groupBy("_range").agg(F.max("_best").alias("_top"))
     carried = tops.agg(F.collect_list(F.struct("_range", "_top"))).scalar()
     before = Window.partitionBy("_range").orderBy(cost).rowsBetween(Window.unboundedPreceding, -1)

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.labels import BATCH_LABS, model_lab
 from ..functions.prompts import estimate_tokens
+from ..session import staged
 
 MAX_BATCH_TOKENS = 750_000
 MAX_BATCH_REQUESTS = 2_000
@@ -102,34 +104,92 @@ def match_outcomes(requests: DataFrame, outcomes: DataFrame) -> DataFrame:
 
 
 def chunk_requests(
-    requests: DataFrame,
-    max_tokens: int = MAX_BATCH_TOKENS,
-    max_requests: int = MAX_BATCH_REQUESTS,
-    bucket_rows: int = 50_000,
+    requests: DataFrame, order: list[str], max_tokens: int = MAX_BATCH_TOKENS, max_requests: int = MAX_BATCH_REQUESTS, span_rows: int = 50_000,
 ) -> DataFrame:
-    """Assign each request to a chunk under both ceilings; an oversized one stands alone.
-
-    Greedy filling needs order, so each route is split into buckets of about
-    ``bucket_rows`` by id hash and filled inside the bucket: no route, however
-    large, passes through one task. Chunks are legal everywhere and as full as
-    greedy makes them inside a bucket.
+    """(route, wire_id, tokens, chunk): chunks filled greedily in request order under both ceilings; an oversized request stands alone.
+
+    The fill of a whole route is exact without any task seeing it. A route is
+    cut into spans by position. Where the next span is entered depends on where
+    this one was, but only on the first ``max_requests`` rows of it; so every
+    span gives, for each such entry, the entry of the next span and the number
+    of chunks begun. These small maps are composed over groups of spans and
+    then over groups, which settles every span's entry and first chunk number.
     """
-    n_rows = requests.groupBy("route").agg(F.count(F.lit(1)).alias("_n"))
-    sized = requests.join(n_rows, "route").withColumn(
-        "bucket", F.pmod(F.xxhash64("wire_id"), F.greatest(F.ceil(F.col("_n") / bucket_rows), F.lit(1)).cast("bigint"))
-    )
-    lean = sized.select("route", "bucket", "wire_id", "tokens")
+    span_rows = max(span_rows, max_requests)
+    rows = _positions(requests, order)
+    own = rows.withColumn("span", F.floor(F.col("pos") / span_rows)).withColumn("ahead", F.lit(False))
+    head = own.where((F.col("span") > 0) & (F.col("pos") % span_rows < max_requests))
+    seen = own.unionByName(head.withColumn("span", F.col("span") - 1).withColumn("ahead", F.lit(True)))
+    longest = 512
+
+    def ends_of(tokens: np.ndarray) -> np.ndarray:
+        total = np.concatenate([[0], np.cumsum(tokens)])
+        i = np.arange(len(tokens))
+        fits = np.searchsorted(total, total[:-1] + max_tokens, side="right") - 1
+        return np.minimum(np.maximum(fits, i + 1), i + max_requests)
+
+    def map_span(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("pos")
+        n, ends = int((~pdf["ahead"]).sum()), ends_of(pdf["tokens"].to_numpy())
+        leaves, begun = np.zeros(n, np.int64), np.zeros(n, np.int64)
+        for i in range(n - 1, -1, -1):
+            e = ends[i]
+            leaves[i], begun[i] = (e - n, 1) if e >= n else (leaves[e], begun[e] + 1)
+        k = min(n, max_requests)
+        first = pdf.iloc[0]
+        return pd.DataFrame({"route": [first["route"]], "span": [first["span"]], "leaves": [leaves[:k]], "begun": [begun[:k]]})
+
+    maps = staged(seen.groupBy("route", "span").applyInPandas(
+        map_span, "route string, span bigint, leaves array<bigint>, begun array<bigint>"), "chunk-maps")
+    maps = maps.withColumn("grp", F.floor(F.col("span") / longest))
+
+    def compose(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("span")
+        at = np.arange(len(pdf["leaves"].iloc[0]))
+        begun = np.zeros(len(at), np.int64)
+        for leaves, more in zip(pdf["leaves"], pdf["begun"]):
+            inside = np.minimum(at, len(leaves) - 1)  # beyond the end of the last span nothing follows
+            begun, at = begun + np.asarray(more)[inside], np.asarray(leaves)[inside]
+        return pd.DataFrame({"route": [pdf["route"].iloc[0]], "span": [pdf["grp"].iloc[0]], "leaves": [at], "begun": [begun]})
+
+    def enter(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("span")
+        at = int(pdf["at"].iloc[0]) if "at" in pdf else 0
+        chunk = int(pdf["chunk"].iloc[0]) if "chunk" in pdf else 0
+        out = []
+        for span, leaves, begun in zip(pdf["span"], pdf["leaves"], pdf["begun"]):
+            out.append((pdf["route"].iloc[0], span, at, chunk))
+            if at < len(leaves):
+                at, chunk = int(leaves[at]), chunk + int(begun[at])
+        return pd.DataFrame(out, columns=["route", "span", "at", "chunk"])
+
+    where = "route string, span bigint, at bigint, chunk bigint"
+    grouped = maps.groupBy("route", "grp").applyInPandas(compose, "route string, span bigint, leaves array<bigint>, begun array<bigint>")
+    entered = grouped.groupBy("route").applyInPandas(enter, where).withColumnRenamed("span", "grp")
+    spans = maps.join(entered, ["route", "grp"]).groupBy("route", "grp").applyInPandas(enter, where)
 
     def fill(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("wire_id", kind="stable").reset_index(drop=True)
-        ids, chunk, count, used = [], 0, 0, 0
-        for t in pdf["tokens"].tolist():
-            if count and (count + 1 > max_requests or used + t > max_tokens):
-                chunk, count, used = chunk + 1, 0, 0
-            ids.append(chunk)
-            count += 1
-            used += t
-        return pdf.assign(chunk=pd.Series(ids, dtype="int64"))
-
-    schema = "route string, bucket bigint, wire_id string, tokens bigint, chunk bigint"
-    return lean.groupBy("route", "bucket").applyInPandas(fill, schema)
+        pdf = pdf.sort_values("pos").reset_index(drop=True)
+        ends, at = ends_of(pdf["tokens"].to_numpy()), int(pdf["at"].iloc[0])
+        starts = np.zeros(len(pdf), np.int64)
+        while at < len(pdf):
+            starts[at] = 1
+            at = int(ends[at])
+        return pdf.assign(chunk=pdf["chunk"] + np.cumsum(starts) - 1)[["route", "wire_id", "tokens", "chunk"]]
+
+    return own.join(spans, ["route", "span"]).groupBy("route", "span").applyInPandas(
+        fill, "route string, wire_id string, tokens bigint, chunk bigint")
+
+
+def _positions(requests: DataFrame, order: list[str]) -> DataFrame:
+    """Rows with their place in their route: ranges of the order are ranked apart, and counts of earlier ranges added."""
+    n = int(requests.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keys = list(dict.fromkeys([*order, "wire_id"]))
+    lean = requests.select("route", "wire_id", F.col("tokens").cast("bigint").alias("tokens"), *[k for k in keys if k != "wire_id"])
+    dealt = staged(lean.repartitionByRange(n, "route", *keys).withColumn("part", F.spark_partition_id()), "chunk-order")
+    inside = Window.partitionBy("route", "part").orderBy(*keys)
+    before = Window.partitionBy("route").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = dealt.groupBy("route", "part").agg(F.count(F.lit(1)).alias("_n"))
+    sizes = sizes.select("route", "part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    placed = dealt.withColumn("_rn", F.row_number().over(inside)).join(sizes, ["route", "part"])
+    return placed.select("route", "wire_id", "tokens", (F.col("_before") + F.col("_rn") - 1).alias("pos"))

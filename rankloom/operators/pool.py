@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.errors import failed
-from ..functions.urls import body_text, host, normalize_url
+from ..functions.urls import body_text, host, normalize_url, trim_ws
 
 
 def explode_sources(fetches: DataFrame, *carry: str) -> DataFrame:
@@ -18,9 +18,10 @@ def explode_sources(fetches: DataFrame, *carry: str) -> DataFrame:
 def canonical_pages(sources: DataFrame) -> DataFrame:
     """Normalised URL, domain and body of each source; sources without a URL go."""
     return (
-        sources.withColumn("raw_url", F.col("url"))
+        # A blank URL is the only one that normalises to nothing; testing the raw one keeps the rule out of the filter.
+        sources.where(trim_ws(F.col("url")) != "")
+        .withColumn("raw_url", F.col("url"))
         .withColumn("url", normalize_url(F.col("url")))
-        .where(F.col("url") != "")
         .withColumn("host", host(F.col("raw_url")))
         .withColumn("body", body_text(F.struct("content", "snippet")))
     )
@@ -41,38 +42,35 @@ def build_pool(sources: DataFrame) -> DataFrame:
 
     First-seen title, domain and query; the longest text and whose it is (the
     earlier on equal length); the first known date; providers in first-seen
-    order. Text itself is not aggregated: the place of the winning source is
-    found on lean rows and its text joined back.
+    order. The sources are read once; the longest text is part of the aggregate,
+    so a map task sends one text per page and provider and drops the rest.
     """
     pages = canonical_pages(sources)
     at = F.struct("seq", "pos")
     lean = pages.select(
         "query_id", "url", "provider", at.alias("at"), "query", "title", "domain",
         F.when(F.col("published") != "", F.col("published")).alias("published"),
-        F.struct(F.length("body").alias("chars"), (-F.col("seq")).alias("s"), (-F.col("pos")).alias("p")).alias("size"),
+        F.struct(F.length("body").alias("chars"), (-F.col("seq")).alias("s"), (-F.col("pos")).alias("p"), "body", "provider").alias("text"),
     )
     dated_at = F.when(F.col("published").isNotNull(), F.col("at"))
     per_provider = lean.groupBy("query_id", "url", "provider").agg(
         F.min("at").alias("at"),
         F.min(F.struct("at", "query", "title", "domain")).alias("first"),
-        F.max("size").alias("size"),
+        F.max("text").alias("text"),
         F.min(F.when(dated_at.isNotNull(), F.struct("at", "published"))).alias("dated"),
     )
     pool = per_provider.groupBy("query_id", "url").agg(
         F.min("first").alias("first"),
-        F.max("size").alias("size"),
+        F.max("text").alias("text"),
         F.min("dated").alias("dated"),
         # at most one entry per configured provider
         F.array_sort(F.collect_list(F.struct("at", "provider"))).alias("by"),
     )
-    pool = pool.select(
+    return pool.select(
         "query_id", "url", F.col("first.query").alias("query"), F.col("first.title").alias("title"),
         F.col("first.domain").alias("domain"), F.col("dated.published").alias("published"),
-        F.col("by.provider").alias("returned_by"),
-        (-F.col("size.s")).alias("seq"), (-F.col("size.p")).alias("pos"),
+        F.col("by.provider").alias("returned_by"), F.col("text.body").alias("content"), F.col("text.provider").alias("content_from"),
     )
-    text = pages.select("query_id", "url", "seq", "pos", F.col("body").alias("content"), F.col("provider").alias("content_from"))
-    return pool.join(text, ["query_id", "url", "seq", "pos"]).drop("seq", "pos")
 
 
 def pool_from_fetches(fetches: DataFrame) -> DataFrame:

@@ -28,23 +28,33 @@ def group_of(questions: DataFrame, *groups: tuple[str, DataFrame]) -> DataFrame:
     return questions.join(first, "query_id", "left")
 
 
+def group_by_rules(log: DataFrame, *groups: tuple[str, Column]) -> DataFrame:
+    """The same where sets are conditions on a log's rows: one aggregate; the first group any row meets wins."""
+    rank = F.lit(None).cast("int")
+    for i, (_, rule) in reversed(list(enumerate(groups))):
+        rank = F.when(rule, i).otherwise(rank)
+    first = log.groupBy("query_id").agg(F.min(rank).alias("_r"))
+    return first.select("query_id", F.get(F.array(*[F.lit(name) for name, _ in groups]), F.col("_r")).alias("group"))
+
+
 def group_counts(questions: DataFrame) -> DataFrame:
     return questions.groupBy(F.coalesce("group", F.lit("none")).alias("group")).agg(F.count(F.lit(1)).alias("n"))
 
 
 # --- rated pages ----------------------------------------------------------------
 
-def rated_pages(returned: DataFrame, judgements: DataFrame, judges: list[str]) -> DataFrame:
+def rated_pages(returned: DataFrame, judgements: DataFrame, judges: list[str], order: tuple[str, ...] = ()) -> DataFrame:
     """Each page a provider returned with its ratings, one row per (question, provider, url).
 
-    Both inputs carry normalised URLs. The panel is declared, never inferred:
+    Both inputs carry normalised URLs; of several ratings of one judge that
+    meet there the last by ``order`` counts. The panel is declared, never inferred:
     a page counts as fully rated only when every declared judge rated it.
     """
     r = [F.col(f"r{i}") for i in range(len(judges))]
     n = sum(x.isNotNull().cast("int") for x in r)
     total = sum(F.coalesce(x, F.lit(0)) for x in r)
     widest = F.greatest(*r) - F.least(*r) if len(r) > 1 else F.lit(0)
-    rated = ratings_wide(judgements, judges).select(
+    rated = ratings_wide(judgements, judges, order=order).select(
         "query_id", "url", n.alias("n_ratings"), (total / n).alias("page_mean"), widest.alias("spread")
     )
     out = returned.select("query_id", "provider", "url").distinct().join(rated, ["query_id", "url"], "left")
@@ -89,11 +99,15 @@ def with_lift(scores: DataFrame, set_means: DataFrame) -> DataFrame:
 
 
 def spread(scores: DataFrame) -> DataFrame:
-    """Best minus worst provider on easy and hard questions, from unrounded means."""
-    out = scores.agg(
-        F.max_by("provider", "mean_score").alias("best"), F.min_by("provider", "mean_score").alias("worst"),
-        (F.max_by("base", "mean_score") - F.min_by("base", "mean_score")).alias("base"),
-        (F.max_by("hard", "mean_score") - F.min_by("hard", "mean_score")).alias("hard"),
+    """Best minus worst provider on easy and hard questions, from unrounded means; ties go to the first name."""
+    kept = F.struct("provider", "base", "hard")
+    ends = scores.where(F.col("mean_score").isNotNull()).agg(
+        F.min_by(kept, F.struct(-F.col("mean_score"), "provider")).alias("top"),
+        F.min_by(kept, F.struct("mean_score", "provider")).alias("low"),
+    )
+    out = ends.select(
+        F.col("top.provider").alias("best"), F.col("low.provider").alias("worst"),
+        (F.col("top.base") - F.col("low.base")).alias("base"), (F.col("top.hard") - F.col("low.hard")).alias("hard"),
     )
     widened = F.floor((F.try_divide(F.col("hard"), F.col("base")) - 1) * 100 + F.lit(0.5))
     return out.withColumn("widened_pct", widened)

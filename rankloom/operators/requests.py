@@ -52,34 +52,43 @@ Scorer = Callable[[pd.DataFrame], pd.DataFrame]
 
 
 def score_with(requests: DataFrame, scorer: Scorer, key: list[str], in_flight: int | None = None) -> DataFrame:
-    """Apply a caller's scorer to request batches; a failure becomes an error row.
+    """Apply a caller's scorer to request batches; a failing request becomes an error row.
 
     The scorer maps a frame of requests to a frame with ``value`` and
-    ``rationale``. ``in_flight`` caps how many batches run at once. A task that
+    ``rationale``. A batch that fails is scored again request by request, so one
+    bad request costs only its own row. ``in_flight`` caps how many batches run at once. A task that
     is retried calls the scorer again, so land results and use the resume join.
     """
     if in_flight:
         requests = requests.repartition(in_flight)
     kept = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in requests.schema.fields if f.name in key)
 
+    def scored_part(batch: pd.DataFrame) -> pd.DataFrame:
+        got, out = scorer(batch), batch[key].copy()
+        out["value"] = pd.to_numeric(got["value"], errors="coerce").astype("float64").to_numpy()
+        out["rationale"] = [None if pd.isna(r) else str(r) for r in got["rationale"]]
+        return out.assign(error=None)
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out = batch[key].copy()
             try:
-                got = scorer(batch)
-                out["value"] = pd.to_numeric(got["value"], errors="coerce").astype("float64").to_numpy()
-                out["rationale"] = got["rationale"].astype(str).to_numpy()
-                out["error"] = None
-            except Exception as e:  # noqa: BLE001 - a scorer may fail in any way
-                out["value"], out["rationale"], out["error"] = float("nan"), "", str(e) or type(e).__name__
-            yield out
+                yield scored_part(batch)
+            except Exception:  # noqa: BLE001 - a scorer may fail in any way; then each request stands alone
+                for i in range(len(batch)):
+                    one = batch.iloc[i:i + 1]
+                    try:
+                        yield scored_part(one)
+                    except Exception as e:  # noqa: BLE001
+                        yield one[key].assign(value=float("nan"), rationale="", error=str(e) or type(e).__name__)
 
     scored = requests.mapInPandas(run, f"{kept}, value double, rationale string, error string")
     return scored.withColumn("value", F.when(~F.isnan("value"), F.col("value")))
 
 
 def landed_scores(requests: DataFrame, landed: DataFrame, key: list[str]) -> DataFrame:
-    """The default scorer: verdicts that already landed, else an error row."""
-    got = landed.select(*key, "value", "rationale", F.lit(True).alias("_hit"))
+    """The default scorer: the last verdict that already landed for a key, else an error row."""
+    order = [c for c in ("seq", "landed_at") if c in landed.columns]
+    last = landed.groupBy(*key).agg(F.max_by(F.struct("value", "rationale"), F.struct(*order, "value", "rationale")).alias("_v"))
+    got = last.select(*key, "_v.value", "_v.rationale", F.lit(True).alias("_hit"))
     out = requests.select(*key).join(got, key, "left")
     return out.withColumn("error", F.when(F.col("_hit").isNull(), F.lit("no batch result"))).drop("_hit")

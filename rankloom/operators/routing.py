@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..functions.errors import failed
 from ..functions.labels import TYPE_ORDER, order_of
 from ..functions.stats import ci95, half_up, mean0
-from .dims import values_or
+from .dims import values
 
 # Gap below which a lead is re-run noise; failure rate above which a
 # provider is not recommended; difference in failure rate that matters.
@@ -16,13 +16,13 @@ MAX_ERROR_RATE = 0.2
 RELIABILITY_EDGE = 0.05
 
 
-def heatmap(rows: DataFrame, providers: list[str] | None = None) -> DataFrame:
+def heatmap(rows: DataFrame, providers: list[str]) -> DataFrame:
     """Long form: mean retrieval per (type, provider), 0 with runs = 0 where nothing ran."""
     ok = rows.where(~failed(F.col("error")))
     cells = ok.groupBy("type", "provider").agg(
         F.round(F.avg("retrieval_score"), 2).alias("score"), F.count("retrieval_score").alias("runs")
     )
-    grid = rows.select("type").distinct().withColumn("provider", F.explode(values_or(rows, "provider", providers)))
+    grid = rows.select("type").distinct().withColumn("provider", F.explode(values(providers)))
     return grid.join(cells, ["type", "provider"], "left").select(
         "type", "provider",
         F.coalesce("score", F.lit(0.0)).alias("score"), F.coalesce("runs", F.lit(0)).alias("runs"),

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.errors import failed, is_provider_fault
 from ..functions.stats import ci95, mean0
-from .dims import values_or, with_slices
+from .dims import values, with_slices
 from .ranks import percentiles
 
 RELEVANT_AT = 2
@@ -73,13 +73,15 @@ def query_scores(fetches: DataFrame, returned: DataFrame, panel: DataFrame) -> D
 
 
 def provider_stats(
-    scores: DataFrame, slices: tuple[str, ...] = (), providers: list[str] | None = None
+    scores: DataFrame, slices: tuple[str, ...] = (), providers: list[str] = ()
 ) -> DataFrame:
     """Scoreboard per provider, and per slice when asked, zero-filled over the grid.
 
     All slices come out of one aggregate; the percentiles of the timed fetches
     out of another.
     """
+    if slices and not providers:
+        raise ValueError("a grid over slices needs its providers declared")
     sliced = with_slices(scores, *slices)
     keys = ["slice", "slice_value", "provider"]
     stats = sliced.groupBy(*keys).agg(
@@ -100,7 +102,7 @@ def provider_stats(
     full = stats.join(timing, keys, "left")
     if slices:
         grid = sliced.select("slice", "slice_value").distinct().withColumn(
-            "provider", F.explode(values_or(scores, "provider", providers))
+            "provider", F.explode(values(providers))
         )
         full = grid.join(full, keys, "left")
     absent_is_zero = [c for c in stats.columns if c not in keys]

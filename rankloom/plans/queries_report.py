@@ -21,19 +21,15 @@ def best(v: Views):
 
 
 def groups(v: Views):
-    log = v.fetch_log
-    ids = log.select("query_id").distinct()
-    return report.group_of(
-        ids,
-        ("base", log.where("type in ('t0', 't1')").select("query_id").distinct()),
-        ("hard", log.where("type in ('t1', 't2', 't3')").select("query_id").distinct()),
-        ("unanswerable", log.where("type = 't4'").select("query_id").distinct()),
+    return report.group_by_rules(
+        v.fetch_log, ("base", F.col("type").isin("t0", "t1")), ("hard", F.col("type").isin("t1", "t2", "t3")),
+        ("unanswerable", F.col("type") == "t4"),
     )
 
 
 def good_judgements(v: Views):
     good = latest.last_good_verdicts(v.judgement_log, latest.JUDGEMENT_KEY, "rung", J_ORDER)
-    return good.select("query_id", normalize_url(F.col("url")).alias("url"), "judge", "rung")
+    return good.select("query_id", normalize_url(F.col("url")).alias("url"), "judge", "rung", *J_ORDER)
 
 
 def searched_pages(v: Views):
@@ -43,7 +39,7 @@ def searched_pages(v: Views):
 
 
 def rated(v: Views):
-    return report.rated_pages(searched_pages(v), good_judgements(v), JUDGES)
+    return report.rated_pages(searched_pages(v), good_judgements(v), JUDGES, J_ORDER)
 
 
 step("question_groups", """
@@ -353,7 +349,7 @@ select *, sum(case when fault = 'transport' then 0 else 1 end) over (partition b
 select run_id, min(seq) as dead_at from (select run_id, seq, fault, row_number() over (partition by run_id, isle, fault = 'transport' order by seq) as k from isles)
 where fault = 'transport' and k >= 2 group by 1""")
 def w07(v):
-    return breakers.network_dead(v.fetch_log, limit=2, span=64)
+    return breakers.network_dead(v.fetch_log, limit=2)
 
 
 # --- baseline and calibration -------------------------------------------------
@@ -395,11 +391,12 @@ def l08(v):
 
 
 @query("j14_baseline_attached", """
-select q.query_id, coalesce(string_agg(b.grader || ':' || b.verdict, ',' order by b.grader), '') as baseline
+select q.query_id, coalesce(string_agg(b.grader || ':' || b.verdict || ':since ' || b.verdict, ',' order by b.grader), '') as baseline
 from (select distinct query_id from baseline_log) q left join (select * from base_rows where verdict is not null) b on q.query_id = b.query_id group by 1""")
 def j14(v):
-    out = baseline.attach_baseline(v.baseline_log.select("query_id").distinct(), base_rows(v))
-    flat = F.transform("baseline", lambda b: F.concat_ws(":", b["grader"], b["verdict"]))
+    rows = base_rows(v).withColumn("rationale", F.concat(F.lit("since "), F.col("verdict")))
+    out = baseline.attach_baseline(v.baseline_log.select("query_id").distinct(), rows)
+    flat = F.transform("baseline", lambda b: F.concat_ws(":", b["grader"], b["verdict"], b["rationale"]))
     return out.select("query_id", F.array_join(flat, ",").alias("baseline"))
 
 
@@ -491,26 +488,29 @@ def u04(v):
 select distinct cast(cast(floor(a.usd_per_query / b.usd_per_query + 0.5) as bigint) as varchar) as form from provider_costs a cross join provider_costs b
 union select distinct cast(cast(floor(a.p50_ms / b.p50_ms + 0.5) as bigint) as varchar) from latency a cross join latency b
 union select distinct unnest([printf('%.0f', round(p50_ms / 1000, 0)), printf('%.1f', round(p50_ms / 1000, 1)), printf('%.0f', round(p90_ms / 1000, 0)),
- printf('%.1f', round(p90_ms / 1000, 1)), printf('%.0f', round(max_ms / 1000, 0)), printf('%.1f', round(max_ms / 1000, 1))]) from latency""")
+ printf('%.1f', round(p90_ms / 1000, 1)), printf('%.0f', round(max_ms / 1000, 0)), printf('%.1f', round(max_ms / 1000, 1))]) from latency
+union select cast(cast(floor(100.0 * sum(calls) filter (provider = 'p1') / sum(calls) + 0.5) as bigint) as varchar) from provider_costs
+union select cast(cast(floor(100.0 * count(*) filter (k >= 2) / count(*) + 0.5) as bigint) as varchar) from overlap_counts""")
 def u06(v):
     waits = latency(v)
-    costs = audit.ratio_forms(v.provider_costs, "usd_per_query")
-    forms = costs.union(audit.ratio_forms(waits, "p50_ms")).union(audit.second_forms(waits, "p50_ms", "p90_ms", "max_ms"))
-    return forms.distinct()
+    costs = audit.ratio_forms(v.provider_costs, "provider", "usd_per_query", PROVIDERS)
+    forms = costs.union(audit.ratio_forms(waits, "provider", "p50_ms", PROVIDERS)).union(audit.second_forms(waits, "p50_ms", "p90_ms", "max_ms"))
+    spent = v.provider_costs.agg(F.sum(F.when(F.col("provider") == "p1", F.col("calls"))).alias("part"), F.sum("calls").alias("whole"))
+    return forms.union(audit.share_forms(spent, "part", "whole")).union(audit.share_forms(pool.overlap_shares(pool.overlap(v.fetch_pages, "url", 8), 8), "from_two_or_more", "n_pages")).distinct()
 
 
 @query("u07_shared_verbatim", """
-select distinct text from documents where lang = 'en' and source in (select min(source) from documents)
-intersect select text from documents where lang = 'en' and source in (select max(source) from documents)""")
+select distinct text from documents where source in (select min(source) from documents)
+intersect select text from documents where source in (select max(source) from documents)""")
 def u07(v):
-    d = v.documents.where("lang = 'en'")
+    d = v.documents
     lo, hi = v.documents.agg(F.min("source").alias("s")).scalar(), v.documents.agg(F.max("source").alias("s")).scalar()
     return audit.shared_verbatim(d.where(F.col("source") == lo), d.where(F.col("source") == hi), "text")
 
 
-@query("u08_audit_text", f"select page_id, {_AUDIT_TEXT} as text from pages")
+@query("u08_audit_text", f"select page_id, {_AUDIT_TEXT.replace('(html,', '(named,')} as text from (select page_id, regexp_replace(html, 'track[(][0-9]+[)]', ' ', 'g') as named from pages)")
 def u08(v):
-    return v.pages.select("page_id", audit.audit_text(F.col("html")).alias("text"))
+    return v.pages.select("page_id", audit.audit_text(F.col("html"), ("track[(][0-9]+[)]",)).alias("text"))
 
 
 @query("u09_table_faults", """

@@ -5,9 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import errors as E
-from ..functions.stats import ci95, mean0, pearson, std0
+from ..functions.stats import T95, T95_BEYOND, ci95, mean0, pearson, std0
 from ..operators import agreement, dims, latest, ranks, score, variance
-from ..session import staged
 from .registry import query, step
 from .views import JUDGES, PROVIDERS, Views
 
@@ -17,10 +16,8 @@ _TRANSPORT = r"(?i)\b(ENOTFOUND|ECONNREFUSED|ECONNRESET)\b|fetch failed|connecti
 _ACCOUNT = r"(?i)\b(401|402|403)\b|insufficient credit|quota exceeded|payment required|out of credits|billing"
 TCRIT = (
     "case when {n} <= 1 then 0 " + "".join(
-        f"when {{n}} - 1 <= {k} then {v} " for k, v in
-        [(1, 12.706), (2, 4.303), (3, 3.182), (4, 2.776), (5, 2.571), (6, 2.447), (7, 2.365), (8, 2.306),
-         (9, 2.262), (10, 2.228), (15, 2.131), (20, 2.086), (25, 2.06), (30, 2.042)]
-    ) + "else 1.96 end"
+        f"when {{n}} - 1 <= {k} then {v} " for k, v in T95.items()
+    ) + f"else {T95_BEYOND} end"
 )
 
 
@@ -102,11 +99,6 @@ def cells(v: Views):
     return score.judge_cells(fetches(v), v.fetch_pages, judgements(v))
 
 
-def staged_cells(v: Views):
-    """Written once: the shares read the cells at five grains."""
-    return staged(cells(v), "cells")
-
-
 # --- D: dedupe --------------------------------------------------------------
 
 _FETCH_OUT = ["seq", "query_id", "provider", "type", "error", "error_stage", "fetch_ms"]
@@ -277,7 +269,7 @@ from (select slice, slice_value, provider from (select distinct slice, slice_val
 left join (select slice, slice_value, provider, {SCORE_COLS} from sliced_scores group by 1, 2, 3) g
  on s.slice = g.slice and s.slice_value = g.slice_value and s.provider = g.provider""")
 def a14(v):
-    return score.provider_stats(scores(v), ("type", "sharpness", "genre"))
+    return score.provider_stats(scores(v), ("type", "sharpness", "genre"), PROVIDERS)
 
 
 step("sliced_scores", """
@@ -387,7 +379,7 @@ select round(provider / total, 6) as provider, round(query / total, 6) as query,
  round(provider_by_query / total, 6) as provider_by_query,
  round(greatest(0, total - provider - query - judge - provider_by_query) / total, 6) as residual, n_cells from variance""")
 def a19(v):
-    return variance.variance_shares(staged_cells(v))
+    return variance.variance_shares(cells(v))
 
 
 @query("a20_variance_cells", 'select query_id, provider, judge, round("value", 6) as "value" from cells')
@@ -408,7 +400,7 @@ def a21(v):
 select round(provider / total, 6) as provider, round(provider_by_query / total, 6) as provider_by_query,
  n_cells > 0 and provider / total < 0.05 and provider_by_query > provider * 2 as map_not_ranking from variance""")
 def a50(v):
-    return variance.map_not_ranking(variance.variance_shares(staged_cells(v)))
+    return variance.map_not_ranking(variance.variance_shares(cells(v)))
 
 
 # --- J: matrices and resume -------------------------------------------------

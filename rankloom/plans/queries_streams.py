@@ -81,15 +81,14 @@ def t06(v):
     area = _area(v, "t06")
     rows = fetch_stream(v).select("seq", "query_id", "provider", "error")
     streams.upsert_stream(rows, FETCH_KEY, f"{area}/check", f"{area}/view").awaitTermination()
-    return streams.current_view(v.spark, f"{area}/view").drop("bucket", "batch")
+    return streams.current_view(v.spark, f"{area}/view", FETCH_KEY)
 
 
-@query("t07_first_results", "select distinct query_id || '|' || provider as wire_id from fetch_log")
+@query("t07_first_results", """
+select query_id || '|' || provider as wire_id, seq, error, fetch_ms from
+ (select *, row_number() over (partition by query_id, provider order by seq) as rn from fetch_log) where rn = 1""")
 def t07(v):
-    streams.use_rocksdb(v.spark)
     area = _area(v, "t07")
-    rows = stream(v, "fetch_log", "events").select(
-        F.concat_ws("|", "query_id", "provider").alias("wire_id"), F.current_timestamp().alias("landed_at")
-    )
-    streams.start(streams.first_results(rows), f"{area}/check", f"{area}/out").awaitTermination()
-    return v.spark.read.schema("wire_id string, landed_at timestamp").parquet(f"{area}/out").select("wire_id")
+    rows = fetch_stream(v).select(F.concat_ws("|", "query_id", "provider").alias("wire_id"), "seq", "error", "fetch_ms")
+    streams.deliver_first(rows, f"{area}/check", f"{area}/out", order="seq").awaitTermination()
+    return v.spark.read.parquet(f"{area}/out").drop("batch")

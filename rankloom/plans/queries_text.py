@@ -386,11 +386,16 @@ def b04(v):
     return page_requests(v).select("query_id", "url", "judge", "wire_id")
 
 
-@query("b02_request_chunks")
+@query("b02_request_chunks", """
+with recursive o as (select route, tokens, row_number() over (partition by route order by query_id, url, judge, wire_id) as i from page_requests),
+r as (select route, i, tokens, 0 as chunk, 1 as n, tokens as used from o where i = 1 union all
+ select o.route, o.i, o.tokens, case when r.n + 1 > 25 or r.used + o.tokens > 40000 then r.chunk + 1 else r.chunk end,
+  case when r.n + 1 > 25 or r.used + o.tokens > 40000 then 1 else r.n + 1 end,
+  case when r.n + 1 > 25 or r.used + o.tokens > 40000 then o.tokens else r.used + o.tokens end from r join o on o.route = r.route and o.i = r.i + 1)
+select route, cast(chunk as bigint) as chunk, count(*) as n, cast(sum(tokens) as bigint) as tokens from r group by route, chunk""")
 def b02(v):
-    """Chunks under both ceilings; their fill depends on the id hash, so no SQL form."""
-    chunks = planning.chunk_requests(page_requests(v), max_tokens=40_000, max_requests=25)
-    return chunks.groupBy("route", "bucket", "chunk").agg(F.count(F.lit(1)).alias("n"), F.sum("tokens").alias("tokens"))
+    chunks = planning.chunk_requests(page_requests(v), ["query_id", "url", "judge"], max_tokens=40_000, max_requests=25, span_rows=500)
+    return chunks.groupBy("route", "chunk").agg(F.count(F.lit(1)).alias("n"), F.sum("tokens").alias("tokens"))
 
 
 step("outcomes", """
@@ -497,7 +502,7 @@ def x01(v):
         return batch.assign(value=n % 4, rationale="n=" + n.astype(str))
 
     reqs = page_requests(v).select("query_id", "url", "judge", "prompt")
-    return requests.score_with(reqs, by_length, ["query_id", "url", "judge"], in_flight=4)
+    return requests.score_with(reqs, by_length, ["query_id", "url", "judge"])
 
 
 @query("x01_landed_scorer", """

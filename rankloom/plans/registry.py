@@ -52,6 +52,8 @@ def oracle_text(body: str) -> str:
         return body
     ctes = ",\n".join(f"{n} as ({_text(n)})" for n in order)
     own = body.lstrip()
+    if own.startswith("with recursive "):
+        return f"with recursive {ctes},\n{own[15:]}"
     if own.startswith("with "):
         return f"with {ctes},\n{own[5:]}"
     return f"with {ctes}\n{body}"

@@ -23,9 +23,9 @@ def returned_sets(fetches: DataFrame) -> DataFrame:
 
 
 def pooled_summary(
-    fetch_log: DataFrame, judgement_log: DataFrame, set_verdict_log: DataFrame, judges: list[str]
+    fetch_log: DataFrame, judgement_log: DataFrame, set_verdict_log: DataFrame, judges: list[str], providers: list[str]
 ) -> dict[str, DataFrame]:
-    """Everything the pooled run reports, from its three logs (judges by label)."""
+    """Everything the pooled run reports, from its three logs (judges by label, providers as declared)."""
     fetches = staged(latest.dedupe_fetches(fetch_log.drop("sources")), "fetches")
     judgements = staged(
         latest.dedupe_verdicts(judgement_log, latest.JUDGEMENT_KEY).select("query_id", "url", "judge", "rung"), "judgements"
@@ -39,7 +39,7 @@ def pooled_summary(
     return {
         "counters": score.run_counters(fetches, judgements, judgement_log),
         "by_provider": score.provider_stats(scores).drop("slice", "slice_value"),
-        "by_slice": score.provider_stats(scores, ("type", "sharpness", "genre")),
+        "by_slice": score.provider_stats(scores, ("type", "sharpness", "genre"), providers),
         "by_provider_set": score.set_stats(score.set_scores(fetches, F.coalesce(F.size("urls"), F.lit(0)), sets)),
         "agreement": agreement.panel_agreement(judgements, judges),
         "agreement_by_sharpness": agreement.agreement_by_tag(judgements, tags, "sharpness", judges),
@@ -49,14 +49,14 @@ def pooled_summary(
     }
 
 
-def arm_summary(arm_log: DataFrame, judges: list[str]) -> dict[str, DataFrame]:
+def arm_summary(arm_log: DataFrame, judges: list[str], providers: list[str]) -> dict[str, DataFrame]:
     """The first-generation summary; variance uses the first two judges."""
     arms = staged(latest.dedupe_arms(arm_log), "arms")
     pairs = [(a, b) for i, a in enumerate(judges) for b in judges[i + 1:]]
     tables = {
         "counters": credibility.counters(arms),
         "by_provider": credibility.provider_stats(arms),
-        "by_type": credibility.provider_stats(arms, by_type=True),
+        "by_type": credibility.provider_stats(arms, by_type=True, providers=providers),
     }
     if pairs:
         agreed = [credibility.agreement(arms, a, b) for a, b in pairs]
@@ -79,7 +79,7 @@ def report_tables(
     sources = pool.explode_sources(clean.join(winners, ["query_id", "provider", "seq"], "left_semi"))
     pages = staged(pool.canonical_pages(sources).select("query_id", "provider", "url", "raw_url"), "pages")
     good = latest.last_good_verdicts(judgement_log, latest.JUDGEMENT_KEY).withColumn("url", normalize_url(F.col("url")))
-    rated = staged(report.rated_pages(pages, good, judges), "rated")
+    rated = staged(report.rated_pages(pages, good, judges, ("seq",)), "rated")
     scored = staged(report.with_lift(report.page_scores(rated, groups), set_means), "page-scores")
     priced = report.attach_costs(set_means, costs)
     hist = pool.overlap(pages, "url", len(providers))

@@ -139,7 +139,7 @@ def normalize(
     rows = rows.withColumn("url", url)
     fetched = None
     if lay.content == "fetched" and contents is not None:
-        got = contents.select("url", F.col("content").alias("_fetched"))
+        got = contents.groupBy("url").agg(F.max("content").alias("_fetched"))
         rows = rows.join(got, "url", "left")
         fetched = F.when(F.col("extraction") == "clean", F.col("_fetched"))
     r = F.col("r")

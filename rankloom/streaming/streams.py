@@ -10,7 +10,7 @@ import heapq
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.query import StreamingQuery
 
@@ -221,45 +221,25 @@ def expired_entries(fetches: DataFrame, ttl_seconds: int = 24 * 60 * 60, delay:
 
 # --- last write wins ----------------------------------------------------------------
 
-BUCKETS = 64
+def _exists(spark: SparkSession, path: str) -> bool:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
 
 
-def _bucket(keys) -> Column:
-    return F.pmod(F.xxhash64(*keys), F.lit(BUCKETS)).cast("int")
-
-
-def current_view(spark: SparkSession, path: str, before: int | None = None) -> DataFrame | None:
-    """Newest version of every bucket, optionally as of an earlier batch."""
-    try:
-        rows = spark.read.parquet(path)
-    except Exception as e:  # noqa: BLE001 - the first batch finds no table
-        if "PATH_NOT_FOUND" in str(e) or "UNABLE_TO_INFER_SCHEMA" in str(e):
-            return None
-        raise
-    if before is not None:
-        rows = rows.where(F.col("batch") < before)
-    newest = rows.select("bucket", "batch").distinct().groupBy("bucket").agg(F.max("batch").alias("batch"))
-    return rows.join(newest, ["bucket", "batch"], "left_semi")
+def current_view(spark: SparkSession, path: str, keys, order=("seq",)) -> DataFrame:
+    """The last write of every key over all batches that were appended."""
+    return last_write(spark.read.parquet(path).drop("batch"), keys, order)
 
 
 def upsert_stream(log: DataFrame, keys, checkpoint: str, view: str, order=("seq",)) -> StreamingQuery:
-    """Keep a last-write-wins table of a log.
+    """Keep a log's writes as a last-write-wins table.
 
-    A micro-batch rewrites only the buckets it touches, each as a new version
-    next to the old one; repeating a batch overwrites its own version.
+    A micro-batch appends its own winners and rewrites nothing; the last write
+    is resolved on reading, and ``compact`` folds batches together now and then.
+    A repeated batch writes its own folder again.
     """
     def step(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        fresh = last_write(batch, keys, order).withColumn("bucket", _bucket(keys))
-        held = current_view(spark, view, before=batch_id)
-        if held is not None:
-            touched = fresh.select("bucket").distinct()
-            fresh = fresh.unionByName(held.drop("batch").join(touched, "bucket", "left_semi"))
-            fresh = last_write(fresh, keys, order)
-        (
-            fresh.withColumn("batch", F.lit(batch_id)).write.mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic").partitionBy("bucket", "batch").parquet(view)
-        )
+        last_write(batch, keys, order).write.mode("overwrite").parquet(f"{view}/batch={batch_id}")
 
     return (
         log.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
@@ -267,8 +247,30 @@ def upsert_stream(log: DataFrame, keys, checkpoint: str, view: str, order=("seq"
     )
 
 
+def compact(spark: SparkSession, view: str, to: str, keys, order=("seq",)) -> None:
+    """Write the resolved view as one batch of a new table."""
+    current_view(spark, view, keys, order).write.mode("overwrite").parquet(f"{to}/batch=0")
+
+
 # --- chunked results ---------------------------------------------------------------
 
-def first_results(results: DataFrame, key: str = "wire_id", at: str = "landed_at", delay: str = "48 hours") -> DataFrame:
-    """Each request's result once, however many chunks repeat it; the first one counts."""
-    return results.withWatermark(at, delay).dropDuplicatesWithinWatermark([key])
+def deliver_first(results: DataFrame, checkpoint: str, out: str, key: str = "wire_id", order: str = "landed_at") -> StreamingQuery:
+    """Each request's result once, ever, however many chunks repeat it and however late; the first one counts.
+
+    A micro-batch keeps its first row per key and drops keys that an earlier
+    batch delivered, by an anti-join with what lies in ``out``. A repeated
+    batch looks only at batches before its own and writes its own folder again.
+    """
+    def step(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        w = Window.partitionBy(key).orderBy(order)
+        fresh = batch.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
+        if _exists(spark, out):
+            before = spark.read.parquet(out).where(F.col("batch") < batch_id).select(key)
+            fresh = fresh.join(before, key, "left_anti")
+        fresh.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+
+    return (
+        results.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True).start()
+    )

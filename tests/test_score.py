@@ -65,7 +65,7 @@ def test_slices_carry_only_tagged_rows_and_fill_the_grid(spark):
     js = judged(spark, ("q1", "a", "j", 3), ("q2", "b", "j", 1))
     f = fetches(spark, ok("q1", "p", sharp="sharp"), ok("q2", "r"))
     s = score.query_scores(f, returned(spark, ("q1", "p", "a"), ("q2", "r", "b")), score.panel_means(js))
-    out = score.provider_stats(s, ("type", "sharpness"))
+    out = score.provider_stats(s, ("type", "sharpness"), ["p", "r"])
     got = {(r["slice"], r["slice_value"], r["provider"]): r["n_queries"] for r in out.collect()}
     assert got == {
         ("all", "", "p"): 1, ("all", "", "r"): 1, ("type", "t", "p"): 1, ("type", "t", "r"): 1,
@@ -164,7 +164,8 @@ def test_clean_row_beats_a_later_failure(spark, rows):
     assert rows(latest.best_fetches(log), "provider", "seq") == [("p", 1), ("r", 4)]
 
 
-def test_a_dimension_that_is_not_small_is_refused(spark):
-    big = spark.range(dims.MAX_DIM + 1).select(F.col("id").cast("string").alias("provider"))
-    with pytest.raises(Exception, match="not a small dimension"):
-        spark.range(1).select(dims.dim_values(big, "provider")).collect()
+def test_a_grid_needs_its_providers_declared(spark):
+    js = judged(spark, ("q1", "a", "j", 3))
+    scores = score.query_scores(fetches(spark, ok("q1", "p")), returned(spark, ("q1", "p", "a")), score.panel_means(js))
+    with pytest.raises(ValueError, match="declared"):
+        score.provider_stats(scores, ("type",))

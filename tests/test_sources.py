@@ -113,14 +113,42 @@ def test_overlap_histogram_adds_up(spark):
     assert sum(got.values()) == 6 and set(got) == {1, 2, 3, 4}
 
 
-def test_chunks_respect_both_ceilings(spark):
+def test_chunks_are_the_greedy_fill_in_request_order(spark):
     rng = random.Random(7)
-    reqs = [(f"id{i:04d}", "openai", rng.choice([10, 200, 900, 5000])) for i in range(600)]
-    df = spark.createDataFrame(reqs, "wire_id string, route string, tokens bigint")
-    out = planning.chunk_requests(df, max_tokens=1000, max_requests=5, bucket_rows=100).toPandas()
-    assert len(out) == 600 and out["wire_id"].is_unique and out["bucket"].nunique() > 1
-    for _, g in out.groupby(["route", "bucket", "chunk"]):
-        assert len(g) == 1 or (len(g) <= 5 and g["tokens"].sum() <= 1000)
+    reqs = [(f"id{i:04d}", route, rng.choice([10, 200, 900, 5000]), i) for i in range(700) for route in (["a", "b"] if i < 90 else ["a"])]
+    df = spark.createDataFrame(reqs, "wire_id string, route string, tokens bigint, seq int")
+    got = {(r["route"], r["wire_id"]): r["chunk"] for r in planning.chunk_requests(df, ["seq"], max_tokens=1000, max_requests=5, span_rows=16).collect()}
+    want = {}
+    for route in ("a", "b"):
+        chunk, n, used = -1, 5, 0
+        for i, _, tokens, _ in [r for r in reqs if r[1] == route]:
+            if n + 1 > 5 or used + tokens > 1000:
+                chunk, n, used = chunk + 1, 0, 0
+            n, used = n + 1, used + tokens
+            want[(route, i)] = chunk
+    assert got == want
+
+
+def test_a_strict_scan_fails_on_a_cut_line(spark):
+    lines_ = spark.createDataFrame([('{"seq": 1}',), ("",), ('{"seq": 2',)], "line string")
+    with pytest.raises(Exception, match="unreadable log line"):
+        logs.parse_lines(lines_, "line", "seq BIGINT", "fail").collect()
+
+
+def test_one_bad_request_costs_its_own_row(spark):
+    from rankloom.operators import requests
+
+    def scorer(batch):
+        if (batch["prompt"] == "bad").any():
+            raise ValueError("no")
+        return batch.assign(value=1.0, rationale=None)
+
+    df = spark.createDataFrame([("a", "fine"), ("b", "bad"), ("c", "fine")], "id string, prompt string").coalesce(1)
+    got = {r["id"]: (r["value"], r["rationale"], r["error"]) for r in requests.score_with(df, scorer, ["id"]).collect()}
+    assert got == {"a": (1.0, None, None), "b": (None, "", "no"), "c": (1.0, None, None)}
+    landed = spark.createDataFrame([("a", 1.0, "x", 1), ("a", 2.0, "y", 2)], "id string, value double, rationale string, seq int")
+    out = {r["id"]: (r["value"], r["error"]) for r in requests.landed_scores(df, landed, ["id"]).collect()}
+    assert out == {"a": (2.0, None), "b": (None, "no batch result"), "c": (None, "no batch result")}
 
 
 def test_tokens_round_up_and_reserve_output(spark):
@@ -214,7 +242,7 @@ def test_renderings(spark):
 
 
 def test_ratio_forms(spark):
-    got = {r[0] for r in audit.ratio_forms(spark.createDataFrame([("a", 10.0), ("b", 540.0), ("c", None)], "provider string, p50 double"), "p50").collect()}
+    got = {r[0] for r in audit.ratio_forms(spark.createDataFrame([("a", 10.0), ("b", 540.0), ("c", None)], "provider string, p50 double"), "provider", "p50", ["a", "b", "c"]).collect()}
     assert got == {"1", "54", "0"}
 
 
@@ -296,18 +324,22 @@ def test_streams_equal_batches_over_several_arrivals(spark, tmp_path, rows, log)
     assert rows(dead) == rows(breakers.dead_providers(batch, 3))
     net = streams.network_state(spark, out("net"))
     assert rows(net, "run_id", "dead_at") == rows(breakers.network_dead(batch, 3))
-    view = streams.current_view(spark, out("view"))
+    view = streams.current_view(spark, out("view"), latest.FETCH_KEY)
+    streams.compact(spark, out("view"), str(tmp_path / "folded"), latest.FETCH_KEY)
+    assert rows(spark.read.parquet(str(tmp_path / "folded")).drop("batch")) == rows(view)
     assert rows(view, "query_id", "provider", "seq") == rows(latest.last_write(batch, latest.FETCH_KEY), "query_id", "provider", "seq")
     assert rows(streams.latest_progress(spark, out("prog")), "landed", "total") == [(90, 90)]
 
 
 def test_each_result_is_delivered_once(spark, tmp_path):
     chk, out = str(tmp_path / "chk"), str(tmp_path / "out")
-    for i, ids in enumerate((["a", "b"], ["b", "c"])):
-        write(tmp_path / "in" / f"{i}.jsonl", *[json.dumps({"wire_id": k, "landed_at": "2026-08-18T00:00:00Z"}) for k in ids])
+    for day, ids in ((18, ["a", "b", "a"]), (19, ["b", "c"]), (28, ["a", "d"])):
+        at = [{"wire_id": k, "landed_at": f"2026-08-{day}T0{i}:00:00Z"} for i, k in enumerate(ids)]
+        write(tmp_path / "in" / f"{day}.jsonl", *map(json.dumps, at))
         df = streams.read_log(spark, str(tmp_path / "in"), "wire_id string, landed_at timestamp")
-        streams.start(streams.first_results(df), chk, out).awaitTermination()
-    assert sorted(r["wire_id"] for r in spark.read.parquet(out).collect()) == ["a", "b", "c"]
+        streams.deliver_first(df, chk, out).awaitTermination()
+    got = sorted((r["wire_id"], str(r["landed_at"])) for r in spark.read.parquet(out).collect())
+    assert got == [("a", "2026-08-18 00:00:00"), ("b", "2026-08-18 01:00:00"), ("c", "2026-08-19 01:00:00"), ("d", "2026-08-28 01:00:00")]
 
 
 def test_entries_expire_a_day_after_their_newest_fetch(spark, tmp_path):

@@ -1,6 +1,7 @@
 """Edge cases of the statistics, and brute force for the scale forms."""
 
 import math
+from fractions import Fraction
 import random
 
 import pytest
@@ -75,8 +76,9 @@ def test_sign_test(spark):
     assert round(p(12, 1), 4) == 0.0063
     assert p(0, 0) == 1.0
     assert p(4, 2) == 1.0
-    exact = min(1.0, 2 * sum(math.comb(1400, i) for i in range(650 + 1)) / 2**1400)
-    assert p(1400, 650) == pytest.approx(exact, rel=1e-9)
+    for n, k in ((1, 0), (2, 1), (7, 2), (33, 16), (999, 470), (1001, 480), (1400, 650), (5000, 2500), (5000, 2300)):
+        exact = min(1.0, float(Fraction(2 * sum(math.comb(n, i) for i in range(k + 1)), 2**n)))
+        assert p(n, k) == pytest.approx(exact, rel=1e-9)
 
 
 @LOOSE

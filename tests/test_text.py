@@ -93,3 +93,19 @@ def test_labels(spark):
     assert apply(spark, labels.model_lab, "groq/x", "gpt", "unknown/x") == ["groq", "openai", "openai"]
     ages = spark.createDataFrame([(None,), (0,), (59,), (60,), (75,)], "d int").select(labels.age_label(F.col("d")), labels.fresh_status(F.col("d")))
     assert [tuple(r) for r in ages.collect()] == [("undated", "neutral"), ("today", "good"), ("59d ago", "warning"), ("2mo ago", "warning"), ("3mo ago", "warning")]
+
+
+def test_padded_counts_and_entities_are_read(spark):
+    now = F.lit("2026-08-18 00:00:00").cast("timestamp")
+    df = spark.createDataFrame([("0000003 days ago",), ("3 days ago",), ("99999999999999999999 days ago",), ("900000000000000000 days ago",)], "s string")
+    got = [r[0] for r in df.select(dates.relative_date(F.col("s"), now).cast("string")).collect()]
+    assert got == ["2026-08-15", "2026-08-15", None, None]
+    df = spark.createDataFrame([("&#00000065;&#x0000000041;&#0;&#99999999999999999999;&#xfffffffffffffffffff;&#x1F600;",)], "s string")
+    assert df.select(text.decode_entities(F.col("s"))).first()[0] == "AA\x00&#99999999999999999999;&#xfffffffffffffffffff;😀"
+
+
+def test_the_last_rating_of_a_page_counts_across_url_variants(spark):
+    from rankloom.operators import agreement
+
+    js = spark.createDataFrame([("q", "u", "a", 3, 1), ("q", "u", "a", 1, 2), ("q", "u", "b", 2, 1)], "query_id string, url string, judge string, rung int, seq int")
+    assert agreement.ratings_wide(js, ["a", "b"], order=("seq",)).first()[2:] == (1, 2)
