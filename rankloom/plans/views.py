@@ -1,8 +1,8 @@
 """The run logs, derived from the driver tables.
 
 Each text runs unchanged on Spark and on DuckDB; ``{name}`` stands for a base
-table. Keys of the logs come from ids of the tables, so their size follows
-the tables.
+table. Keys of the logs come from ids of the tables, so their number follows
+the tables: a hundred questions for every 10,000 events or 15,000 orders.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ EVENTS_NOW = "2024-01-03 00:00:00"
 VIEWS = {
     "fetch_log": """
 select event_id as seq, 'r' || cast(cast(ts as date) as string) as run_id,
- 'q' || cast(user_id % 100 as string) as query_id, 'p' || cast(event_id % 8 as string) as provider,
+ 'q' || cast(user_id % 100 + 100 * cast(floor(event_id / 10000) as bigint) as string) as query_id, 'p' || cast(event_id % 8 as string) as provider,
  't' || cast(user_id % 100 % 6 as string) as type,
  case when user_id % 100 % 2 = 0 then 'sharp' when user_id % 100 % 10 = 5 then null else 'open' end as sharpness,
  case when user_id % 100 % 7 = 6 then null else 'g' || cast(user_id % 100 % 7 as string) end as genre,
@@ -37,16 +37,16 @@ select event_id as seq, 'r' || cast(cast(ts as date) as string) as run_id,
  case when event_type <> 'error' then (event_id % 9) * (user_id % 3) / 2 else 0 end as num_extracted
 from {events}""",
     "fetch_pages": """
-select distinct 'q' || cast(l_orderkey % 100 as string) as query_id, 'p' || cast(l_suppkey % 8 as string) as provider,
+select distinct 'q' || cast(l_orderkey % 100 + 100 * cast(floor(l_orderkey / 15000) as bigint) as string) as query_id, 'p' || cast(l_suppkey % 8 as string) as provider,
  'https://h.example/' || cast(l_partkey as string) as url from {lineitem}""",
     "judgement_log": """
 select l_shipdate, l_orderkey, l_partkey, l_suppkey, l_linenumber, l_extendedprice,
- 'q' || cast(l_orderkey % 100 as string) as query_id, 'https://h.example/' || cast(l_partkey as string) as url,
+ 'q' || cast(l_orderkey % 100 + 100 * cast(floor(l_orderkey / 15000) as bigint) as string) as query_id, 'https://h.example/' || cast(l_partkey as string) as url,
  l_returnflag as judge, case when l_linenumber = 7 then null else cast(floor(l_quantity) as int) % 4 end as rung,
  case when l_tax >= 0.08 then 'Request timed out.' end as error from {lineitem}""",
     "set_verdict_log": """
 select l_shipdate, l_orderkey, l_partkey, l_suppkey, l_linenumber, l_extendedprice,
- 'q' || cast(l_orderkey % 100 as string) as query_id, 'p' || cast(l_suppkey % 8 as string) as provider,
+ 'q' || cast(l_orderkey % 100 + 100 * cast(floor(l_orderkey / 15000) as bigint) as string) as query_id, 'p' || cast(l_suppkey % 8 as string) as provider,
  l_returnflag as judge, case when l_linenumber = 7 then null else cast(floor(l_quantity) as int) % 4 end as score,
  case when l_tax >= 0.08 then 'Request timed out.' end as error from {lineitem}""",
     "arm_log": """
