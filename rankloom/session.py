@@ -27,19 +27,27 @@ def build_session(app: str = "rankloom", cores: str = "*", shuffle_partitions: i
     return spark
 
 
+# Folders made for local applications; the setting itself cannot be changed in a running session.
+_MADE: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach, named by the cluster in spark.checkpoint.dir.
 
     Where it is unset and driver and executors are one machine (local mode, as
-    in tests), a folder is made and set. On a cluster an unset folder is an error.
+    in tests), a folder is made for the application. On a cluster an unset
+    folder is an error.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured
     if not spark.sparkContext.master.startswith("local["):
         raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-    spark.conf.set("spark.checkpoint.dir", f"file://{tempfile.mkdtemp(prefix='spark-', dir='/tmp')}")
-    return spark.conf.get("spark.checkpoint.dir")
+    app = spark.sparkContext.applicationId
+    if app not in _MADE:
+        _MADE[app] = f"file://{tempfile.mkdtemp(prefix='spark-', dir='/tmp')}"
+        spark.sparkContext.setCheckpointDir(_MADE[app])
+    return _MADE[app]
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
