@@ -26,6 +26,16 @@ class Graph:
         self.stamp, self.turn = np.zeros(n, np.int64), 0
         for i in range(n):
             self._insert(i)
+        self._both_ways()
+
+    def _both_ways(self) -> None:
+        """Walk links of the lowest level in both directions: in a dense group pruning may leave a node that no other points to."""
+        back: dict[int, list[int]] = {}
+        for i, around in self.near[0].items():
+            for j in around.tolist():
+                back.setdefault(j, []).append(i)
+        for j, more in back.items():
+            self.near[0][j] = np.union1d(self.near[0][j], np.array(more, np.int32)).astype(np.int32)
 
     def dumps(self) -> bytes:
         return pickle.dumps((self.x, self.links, self.beam, self.level, self.near, self.entry))
@@ -127,18 +137,43 @@ class Graph:
         return nodes[(self.x[nodes] * q).sum(axis=1) >= least]
 
 
-def linked(graph: Graph, queries: np.ndarray, least: float, beam: int, audits: int) -> tuple[list[np.ndarray], int, float]:
-    """Hits of every query; the beam doubles until audited queries find all that brute force finds, or spans the graph."""
+def linked(graph: Graph, queries: np.ndarray, least: float, beam: int, audits: int, recall: float = 0.999) -> tuple[list[np.ndarray], int, float]:
+    """Hits of every query; the beam doubles until audited queries find what brute force finds (at least ``recall`` of it), or spans the graph."""
     audit = np.unique(np.linspace(0, len(queries) - 1, min(audits, len(queries))).astype(int))
-    truth = [np.flatnonzero((graph.x * queries[a]).sum(axis=1) >= least) for a in audit]
-    want = sum(map(len, truth))
+    truth = graph.x @ queries[audit].T >= least
+    want = int(truth.sum())
     while True:
-        got = sum(len(graph.within(queries[a], least, beam)) for a in audit)
-        if got >= want or beam >= len(graph.x):
-            break
+        hits = _hits(graph, queries, least, beam)
+        got = sum(int(truth[hits[a], k].sum()) for k, a in enumerate(audit))
+        if got >= recall * want or beam >= len(graph.x):
+            return hits, beam, got / want if want else 1.0
         beam *= 2
-    hits = [graph.within(q, least, beam) for q in queries]
-    return hits, beam, got / want if want else 1.0
+
+
+def _hits(graph: Graph, queries: np.ndarray, least: float, beam: int) -> list[np.ndarray]:
+    """Nodes linked to each query.
+
+    Queries that link with a query just searched share its walk: what they link
+    with lies within twice the angle of it, so one wider walk and one product of
+    matrices serve a whole dense group.
+    """
+    out: list[np.ndarray | None] = [None] * len(queries)
+    open_ = np.ones(len(queries), bool)
+    wide = 2 * least * least - 1
+    for i, q in enumerate(queries):
+        if not open_[i]:
+            continue
+        group = np.flatnonzero(open_ & (queries @ q >= least))
+        if len(group) <= 1:
+            group = np.array([i])
+            out[i] = graph.within(q, least, beam)
+        else:
+            near = graph.within(q, wide, beam)
+            linked_ = graph.x[near] @ queries[group].T >= least
+            for k, g in enumerate(group):
+                out[g] = near[linked_[:, k]]
+        open_[group] = False
+    return out
 
 
 def forest(edges) -> list[tuple[int, int]]:
