@@ -9,31 +9,29 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..session import shared_dir
-from .common import dropped
+from .common import Scratch
 
 
-def _written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
-    import uuid
+def components(links: DataFrame, a: str, b: str, scratch: Scratch | None = None) -> DataFrame:
+    """(vertex, component) of every vertex in ``links``: component is its smallest reachable vertex. Null ends and loops are no links.
 
-    path = f"{shared_dir(df.sparkSession)}/staged/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path), path
-
-
-def components(links: DataFrame, a: str, b: str) -> DataFrame:
-    """(vertex, component) of every vertex in ``links``: component is its smallest reachable vertex. Null ends and loops are no links."""
+    What it returns is read from a table that ``scratch`` owns.
+    """
     spark = links.sparkSession
     edges = links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where(
         F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b))).distinct()
-    edges, path = _written(edges, "edges")
+    mine = Scratch(spark)
+    edges = mine.keep(edges, "edges")
     state = _state(edges)
     while True:
-        edges, new = _written(_small_star(_large_star(edges)), "edges")
-        dropped(spark, path)
-        before, state, path = state, _state(edges), new
+        older, mine = mine, Scratch(spark)
+        edges = mine.keep(_small_star(_large_star(edges)), "edges")
+        older.clear()
+        before, state = state, _state(edges)
         if state == before:
             break
+    if scratch is not None:
+        scratch.paths += mine.paths
     # Every edge now leads from a vertex to its component's smallest.
     roots = edges.select(F.col("v").alias("vertex"), F.col("v").alias("component")).distinct()
     return edges.select(F.col("u").alias("vertex"), F.col("v").alias("component")).union(roots)

@@ -31,11 +31,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..session import staged
 from . import shingles as S
+from .common import Scratch
 from .components import components
 
 
@@ -43,24 +44,28 @@ def signed(docs: DataFrame, k: int, coords: int, seed: int) -> DataFrame:
     """(doc_id, class, n_shingles, signature) of rows (doc_id, text); empty signatures for empty sets."""
     draws = S.coordinates(coords, seed)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = S.WordHashes()
-        for batch in batches:
-            out = []
-            for text in batch["text"]:
-                words = S.words_of(text)
-                found = S.shingle_set(words, k, known)
-                out.append((xxhash.xxh3_128_digest(b" ".join(words)), len(found), S.signature(found, draws) if len(found) else np.empty(0, np.int64)))
-            frame = pd.DataFrame(out, columns=["class", "n_shingles", "signature"])
-            frame.insert(0, "doc_id", batch["doc_id"].to_numpy())
-            yield frame
-
-    doc = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return _null_ids(doc).mapInPandas(run, "doc_id long, class binary, n_shingles long, signature array<bigint>").withColumn(
-        "doc_id", F.when(F.col("doc_id") != NO_ID, F.col("doc_id")))
-
-
-#: Stands for a null id inside tasks, where pandas would turn ids into floats.
+        for whole in batches:
+            for start in range(0, whole.num_rows, 500):  # few texts at a time are Python objects
+                batch = whole.slice(start, 500)
+                names, sizes, signatures = [], [], []
+                for text in batch.column(1).to_pylist():
+                    words = S.words_of(text)
+                    found = S.shingle_set(words, k, known)
+                    names.append(xxhash.xxh3_128_digest(b" ".join(words)))
+                    sizes.append(len(found))
+                    signatures.append(S.signature(found, draws) if len(found) else np.empty(0, np.int64))
+                offsets = np.concatenate([[0], np.cumsum([len(s) for s in signatures])])
+                lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(signatures)))
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0), pa.array(names, pa.binary()), pa.array(sizes, pa.int64()), lists], names=["doc_id", "class", "n_shingles", "signature"])
+
+    doc = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return doc.mapInArrow(run, "doc_id long, class binary, n_shingles long, signature array<bigint>")
+
+
+#: Stands for a null id in joins.
 NO_ID = -(2**63)
 
 
@@ -141,40 +146,43 @@ def near_duplicates(
     docs: DataFrame, k: int = 5, percent: int = 80, coords: int = 64, matches: int = 38, seed: int = 11,
 ) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row of documents (doc_id, text)."""
-    rows = staged(signed(docs, k, coords, seed), "minhash-docs")
+    lasting, scratch = Scratch(docs.sparkSession), Scratch(docs.sparkSession)
+    rows = scratch.keep(signed(docs, k, coords, seed), "minhash-docs")
     classes = rows.where("n_shingles > 0").groupBy("class").agg(
         F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature"))
-    classes = staged(classes, "minhash-classes")
-    lists = staged(posting_lists(classes, coords, matches), "minhash-lists")
+    classes = scratch.keep(classes, "minhash-classes")
+    lists = scratch.keep(posting_lists(classes, coords, matches), "minhash-lists")
     signatures = classes.select("class", "signature", F.col("n_shingles").alias("n"))
 
     centre = lists.groupBy("key").agg(F.max(F.struct("weight", "class")).alias("top"), F.count(F.lit(1)).alias("many")).where("many > 1")
     listed = lists.join(centre, "key")
     wanted = listed.select("class").distinct().join(classes.select("class", "doc_id"), "class")
-    sets = staged(shingle_sets(docs, wanted, k), "minhash-sets")
+    sets = scratch.keep(shingle_sets(docs, wanted, k), "minhash-sets")
     first = listed.where(F.col("class") != F.col("top.class")).select(F.col("top.class").alias("a"), F.col("class").alias("b")).distinct()
     left = signatures.select(F.col("class").alias("a"), F.col("signature").alias("ga"), F.col("n").alias("na"))
     right = signatures.select(F.col("class").alias("b"), F.col("signature").alias("gb"), F.col("n").alias("nb"))
     fits = _lengths_fit("na", "nb", percent) & (collisions(F.col("ga"), F.col("gb")) >= matches)
     first = first.join(right, "b").join(left, "a").where(fits).select("a", "b")
-    links = staged(confirmed(first, sets, percent), "minhash-links")
-    found = staged(components(links, "a", "b"), "minhash-components")
+    links = scratch.keep(confirmed(first, sets, percent), "minhash-links")
+    found = scratch.keep(components(links, "a", "b", scratch), "minhash-components")
 
     # Classes of lists that still hold several components: pairs across them, by the full sets.
     part = lists.join(found.select(F.col("vertex").alias("class"), "component"), "class", "left").withColumn(
         "component", F.coalesce("component", "class"))
     mixed = part.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
     part = part.join(mixed, "key").select("class", "component").distinct()
-    rest = staged(sets.join(part, "class"), "minhash-mixed")
+    rest = scratch.keep(sets.join(part, "class"), "minhash-mixed")
     more = confirmed(overlapping(rest, percent).distinct(), sets, percent)
-    found = components(links.union(more), "a", "b")
+    found = components(links.union(more), "a", "b", scratch)
 
     least = classes.select("class", "doc_id").join(found, F.col("class") == F.col("vertex"), "left").withColumn(
         "component", F.coalesce("component", "class"))
-    least = staged(least, "minhash-groups")
+    least = lasting.keep(least, "minhash-groups")
+    rows = lasting.keep(rows.select("doc_id", "n_shingles", "class"), "minhash-rows")
+    scratch.clear()
     label = least.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     label = least.join(label, "component").select("class", "component_id")
-    out = rows.select("doc_id", "n_shingles", "class").join(label, "class", "left")
+    out = rows.join(label, "class", "left")
     component_id = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
     out = out.select("doc_id", "n_shingles", component_id.alias("component_id"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))

@@ -6,7 +6,7 @@ import numpy as np
 import xxhash
 
 #: Words whose hash one task remembers before it starts anew.
-MEMORY = 500_000
+MEMORY = 150_000
 
 
 class WordHashes(dict):

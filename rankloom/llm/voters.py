@@ -19,7 +19,7 @@ LEET = str.maketrans("013457@$!", "oieastasi")
 PREFIXES = range(4, 9)
 
 _TABLE = bytes(b if 97 <= b < 123 or 48 <= b < 58 or b >= 128 else 32 for b in range(256))
-MEMORY = 300_000
+MEMORY = 100_000
 
 
 def tokens_of(text: str | None) -> list[bytes]:
