@@ -137,17 +137,53 @@ class Graph:
         return nodes[(self.x[nodes] * q).sum(axis=1) >= least]
 
 
-def linked(graph: Graph, queries: np.ndarray, least: float, beam: int, audits: int, recall: float = 0.999) -> tuple[list[np.ndarray], int, float]:
-    """Hits of every query; the beam doubles until audited queries find what brute force finds (at least ``recall`` of it), or spans the graph."""
-    audit = np.unique(np.linspace(0, len(queries) - 1, min(audits, len(queries))).astype(int))
-    truth = graph.x @ queries[audit].T >= least
-    want = int(truth.sum())
-    while True:
-        hits = _hits(graph, queries, least, beam)
-        got = sum(int(truth[hits[a], k].sum()) for k, a in enumerate(audit))
-        if got >= recall * want or beam >= len(graph.x):
-            return hits, beam, got / want if want else 1.0
+def linked(graph: Graph, queries: np.ndarray, least: float, beam: int, audits: int) -> tuple[list[np.ndarray], int, float]:
+    """(hits of every query, widest beam, share of the links that the first walks found).
+
+    Every query is audited: compared with the whole graph, ``audits`` at a time.
+    Those that miss any of their own links walk again with twice the beam, until
+    none does or the beam spans the graph; what no walk reaches is added. The
+    share is a mean over the queries that link with another vector, self hits
+    left out.
+    """
+    hits = _hits(graph, queries, least, beam)
+    short, shares = {}, []
+    for start in range(0, len(queries), audits):
+        for k, truth in enumerate(_truth(graph, queries[start:start + audits], least), start):
+            missed = np.setdiff1d(truth, hits[k]) if len(hits[k]) < len(truth) else truth[:0]
+            others = len(truth)
+            if others == 1 or len(missed):
+                others -= int((graph.x[truth] == queries[k]).all(axis=1).any())
+                missed = missed[~(graph.x[missed] == queries[k]).all(axis=1)]
+            if others:
+                shares.append(1 - len(missed) / others)
+            if len(hits[k]) < len(truth):
+                short[k] = truth
+    recall = float(np.mean(shares)) if shares else 1.0
+    while short and beam < len(graph.x):
         beam *= 2
+        again = sorted(short)
+        for k, found in zip(again, _hits(graph, queries[again], least, beam)):
+            hits[k] = np.union1d(hits[k], found)
+            if len(hits[k]) >= len(short[k]):
+                del short[k]
+    for k, truth in short.items():
+        hits[k] = truth
+    return hits, beam, recall
+
+
+def _truth(graph: Graph, queries: np.ndarray, least: float) -> list[np.ndarray]:
+    """Nodes linked to each query by brute force."""
+    return [_above(graph.x, q, least, s) for q, s in zip(queries, (graph.x @ queries.T).T)]
+
+
+def _above(x: np.ndarray, q: np.ndarray, least: float, cosines: np.ndarray) -> np.ndarray:
+    """Rows of ``x`` with cosine of at least ``least``; near the bound the sum is made in one order, so that both ends of a link agree."""
+    nodes = np.flatnonzero(cosines >= least - 1e-9)
+    close = nodes[cosines[nodes] < least + 1e-9]
+    if not len(close):
+        return nodes
+    return np.setdiff1d(nodes, close[(x[close] * q).sum(axis=1) < least])
 
 
 def _hits(graph: Graph, queries: np.ndarray, least: float, beam: int) -> list[np.ndarray]:
@@ -169,9 +205,9 @@ def _hits(graph: Graph, queries: np.ndarray, least: float, beam: int) -> list[np
             out[i] = graph.within(q, least, beam)
         else:
             near = graph.within(q, wide, beam)
-            linked_ = graph.x[near] @ queries[group].T >= least
-            for k, g in enumerate(group):
-                out[g] = near[linked_[:, k]]
+            x = graph.x[near]
+            for g, cosines in zip(group, (x @ queries[group].T).T):
+                out[g] = near[_above(x, queries[g], least, cosines)]
         open_[group] = False
     return out
 

@@ -2,10 +2,12 @@
 
 Vectors of one label are dealt to shards of about ``shard_rows`` by a hash, so
 a label that holds a third of all rows is many shards. Every shard gets a
-graph; every vector is searched in every shard of its label, in blocks. In each
-block some queries are also compared with the whole shard; the beam doubles
-until the search finds what they find. Hits are kept at a cosine of at least
-``least`` in double precision. Equal vectors are one class with a weight.
+graph; every vector is searched in every shard of its label, in blocks. Every
+vector is also audited, by one product of matrices with the whole shard: those
+that miss a link of their own walk again with twice the beam, and a link that no
+walk reaches is added, so links are complete and the same from both ends. Hits
+are kept at a cosine of at least ``least`` in double precision. Equal vectors
+are one class with a weight.
 
 Rows that leave a task: the number of links of each class, and a spanning forest
 of the links it found, never the links themselves. Components are joined over

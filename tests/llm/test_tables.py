@@ -92,6 +92,20 @@ def test_graph_finds_a_dense_group():
     assert recall >= 0.99 and sum(map(len, hits)) >= 0.99 * truth.sum() and all(truth[i][h].all() for i, h in enumerate(hits))
 
 
+def test_every_vector_finds_all_its_links():
+    """Sparse pairs beside a dense group, two of them cut off from all walks: no pooled share may hide them."""
+    rng = np.random.default_rng(8)
+    centre, far = rng.normal(size=16), rng.normal(size=(60, 16))
+    x = hnsw.unit(np.concatenate([centre + rng.normal(scale=0.03, size=(900, 16)), far, far + rng.normal(scale=0.02, size=far.shape)]))
+    graph = hnsw.Graph(x)
+    for lost in (903, 917):
+        graph.near[0] = {i: around[around != lost] for i, around in graph.near[0].items()}
+    truth = x @ x.T >= 0.98
+    hits, _, recall = hnsw.linked(graph, x, 0.98, 4, 32)
+    assert [sorted(h.tolist()) for h in hits] == [np.flatnonzero(t).tolist() for t in truth] and recall < 1
+    assert truth[903].sum() == 2 and truth[963].sum() == 2
+
+
 # --- language
 
 def test_pages_are_identified(spark):
