@@ -5,7 +5,10 @@ or more common words (the anchors) stand before a content word, the anchors and
 the next two content words form a signature; common words between the two are
 skipped. The start of a text counts as an anchor, so every text with a word has
 a signature; a text without any word is its own signature, and an empty text
-has none. The distinct 64-bit hashes of the signatures are the fingerprint.
+has none. Where ``GAP`` content words in a row have no anchor before them (other
+languages, lists, code), every further one opens a spot too, until the next
+anchor; a text that begins with such a stretch, or is shorter and has no anchor,
+is covered from its first word. The distinct 64-bit hashes of the signatures are the fingerprint.
 
 Two fingerprints are compared by Jaccard. ``similar_pairs`` partitions them by
 set length, so only sets whose lengths allow the threshold meet, and prunes by
@@ -34,6 +37,9 @@ le la les un une des du de et est dans en que qui pour par sur pas au aux ce il
 el los las una del al y o que es por para con se su lo como más no si
 """.split()
 
+#: Fixed value: content words without an anchor after which every word opens a spot.
+GAP = 8
+
 
 def _pattern(anchors: list[str]) -> str:
     """A run of anchors and the content word after it; anchors are tried by first letter."""
@@ -53,14 +59,24 @@ def with_signatures(rows: DataFrame, text: str, name: str, anchors: list[str] =
     spot = F.transform("_spots", lambda p, i: F.when(
         (i == 0) | F.contains(p["g"], F.lit(" ")), F.xxhash64(p["g"], F.substring_index(p["n"], " ", -1))))
     bare = F.when(F.col(text) == "", F.array().cast("array<bigint>")).otherwise(F.array(F.xxhash64(text)))
-    found = F.array_sort(F.array_distinct(F.array_compact(spot)))
-    return rows.withColumn(name, F.when(F.size("_groups") == 0, bare).otherwise(found)).drop("_groups", "_spots")
+    rows = rows.withColumn("_at", F.array_compact(F.transform("_groups", lambda g, i: F.when(F.contains(g, F.lit(" ")), i))))
+    n = F.size("_groups")
+    # Stretches between anchors; the one before the first anchor counts from its first word if it is long or the whole text.
+    ends = F.arrays_zip(F.concat(F.array(F.lit(-GAP)), F.col("_at")).alias("a"), F.concat(F.col("_at"), F.array(n)).alias("b"))
+    bounds = F.transform(ends, lambda e: F.struct((e["a"] + GAP).alias("lo"), F.least(e["b"] - 1, n - 2).alias("hi"), e["b"].alias("b")))
+    bounds = F.filter(bounds, lambda e: (e["lo"] <= e["hi"]) & ((e["lo"] > 0) | (e["b"] >= F.least(F.lit(GAP), n))))
+    rows = rows.withColumn("_gaps", bounds)
+    word = lambda i: F.get("_groups", i)
+    within = F.flatten(F.transform("_gaps", lambda e: F.transform(
+        F.sequence(e["lo"], e["hi"]), lambda i: F.xxhash64(word(i), F.substring_index(word(i + 1), " ", -1)))))
+    found = F.array_sort(F.array_distinct(F.concat(F.array_compact(spot), within)))
+    return rows.withColumn(name, F.when(F.size("_groups") == 0, bare).otherwise(found)).drop("_groups", "_spots", "_at", "_gaps")
 
 
 def likeness(a: Column, b: Column) -> Column:
     """Jaccard of two signature sets; two empty sets are alike, an empty and a full one are not.
 
-    Sets too different in length to share anything are decided without comparing them.
+    Only an empty set is decided without comparing.
     """
     common = F.size(F.array_intersect(a, b))
     both = F.size(a) + F.size(b)

@@ -45,6 +45,22 @@ def test_signature_chains_skip_common_words(spark):
     assert len(sets[0]) == 2 and len(set(sets[0]) & set(sets[2])) == 1 and len(sets[1]) == 1
 
 
+def test_texts_without_anchors_are_covered_to_their_end(spark):
+    english = "the cat sat on the old mat and " * 30
+    words = lambda a, n: " ".join(f"{a}{i}" for i in range(n))
+    pairs = [("xx yy " + words("p", 200), "xx yy " + words("q", 200)), ("xx yy zz", "xx yy ww"), (english + words("p", 100), english + words("q", 100)),
+             ("xx, yy\nпервый второй третий", "xx, yy\nчетвёртый пятый шестой"), (words("p", 60) + " the end", words("p", 20) + words("q", 40) + " the end")]
+    rows = [(k, t) for k, two in enumerate(pairs) for t in two]
+    got = spotsigs.with_signatures(spark.createDataFrame(rows, "k int, text string"), "text", "s").collect()
+    for k in range(len(pairs)):
+        a, b = (set(r.s) for r in got if r.k == k)
+        assert len(a & b) < 0.5 * len(a | b) and a and b, pairs[k][0][:40]
+    assert len(next(r.s for r in got if r.text == pairs[0][0])) == 201
+    # Common text is as before: nothing opens within GAP words of an anchor.
+    plain = spark.createDataFrame([("cats sleep on the mat near one two three four five and wake",)], "text string")
+    assert len(spotsigs.with_signatures(plain, "text", "s").first().s) == 3
+
+
 def test_similar_pairs_lose_none(spark):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
     pairs, members = spotsigs.similar_pairs(docs, 0.6)
