@@ -9,7 +9,8 @@ import numpy as np
 
 BUCKETS = 1 << 15
 _HIDDEN = re.compile(r"<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>", re.S | re.I)
-_DECLARED = re.compile(r"<html\b[^>]*?\slang\s*=\s*[\"']?\s*([A-Za-z]{2,3})\b", re.I)
+_ROOT = re.compile(r"<html\b[^>]*", re.I)
+_DECLARED = re.compile(r"\slang\s*=\s*[\"']?\s*([A-Za-z]{2,3})\b", re.I)
 _HOST = re.compile(r"^\s*[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)")
 
 
@@ -30,8 +31,12 @@ def visible(page: str | None) -> str:
 
 
 def declared(page: str | None) -> str | None:
-    found = _DECLARED.search((page or "")[:4096])
-    return found.group(1).lower() if found else None
+    """Language of the first html tag of the page that declares one, wherever it stands."""
+    for tag in _ROOT.finditer(page or ""):
+        found = _DECLARED.search(tag.group())
+        if found:
+            return found.group(1).lower()
+    return None
 
 
 def host(url: str | None) -> str | None:

@@ -135,6 +135,12 @@ def test_host_and_text_of_pages():
     assert grams.declared('<HTML class="x" LANG=en-US>') == "en"
 
 
+def test_declarations_far_into_a_page_are_found():
+    assert grams.declared("<!--" + "licence " * 1250 + '--><html lang="fr">') == "fr"
+    assert grams.declared(" " * 10_000 + "<html><body>" + "<html class=x lang='de'>") == "de"
+    assert grams.declared("<html " * 100_000) is None and grams.declared(None) is None
+
+
 # --- pipeline
 
 def test_pipeline_runs_its_stages_in_order(spark):
