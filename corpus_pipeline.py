@@ -11,11 +11,11 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from rankloom.llm import minhash, mixing, pieces, quality, toxicity
 from rankloom.llm.common import table
-from rankloom.session import shared_dir
+from rankloom.session import shared_dir, staged
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,9 +29,22 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """MinHash near-duplicates on five-word shingles: the smallest doc_id of each group stays."""
-    found = minhash.near_duplicates(docs).where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(found, F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti")
+    """MinHash near-duplicates on five-word shingles: one row of each group stays, of the smallest doc_id.
+
+    Rows are told apart by doc_id and text, so null and repeated ids remove no
+    other text. Of rows that share both, the first by their other columns stays;
+    texts without words are in no group and all stay.
+    """
+    keyed = docs.withColumn("_row", F.xxhash64(F.col("text").cast("string")))
+    rows = minhash.near_duplicates(keyed, row_key="_row").where("n_shingles > 0")
+    odd = rows.groupBy("doc_id", "_row").agg(F.first("kept").alias("kept"), F.count(F.lit(1)).alias("n")).where("not kept or n > 1")
+    odd = staged(odd.select(F.col("doc_id").alias("_id"), F.col("_row").alias("_key"), F.col("kept").alias("_stays")), "near-duplicates")
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_row") == F.col("_key"))
+    alone = keyed.join(odd, same, "left_anti").drop("_row")
+    again = keyed.join(odd.where("_stays"), same, "left_semi")
+    order = W.partitionBy("doc_id", "_row").orderBy(F.to_json(F.struct(*docs.columns)))
+    once = again.withColumn("_nth", F.row_number().over(order)).where("_nth = 1")
+    return alone.union(once.select(*docs.columns))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -40,8 +40,9 @@ from .common import Scratch
 from .components import components
 
 
-def signed(docs: DataFrame, k: int, coords: int, seed: int) -> DataFrame:
-    """(doc_id, class, n_shingles, signature) of rows (doc_id, text); empty signatures for empty sets."""
+def signed(docs: DataFrame, k: int, coords: int, seed: int, row_key: str | None = None) -> DataFrame:
+    """(doc_id, class, n_shingles, signature) of rows (doc_id, text), and their row key if one is named; empty signatures for empty sets."""
+    more = [row_key] if row_key else []
     draws = S.coordinates(coords, seed)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -59,10 +60,11 @@ def signed(docs: DataFrame, k: int, coords: int, seed: int) -> DataFrame:
                 offsets = np.concatenate([[0], np.cumsum([len(s) for s in signatures])])
                 lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(signatures)))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), pa.array(names, pa.binary()), pa.array(sizes, pa.int64()), lists], names=["doc_id", "class", "n_shingles", "signature"])
+                    [batch.column(0), pa.array(names, pa.binary()), pa.array(sizes, pa.int64()), lists, *batch.columns[2:]],
+                    names=["doc_id", "class", "n_shingles", "signature", *more])
 
-    doc = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return doc.mapInArrow(run, "doc_id long, class binary, n_shingles long, signature array<bigint>")
+    doc = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *more)
+    return doc.mapInArrow(run, "doc_id long, class binary, n_shingles long, signature array<bigint>" + "".join(f", `{c}` long" for c in more))
 
 
 #: Stands for a null id in joins.
@@ -143,13 +145,20 @@ def overlapping(sets: DataFrame, percent: int) -> DataFrame:
 
 
 def near_duplicates(
-    docs: DataFrame, k: int = 5, percent: int = 80, coords: int = 64, matches: int = 38, seed: int = 11,
+    docs: DataFrame, k: int = 5, percent: int = 80, coords: int = 64, matches: int = 38, seed: int = 11, row_key: str | None = None,
 ) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) of every row of documents (doc_id, text)."""
+    """(doc_id, n_shingles, component_id, kept) of every row of documents (doc_id, text).
+
+    With ``row_key``, the name of a long column, that column is added and
+    ``kept`` names one row of each component by doc_id and row key: the smallest
+    doc_id, nulls last, and of its rows in the component the smallest key.
+    """
+    keys = [row_key] if row_key else []
     lasting, scratch = Scratch(docs.sparkSession), Scratch(docs.sparkSession)
-    rows = scratch.keep(signed(docs, k, coords, seed), "minhash-docs")
+    rows = scratch.keep(signed(docs, k, coords, seed, row_key), "minhash-docs")
     classes = rows.where("n_shingles > 0").groupBy("class").agg(
-        F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature"))
+        F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature"),
+        *[F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.col(c).alias("key"))).alias("first") for c in keys])
     classes = scratch.keep(classes, "minhash-classes")
     lists = scratch.keep(posting_lists(classes, coords, matches), "minhash-lists")
     signatures = classes.select("class", "signature", F.col("n_shingles").alias("n"))
@@ -175,15 +184,19 @@ def near_duplicates(
     more = confirmed(overlapping(rest, percent).distinct(), sets, percent)
     found = components(links.union(more), "a", "b", scratch)
 
-    least = classes.select("class", "doc_id").join(found, F.col("class") == F.col("vertex"), "left").withColumn(
+    first = ["first"] if row_key else []
+    least = classes.select("class", "doc_id", *first).join(found, F.col("class") == F.col("vertex"), "left").withColumn(
         "component", F.coalesce("component", "class"))
     least = lasting.keep(least, "minhash-groups")
-    rows = lasting.keep(rows.select("doc_id", "n_shingles", "class"), "minhash-rows")
+    rows = lasting.keep(rows.select("doc_id", "n_shingles", "class", *keys), "minhash-rows")
     scratch.clear()
-    label = least.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    label = least.join(label, "component").select("class", "component_id")
+    label = least.groupBy("component").agg(F.min("doc_id").alias("component_id"), *[F.min(c).alias("chosen") for c in first])
+    label = least.select("class", "component").join(label, "component").drop("component")
     out = rows.join(label, "class", "left")
     component_id = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
+    if row_key:
+        mine = F.col("doc_id").eqNullSafe(F.col("chosen.doc_id")) & (F.col(row_key) == F.col("chosen.key"))
+        return out.select("doc_id", "n_shingles", component_id.alias("component_id"), ((F.col("n_shingles") == 0) | mine).alias("kept"), row_key)
     out = out.select("doc_id", "n_shingles", component_id.alias("component_id"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 

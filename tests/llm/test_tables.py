@@ -180,6 +180,16 @@ def test_near_duplicate_stage_keeps_one_of_each_group(spark):
     assert sorted(r.doc_id for r in out.collect()) == [1, 2, 3]
 
 
+def test_near_duplicate_stage_decides_by_row(spark):
+    """Null ids, one id with two texts, and repeated rows."""
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    rows = [(2, a), (5, a), (5, b), (None, a + " end"), (None, c), (None, None), (7, "one two three"), (7, "one two three"), (7, "ONE two three"),
+            (None, "four five six"), (None, "four five six"), (8, ""), (8, "")]
+    docs = spark.createDataFrame([(*r, "en", "s", 1) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = Counter((r.doc_id, (r.text or "").lower()) for r in corpus_pipeline.drop_near_duplicates(spark, docs, SMALL).collect())
+    assert got == Counter([(2, a), (5, b), (None, c), (None, ""), (7, "one two three"), (None, "four five six"), (8, ""), (8, "")])
+
+
 # --- registered queries
 
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
