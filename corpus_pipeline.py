@@ -53,9 +53,9 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Ids of SentencePiece pieces, and their number; texts that do not decode to themselves are marked."""
-    return pieces.encode(docs.select("doc_id", "lang", "source", "text")).select(
-        "doc_id", "lang", "source", F.size("token_ids").cast("long").alias("n_tokens"), "token_ids")
+    """Ids of SentencePiece pieces, their number, and the digest of the text decoded from them; texts that do not decode to themselves are not ``restored``."""
+    return pieces.encode(docs.select("doc_id", "lang", "source", "text"), check=True).select(
+        "doc_id", "lang", "source", F.size("token_ids").cast("long").alias("n_tokens"), "token_ids", "decoded_sha256", "restored")
 
 
 STAGES = [

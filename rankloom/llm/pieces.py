@@ -53,20 +53,25 @@ def zipf_scores(normal: np.ndarray) -> np.ndarray:
     return -np.log(rank + 2.7) - np.log((1 / (np.arange(normal.sum()) + 2.7)).sum())
 
 
-def encode(docs: DataFrame, path: str = VOCABULARY, text: str = "text", ids: str = "token_ids") -> DataFrame:
-    """The rows with the ids of their text's pieces added."""
-    model, at, names = load(path), docs.columns.index(text), [*docs.columns, ids]
+def encode(docs: DataFrame, path: str = VOCABULARY, text: str = "text", ids: str = "token_ids", check: bool = False) -> DataFrame:
+    """The rows with the ids of their text's pieces added; with ``check`` also decoded_sha256 and restored, from the text decoded from them."""
+    model, at, names = load(path), docs.columns.index(text), [*docs.columns, ids, *(["decoded_sha256", "restored"] if check else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for start in range(0, whole.num_rows, 1000):
                 batch = whole.slice(start, 1000)
-                offsets, got = model.encode(batch.column(at).to_pylist())
-                tokens = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(got, pa.int32()))
-                yield pa.RecordBatch.from_arrays([*batch.columns, tokens], names=names)
+                texts = batch.column(at).to_pylist()
+                offsets, got = model.encode(texts)
+                cols = [pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(got, pa.int32()))]
+                if check:
+                    back = [model.decode(got[offsets[i]:offsets[i + 1]]) for i in range(len(texts))]
+                    cols.append(pa.array([hashlib.sha256(b.encode("utf-8", "surrogatepass")).hexdigest() for b in back], pa.string()))
+                    cols.append(pa.array([b == (t or "") for b, t in zip(back, texts)], pa.bool_()))
+                yield pa.RecordBatch.from_arrays([*batch.columns, *cols], names=names)
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(run, f"{schema}, `{ids}` array<int>")
+    return docs.mapInArrow(run, f"{schema}, `{ids}` array<int>" + (", decoded_sha256 string, restored boolean" if check else ""))
 
 
 def decode(rows: DataFrame, path: str = VOCABULARY, ids: str = "token_ids", text: str = "decoded") -> DataFrame:

@@ -190,6 +190,13 @@ def test_near_duplicate_stage_decides_by_row(spark):
     assert got == Counter([(2, a), (5, b), (None, c), (None, ""), (7, "one two three"), (None, "four five six"), (8, ""), (8, "")])
 
 
+def test_tokens_stage_marks_texts_that_do_not_decode_to_themselves(spark):
+    docs = spark.createDataFrame([(1, "plain words"), (2, "a▁b"), (3, None)], "doc_id long, text string").selectExpr("*", "'en' lang", "'s' source")
+    got = {r.doc_id: r for r in corpus_pipeline.tokens(spark, docs, SMALL).collect()}
+    assert [got[i].restored for i in (1, 2, 3)] == [True, False, True]
+    assert [got[i].decoded_sha256 for i in (1, 2, 3)] == [hashlib.sha256(t.encode()).hexdigest() for t in ("plain words", "a b", "")]
+
+
 # --- registered queries
 
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
