@@ -4,8 +4,8 @@ Texts with one word sequence are a class, so copies are handled once. Each
 class has a MinHash signature of ``coords`` values and is posted under each
 coordinate-value pair. Two sets with Jaccard J agree in a coordinate with
 probability J, so pairs that agree in at least ``matches`` coordinates are
-candidates (at 64 and 38 a pair of Jaccard 0.8 is missed about once in 30,000, one of
-0.85 about once in 10 million).
+candidates (at 64 and 38 a pair of Jaccard 0.8 is missed about once in 23,000, one of
+0.85 about once in 6.5 million).
 
 Prefix: to agree in ``matches`` of a class's coordinates, one of its rarest
 coords - matches + 1 must be shared; only these are posted, and values that no
