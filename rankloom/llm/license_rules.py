@@ -179,7 +179,7 @@ as-is | 1 | as is | (?:provided|distributed) (?:on an )?as is(?: basis)?
 permission | 1 | permission | (?:reproduced|reprinted|used|distributed)? ?without (?:prior )?(?:written )?permission|with permission|by permission
 license-file | 1 | license | see (?:the )?license(?: file| txt| md)?(?: for details| for more information)?
 licensed | 1 | licensed under | licensed under(?: the)? \S+
-license | 1 | license agreement | licen[cs]e agreement
+license | 1 | agreement | licen[cs]e agreement
 redistribution | 1 | redistribut | (?:may|can|must) not be redistributed|redistribution (?:is )?(?:prohibited|permitted)
 """
 
