@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from ..session import shared_dir
 
@@ -48,3 +48,19 @@ class Scratch:
         for path in self.paths:
             dropped(self.spark, path)
         self.paths = []
+
+
+def placed(df: DataFrame, tree: str, order: list[str], scratch: Scratch) -> DataFrame:
+    """Adds ``place``, each row's number from 0 in its tree by ``order``, and ``n``, the tree's rows; null is a tree.
+
+    Rows are shuffled by range and counted per tree and range, so a tree of any
+    size spreads over all tasks.
+    """
+    rows = df.repartitionByRange(tree, *order).sortWithinPartitions(tree, *order).withColumn("_at", F.monotonically_increasing_id())
+    rows = scratch.keep(rows.withColumn("_range", F.shiftright("_at", 33)), "ranges")
+    spans = rows.groupBy(F.col(tree).alias("_tree"), F.col("_range").alias("_r")).agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_c"))
+    along = W.partitionBy("_tree").orderBy("_r").rowsBetween(W.unboundedPreceding, -1)
+    spans = spans.withColumn("_before", F.coalesce(F.sum("_c").over(along), F.lit(0))).withColumn("n", F.sum("_c").over(W.partitionBy("_tree")))
+    same = F.col(tree).eqNullSafe(F.col("_tree")) & (F.col("_range") == F.col("_r"))
+    place = F.col("_before") + F.col("_at") - F.col("_first")
+    return rows.join(spans, same).select(*df.columns, place.alias("place"), "n")

@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import langid, licenses, minhash, mixing, neighbours, pieces, quality, spotsigs, toxicity, warc
-from .common import table
+from . import chat, langid, licenses, merkle, minhash, mixing, neighbours, periodic, pieces, quality, spotsigs, toxicity, warc
+from .common import Scratch, table
 
 
 def op1_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -111,6 +111,74 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = merkle.verified(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "leaf", "subroot", "root", merkle.digest(merkle.siblings(F.col("path"))).alias("proof_sha256"), "folded_root", "verified")
+
+
+def _h(text: str) -> str:
+    parts = [f"coalesce(octet_length(encode({c}::varchar))::varchar || ':' || {c}::varchar, '-')" for c in ("doc_id", "source", "lang", "n_chars", text)]
+    return f"sha256({' || '.join(parts)})"
+
+
+OP11_SQL = f"""
+with recursive t as (select list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0],
+   lambda c, z: case when c % 2 = 1 then xor(c // 2, 3988292384) else c // 2 end)) as tab),
+d as (select *, xor(list_reduce(list_concat([4294967295::bigint], list_transform(string_split(doc_id::varchar, ''), lambda ch: ord(ch)::bigint)),
+   lambda c, b: xor(c // 256, tab[xor(c, b) % 256 + 1])), 4294967295) as crc from documents, t),
+l as materialized (select doc_id, source, {_h("text")} as leaf,
+   case when crc % 5 = 0 then {_h("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} end as changed from d),
+p as materialized (select *, row_number() over (partition by source order by doc_id nulls first, leaf) - 1 as pos, count(*) over (partition by source) as n from l),
+nodes as (select source, 0 as lvl, pos, leaf as h, n from p union all
+  select source, lvl + 1, pos // 16, sha256(string_agg(h, '' order by pos)), (n + 15) // 16 from nodes where n > 1 group by source, lvl, pos // 16, n),
+runs as materialized (select source, lvl, pos // 16 as run, list(h order by pos) as hs from nodes where n > 1 group by all),
+s as materialized (select source, h, row_number() over (order by source nulls first) - 1 as pos, count(*) over () as n from nodes where n = 1),
+tops as (select 0 as lvl, pos, h, n from s union all
+  select lvl + 1, pos // 16, sha256(string_agg(h, '' order by pos)), (n + 15) // 16 from tops where n > 1 group by lvl, pos // 16, n),
+top_runs as materialized (select lvl, pos // 16 as run, list(h order by pos) as hs from tops where n > 1 group by all),
+f as (select doc_id, source, leaf, 0 as lvl, pos, n, coalesce(changed, leaf) as acc, '' as sib from p union all
+  select doc_id, f.source, leaf, f.lvl + 1, pos // 16, (n + 15) // 16,
+   sha256(array_to_string(list_concat(hs[1:pos % 16], [acc], hs[pos % 16 + 2:]), '')),
+   sib || array_to_string(list_concat(hs[1:pos % 16], hs[pos % 16 + 2:]), '')
+  from f join runs r on r.source is not distinct from f.source and r.lvl = f.lvl and r.run = pos // 16 where n > 1),
+g as (select doc_id, leaf, s.h as subroot, 0 as lvl, s.pos, s.n, acc, sib from f join s on s.source is not distinct from f.source where f.n = 1 union all
+  select doc_id, leaf, subroot, g.lvl + 1, pos // 16, (n + 15) // 16,
+   sha256(array_to_string(list_concat(hs[1:pos % 16], [acc], hs[pos % 16 + 2:]), '')),
+   sib || array_to_string(list_concat(hs[1:pos % 16], hs[pos % 16 + 2:]), '')
+  from g join top_runs r on r.lvl = g.lvl and r.run = pos // 16 where n > 1)
+select doc_id, leaf, subroot, r.h as root, sha256(sib) as proof_sha256, acc as folded_root, acc = r.h as verified
+from g, (select h from tops where n = 1) r where g.n = 1
+"""
+
+
+#: A conversation that holds the template's own marks.
+ODD = [(-7, 0, "user", r"\### Assistant: </turn> ok"), (-7, 1, "assistant", r"\### Assistant: </turn> ok")]
+
+
+def op12_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    rows = rows.unionByName(spark.createDataFrame(ODD, "conv_id long, turn int, role string, text string"))
+    read = chat.read_back(chat.format_threads(rows, Scratch(spark)), in_order=True)
+    return read.select(F.col("tree").cast("long").alias("conv_id"), "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars")
+
+
+_ESCAPED = r"replace(replace(replace(replace({}, '\', '\\'), '</turn>', '<\/turn>'), '##', '#\#'), '##', '#\#')"
+OP12_SQL = rf"""
+with c as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+  union all select -7, 0, 'user', '\### Assistant: </turn> ok' union all select -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+f as (select *, {_ESCAPED.format("text")} as t, replace({_ESCAPED.format("role")}, ':', '\:') as r from c)
+select conv_id::bigint as conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, md5(role || chr(10) || text))) as turns_sha256,
+ coalesce(sum(length(text)) filter (role = 'assistant'), 0)::bigint as loss_chars,
+ sha256(coalesce(string_agg(text, '' order by turn, md5(role || chr(10) || text)) filter (role = 'assistant'), '')) as loss_sha256,
+ sum(4 + length(r) + 2 + length(t) + 8)::bigint as formatted_chars
+from f group by conv_id
+"""
+
+
+def op13_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.digests(periodic.periodic_runs(periodic.repeated(table(spark, sf_dir, "documents"))))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_spotsigs": op1_spotsigs,
     "op2_minhash": op2_minhash,
@@ -122,5 +190,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_langid": op8_langid,
     "op9_warc": op9_warc,
     "op10_licenses": op10_licenses,
+    "op11_merkle": op11_merkle,
+    "op12_chat": op12_chat,
+    "op13_periodic": op13_periodic,
+}
+ORACLES: dict[str, str] = {"op2_minhash": OP2_SQL, "op5_hnsw": OP5_SQL, "op7_mixing": OP7_SQL, "op9_warc": OP9_SQL, "op11_merkle": OP11_SQL,
+    "op12_chat": OP12_SQL,
 }
-ORACLES: dict[str, str] = {"op2_minhash": OP2_SQL, "op5_hnsw": OP5_SQL, "op7_mixing": OP7_SQL, "op9_warc": OP9_SQL}
