@@ -98,6 +98,78 @@ def with_lift(scores: DataFrame, set_means: DataFrame) -> DataFrame:
     )
 
 
+# --- the same by question --------------------------------------------------------
+
+def question_panels(returned: DataFrame, judgements: DataFrame, judges: list[str], providers: list[str], order: tuple[str, ...] = ()) -> DataFrame:
+    """One row per question: of each declared provider its distinct pages that the whole panel rated.
+
+    ``n0`` pages of the first provider, ``t0`` the sum of their means, ``f0`` and
+    ``h0`` those at full and half relevance, and so on. Pages and ratings meet in
+    one partitioning; only these sums go on.
+    """
+    pages = returned.select("query_id", "url", "provider").repartition("query_id", "url").distinct()
+    r = [F.col(f"r{i}") for i in range(len(judges))]
+    whole = sum(r[1:], r[0])
+    rated = ratings_wide(judgements, judges, order=order).select("query_id", "url", (whole / len(judges)).alias("m")).where("m is not null")
+    sums, m = [], F.col("m")
+    for i, p in enumerate(providers):
+        mine = F.col("provider") == p
+        sums += [F.count_if(mine).alias(f"n{i}"), F.sum(F.when(mine, m)).alias(f"t{i}"),
+                 F.count_if(mine & (m >= FULL)).alias(f"f{i}"), F.count_if(mine & (m >= HALF)).alias(f"h{i}")]
+    return pages.join(rated, ["query_id", "url"]).groupBy("query_id").agg(*sums)
+
+
+def question_marks(log: DataFrame, providers: list[str], controls: tuple[str, ...], *groups: tuple[str, Column]) -> DataFrame:
+    """One row per question of a fetch log: its group (the first whose rule any row meets) and, as c0, c1, ..., whether the best row of each declared provider is clean."""
+    best_first = Window.partitionBy("query_id", "provider").orderBy(failed(F.col("error")).asc(), F.col("fetched_at").desc_nulls_last(), F.col("seq").desc())
+    rank = F.lit(None).cast("int")
+    for i, (_, rule) in reversed(list(enumerate(groups))):
+        rank = F.when(rule, i).otherwise(rank)
+    rows = log.select("query_id", "provider", rank.alias("_r"), (
+        (F.row_number().over(best_first) == 1) & ~failed(F.col("error")) & ~F.col("provider").isin(*controls)).alias("_clean"))
+    marks = rows.groupBy("query_id").agg(F.min("_r").alias("_r"), *_clean_flags(providers, F.col("_clean")))
+    return marks.withColumn("group", F.get(F.array(*[F.lit(name) for name, _ in groups]), F.col("_r"))).drop("_r")
+
+
+def clean_marks(clean: DataFrame, groups: DataFrame, providers: list[str]) -> DataFrame:
+    """The same from clean searches (query_id, provider) and a table of groups."""
+    flags = clean.groupBy("query_id").agg(*_clean_flags(providers, F.lit(True)))
+    return flags.join(groups.select("query_id", "group"), "query_id", "left")
+
+
+def _clean_flags(providers: list[str], clean: Column) -> list[Column]:
+    return [F.bool_or(clean & (F.col("provider") == p)).alias(f"c{i}") for i, p in enumerate(providers)]
+
+
+def searched(panels: DataFrame, marks: DataFrame, providers: list[str]) -> DataFrame:
+    """Panels with each question's group; what a provider returned without a clean best row is emptied."""
+    kept = {f"{c}{i}": F.when(F.col(f"c{i}"), F.col(f"{c}{i}")) for i in range(len(providers)) for c in "ntfh"}
+    return panels.join(marks, "query_id").withColumns(kept).drop(*[f"c{i}" for i in range(len(providers))])
+
+
+def scores_by_question(panels: DataFrame, group: str, providers: list[str]) -> DataFrame:
+    """Of the questions of a group the score s0, s1, ... of each declared provider: the mean of its page means, null without pages."""
+    scores = [F.try_divide(F.col(f"t{i}"), F.col(f"n{i}")).alias(f"s{i}") for i in range(len(providers))]
+    return panels.where(F.col("group") == group).select("query_id", *scores)
+
+
+def page_scores_of(panels: DataFrame, providers: list[str]) -> DataFrame:
+    """``page_scores`` from the panels of questions."""
+    fields = {"n": "n", "total": "t", "full": "f", "half": "h"}
+    each = F.array(*[F.struct(F.lit(p).alias("provider"), *[F.col(f"{c}{i}").alias(name) for name, c in fields.items()]) for i, p in enumerate(providers)])
+    rows = panels.select("group", F.inline(each)).where("n > 0")
+
+    def within(*g: str) -> Column:
+        mine = F.col("group").isin(*g) if g else F.lit(True)
+        return F.try_divide(F.sum(F.when(mine, F.col("total"))), F.sum(F.when(mine, F.col("n"))))
+
+    n = F.sum("n")
+    return rows.groupBy("provider").agg(
+        n.alias("n_pages"), within().alias("page_mean"), within("base").alias("base"), within("hard").alias("hard"), within("unanswerable").alias("unanswerable"),
+        percent(F.sum("full"), n).alias("rung3_pct"), percent(F.sum("half"), n).alias("rung2_or_3_pct"),
+    ).withColumn("delta", F.col("hard") - F.col("base"))
+
+
 def spread(scores: DataFrame) -> DataFrame:
     """Best minus worst provider on easy and hard questions, from unrounded means; ties go to the first name."""
     kept = F.struct("provider", "base", "hard")
@@ -139,14 +211,26 @@ def provider_pairs(scores: DataFrame, order: list[str]) -> DataFrame:
     ).where(F.col("score_a").isNotNull() & F.col("score_b").isNotNull())
 
 
-def paired_sign_tests(scores: DataFrame, order: list[str]) -> DataFrame:
+def pair_counts(questions: DataFrame, order: list[str]) -> DataFrame:
+    """Shared questions and wins of each declared pair, from one row per question with scores s0, s1, ... in declared order.
+
+    One aggregate without keys: a task sends one row with three counters per pair.
+    """
+    n = len(order)
+    pairs = [(i, k) for i in range(n) for k in range(i + 1, n)]
+    counters = []
+    for i, k in pairs:
+        x, y = F.col(f"s{i}"), F.col(f"s{k}")
+        counters += [F.count_if(x.isNotNull() & y.isNotNull()).alias(f"n_{i}_{k}"), F.count_if(x < y).alias(f"a_{i}_{k}"), F.count_if(y < x).alias(f"b_{i}_{k}")]
+    rows = F.array(*[
+        F.struct(F.lit(order[i]).alias("a"), F.lit(order[k]).alias("b"), F.col(f"n_{i}_{k}").alias("n_questions"),
+                 F.col(f"a_{i}_{k}").alias("a_lower"), F.col(f"b_{i}_{k}").alias("b_lower")) for i, k in pairs])
+    return questions.agg(*counters).select(F.inline(rows))
+
+
+def paired_sign_tests(questions: DataFrame, order: list[str]) -> DataFrame:
     """Head-to-head on shared questions; lower is better. Pairs sharing none get a zero row."""
-    x, y = F.col("score_a"), F.col("score_b")
-    counts = provider_pairs(scores, order).groupBy("a", "b").agg(
-        F.count(F.lit(1)).alias("n_questions"), F.count_if(x < y).alias("a_lower"), F.count_if(y < x).alias("b_lower")
-    )
-    spine = scores.sparkSession.range(1).select(F.inline(declared_pairs(order))).toDF("a", "b")
-    full = spine.join(counts, ["a", "b"], "left").na.fill(0, ["n_questions", "a_lower", "b_lower"])
+    full = pair_counts(questions, order)
     decided = F.col("a_lower") + F.col("b_lower")
     full = full.withColumn("ties", F.col("n_questions") - decided).withColumn(
         "p", sign_test_p(decided, F.least("a_lower", "b_lower"))

@@ -5,9 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.errors import failed, is_provider_fault
-from ..functions.stats import ci95, mean0
+from ..functions.stats import ci95, mean0, nearest_rank_of
 from .dims import values, with_slices
-from .ranks import percentiles
 
 RELEVANT_AT = 2
 
@@ -77,8 +76,10 @@ def provider_stats(
 ) -> DataFrame:
     """Scoreboard per provider, and per slice when asked, zero-filled over the grid.
 
-    All slices come out of one aggregate; the percentiles of the timed fetches
-    out of another.
+    All slices and the percentiles come out of one aggregate. A fetch takes a
+    whole number of milliseconds up to its deadline, so the counts per distinct
+    value that an exact percentile keeps of a group stay small at any number of
+    fetches; for values without such a bound there is ``ranks.percentiles``.
     """
     if slices and not providers:
         raise ValueError("a grid over slices needs its providers declared")
@@ -97,15 +98,16 @@ def provider_stats(
         F.count_if("is_miss").alias("n_misses"),
         F.count_if("is_excluded").alias("n_excluded"),
         F.count("fetch_ms").alias("n_fetch_timed"),
+        nearest_rank_of("fetch_ms", 0.5).alias("fetch_ms_p50"),
+        nearest_rank_of("fetch_ms", 0.95).alias("fetch_ms_p95"),
     )
-    timing = percentiles(sliced, keys, "fetch_ms", {"fetch_ms_p50": 0.5, "fetch_ms_p95": 0.95}).drop("n")
-    full = stats.join(timing, keys, "left")
+    full = stats
     if slices:
         grid = sliced.select("slice", "slice_value").distinct().withColumn(
             "provider", F.explode(values(providers))
         )
         full = grid.join(full, keys, "left")
-    absent_is_zero = [c for c in stats.columns if c not in keys]
+    absent_is_zero = [c for c in stats.columns if c not in keys and not c.startswith("fetch_ms_p")]
     return full.withColumns({c: F.coalesce(F.col(c), F.lit(0).cast(stats.schema[c].dataType)) for c in absent_is_zero})
 
 
@@ -141,16 +143,18 @@ def rung_distribution(judgements: DataFrame) -> DataFrame:
     )
 
 
-def judge_cells(fetches: DataFrame, returned: DataFrame, judgements: DataFrame) -> DataFrame:
-    """One judge's mean rung over one provider's set on one question."""
+def judge_cells(fetches: DataFrame, returned: DataFrame, judgements: DataFrame, judges: list[str]) -> DataFrame:
+    """One judge's mean rung over one provider's set on one question, for each declared judge.
+
+    Pages meet their ratings first; a set crosses one shuffle as the sums and
+    counts of all judges, and only then meets its fetch.
+    """
     measured = fetches.where(~failed(F.col("error"))).select("query_id", "provider")
     rated = judgements.where(F.col("rung").isNotNull()).select("query_id", "url", "judge", "rung")
-    return (
-        returned.join(measured, ["query_id", "provider"], "left_semi")
-        .join(rated, ["query_id", "url"])
-        .groupBy("query_id", "provider", "judge")
-        .agg(F.avg("rung").alias("value"))
-    )
+    sums = returned.join(rated, ["query_id", "url"]).groupBy("query_id", "provider").agg(
+        *[F.avg(F.when(F.col("judge") == j, F.col("rung"))).alias(f"m{i}") for i, j in enumerate(judges)])
+    cells = F.array(*[F.struct(F.lit(j).alias("judge"), F.col(f"m{i}").alias("value")) for i, j in enumerate(judges)])
+    return sums.join(measured, ["query_id", "provider"], "left_semi").select("query_id", "provider", F.inline(cells)).where("value is not null")
 
 
 def run_counters(fetches: DataFrame, judgements: DataFrame, raw_judgements: DataFrame) -> DataFrame:

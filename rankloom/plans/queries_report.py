@@ -11,30 +11,32 @@ from .queries_arms import batch_rows
 from .queries_score import J_ORDER, _J_DESC, set_stats, set_verdicts
 from .registry import query, step
 from ..operators.routing import type_cells
-from .views import JUDGES, PROVIDERS, Views
+from .views import JUDGED_ORDER, JUDGES, PROVIDERS, Views
 
 REPORT_PROVIDERS = PROVIDERS[:7]  # p7 plays the keyless control
 
 
 def best(v: Views):
-    return latest.best_fetches(v.fetch_log, controls=("p7",))
+    return latest.best_fetches(v.landed("fetch_log"), controls=("p7",))
+
+
+def rules():
+    kind = F.col("type")
+    return ("base", kind.isin("t0", "t1")), ("hard", kind.isin("t1", "t2", "t3")), ("unanswerable", kind == "t4")
 
 
 def groups(v: Views):
-    return report.group_by_rules(
-        v.fetch_log, ("base", F.col("type").isin("t0", "t1")), ("hard", F.col("type").isin("t1", "t2", "t3")),
-        ("unanswerable", F.col("type") == "t4"),
-    )
+    return report.group_by_rules(v.landed("fetch_log"), *rules())
 
 
 def good_judgements(v: Views):
-    good = latest.last_good_verdicts(v.judgement_log, latest.JUDGEMENT_KEY, "rung", J_ORDER)
+    good = latest.last_good_verdicts(v.landed("judgement_log"), latest.JUDGEMENT_KEY, "rung", J_ORDER)
     return good.select("query_id", normalize_url(F.col("url")).alias("url"), "judge", "rung", *J_ORDER)
 
 
 def searched_pages(v: Views):
     clean = best(v).where("error is null").select("query_id", "provider")
-    pages = v.fetch_pages.withColumn("url", normalize_url(F.col("url")))
+    pages = v.landed("fetch_pages").withColumn("url", normalize_url(F.col("url")))
     return pages.join(clean, ["query_id", "provider"], "left_semi")
 
 
@@ -42,6 +44,12 @@ def rated(v: Views):
     return report.rated_pages(searched_pages(v), good_judgements(v), JUDGES, J_ORDER)
 
 
+def panels(v: Views):
+    pages = v.landed("fetch_pages").withColumn("url", normalize_url(F.col("url")))
+    by_question = report.question_panels(pages, good_judgements(v), JUDGES, REPORT_PROVIDERS, JUDGED_ORDER)
+    return report.searched(by_question, report.question_marks(v.landed("fetch_log"), REPORT_PROVIDERS, ("p7",), *rules()), REPORT_PROVIDERS)
+
+
 step("question_groups", """
 select query_id, case when bool_or(type in ('t0', 't1')) then 'base' when bool_or(type in ('t2', 't3')) then 'hard'
  when bool_or(type = 't4') then 'unanswerable' end as "group" from fetch_log group by 1""")
@@ -86,7 +94,7 @@ select p.provider, n_pages, round(page_mean, 6) as page_mean, round(base, 6) as
  round(hard - base, 6) as delta, round(mean_score, 6) as mean_score, round(mean_score - page_mean, 6) as lift
 from page_scores p left join set_stats s on p.provider = s.provider""")
 def a35(v):
-    return report.with_lift(report.page_scores(rated(v), groups(v)), set_stats(v))
+    return report.with_lift(report.page_scores_of(panels(v), REPORT_PROVIDERS), set_stats(v))
 
 
 @query("a39_spread", """
@@ -96,7 +104,7 @@ select arg_max(p.provider, mean_score) as best, arg_min(p.provider, mean_score)
  cast(floor(((arg_max(hard, mean_score) - arg_min(hard, mean_score)) / (arg_max(base, mean_score) - arg_min(base, mean_score)) - 1) * 100 + 0.5) as bigint) as widened_pct
 from page_scores p join set_stats s on p.provider = s.provider""")
 def a39(v):
-    return report.spread(report.with_lift(report.page_scores(rated(v), groups(v)), set_stats(v)))
+    return report.spread(report.with_lift(report.page_scores_of(panels(v), REPORT_PROVIDERS), set_stats(v)))
 
 
 step("base_scores", """
@@ -128,7 +136,7 @@ select a, b, n, al, bl, case when al + bl = 0 then 1.0 else least(1.0, 2 * list_
 select a, b, n as n_questions, al as a_lower, bl as b_lower, n - al - bl as ties, round(p, 6) as p, p < 0.05 as separates,
  case when p < 0.05 then case when al > bl then a else b end end as better from pair_p""")
 def a41(v):
-    return report.paired_sign_tests(report.question_scores(rated(v), groups(v), "base"), REPORT_PROVIDERS)
+    return report.paired_sign_tests(report.scores_by_question(panels(v), "base", REPORT_PROVIDERS), REPORT_PROVIDERS)
 
 
 @query("a32_extraction_yield", "select provider, round(sum(num_extracted) / sum(num_sources), 6) as yield from fetch_log group by 1")

@@ -8,9 +8,9 @@ from ..functions import errors as E
 from ..functions.stats import T95, T95_BEYOND, ci95, mean0, pearson, std0
 from ..operators import agreement, dims, latest, ranks, score, variance
 from .registry import query, step
-from .views import JUDGES, PROVIDERS, Views
+from .views import JUDGED_ORDER, JUDGES, PROVIDERS, Views
 
-J_ORDER = ["l_shipdate", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_extendedprice"]
+J_ORDER = list(JUDGED_ORDER)
 _J_DESC = ", ".join(f"{c} desc" for c in J_ORDER)
 _TRANSPORT = r"(?i)\b(ENOTFOUND|ECONNREFUSED|ECONNRESET)\b|fetch failed|connection error|network is (down|unreachable)"
 _ACCOUNT = r"(?i)\b(401|402|403)\b|insufficient credit|quota exceeded|payment required|out of credits|billing"
@@ -78,25 +78,25 @@ SCORE_COLS = f"""count(mean_rung) as n_queries, round(coalesce(avg(mean_rung), 0
 # --- shared Spark steps -----------------------------------------------------
 
 def fetches(v: Views):
-    return latest.dedupe_fetches(v.fetch_log)
+    return latest.dedupe_fetches(v.landed("fetch_log"))
 
 
 def judgements(v: Views):
-    return latest.dedupe_verdicts(v.judgement_log, latest.JUDGEMENT_KEY, J_ORDER).select(
+    return latest.dedupe_verdicts(v.landed("judgement_log"), latest.JUDGEMENT_KEY, J_ORDER).select(
         "query_id", "url", "judge", "rung"
     )
 
 
 def set_verdicts(v: Views):
-    return latest.dedupe_verdicts(v.set_verdict_log, latest.SET_KEY, J_ORDER)
+    return latest.dedupe_verdicts(v.landed("set_verdict_log"), latest.SET_KEY, J_ORDER)
 
 
 def scores(v: Views):
-    return score.query_scores(fetches(v), v.fetch_pages, score.panel_means(judgements(v)))
+    return score.query_scores(fetches(v), v.landed("fetch_pages"), score.panel_means(judgements(v)))
 
 
 def cells(v: Views):
-    return score.judge_cells(fetches(v), v.fetch_pages, judgements(v))
+    return score.judge_cells(fetches(v), v.landed("fetch_pages"), judgements(v), JUDGES)
 
 
 # --- D: dedupe --------------------------------------------------------------
@@ -128,7 +128,7 @@ select * exclude (rn) from (select *, row_number() over (partition by query_id,
 
 @query("d04_best_row", "select seq, query_id, provider, error from best_rows")
 def d04(v):
-    return latest.best_fetches(v.fetch_log, controls=("p7",)).select("seq", "query_id", "provider", "error")
+    return latest.best_fetches(v.landed("fetch_log"), controls=("p7",)).select("seq", "query_id", "provider", "error")
 
 
 step("good_judgements", f"""
@@ -138,14 +138,14 @@ select query_id, url, judge, rung from (select *, row_number() over (partition b
 
 @query("d05_last_good_judgement", "select query_id, url, judge, cast(rung as bigint) as rung from good_judgements")
 def d05(v):
-    return latest.last_good_verdicts(v.judgement_log, latest.JUDGEMENT_KEY, "rung", J_ORDER).select(
+    return latest.last_good_verdicts(v.landed("judgement_log"), latest.JUDGEMENT_KEY, "rung", J_ORDER).select(
         "query_id", "url", "judge", "rung"
     )
 
 
 @query("d06_resume_fetch_keys", "select distinct query_id, provider from fetch_faults where fault not in ('transport', 'account')")
 def d06(v):
-    return latest.resumable_fetches(v.fetch_log)
+    return latest.resumable_fetches(v.landed("fetch_log"))
 
 
 @query("d07_resume_arm_keys", "select distinct query_id, provider, seed from arm_log where error is null or error <> 'fetch failed'")
@@ -155,7 +155,7 @@ def d07(v):
 
 @query("d08_resume_verdict_keys", "select distinct query_id, url, judge from judgement_log where error is null")
 def d08(v):
-    return latest.resumable_verdicts(v.judgement_log, latest.JUDGEMENT_KEY)
+    return latest.resumable_verdicts(v.landed("judgement_log"), latest.JUDGEMENT_KEY)
 
 
 @query("d12_judgeable_sets", "select seq, query_id, provider, num_sources from fetches where error is null and num_sources > 0")
@@ -239,7 +239,7 @@ def a11(v):
 select r.query_id, r.provider, r.url, round(mean_rung, 6) as mean_rung
 from fetch_pages r left join panel p on r.query_id = p.query_id and r.url = p.url""")
 def j04(v):
-    return score.page_verdicts(v.fetch_pages, score.panel_means(judgements(v)))
+    return score.page_verdicts(v.landed("fetch_pages"), score.panel_means(judgements(v)))
 
 
 @query("a12_query_score", """
@@ -418,14 +418,14 @@ cross join (select 'p' || cast(i as varchar) as provider from range(9) t(i))""")
 
 
 def _todo(v):
-    return dims.matrix(v.fetch_log.select("query_id").distinct(), provider=[f"p{i}" for i in range(9)])
+    return dims.matrix(v.landed("fetch_log").select("query_id").distinct(), provider=[f"p{i}" for i in range(9)])
 
 
 @query("j02_resume_remaining", """
 select t.* from todo t anti join (select query_id, provider from fetch_faults where fault not in ('transport', 'account')) d
  on t.query_id = d.query_id and t.provider = d.provider""")
 def j02(v):
-    return dims.remaining(_todo(v), latest.resumable_fetches(v.fetch_log), latest.FETCH_KEY)
+    return dims.remaining(_todo(v), latest.resumable_fetches(v.landed("fetch_log")), latest.FETCH_KEY)
 
 
 @query("j03_matrix_filter", """

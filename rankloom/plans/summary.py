@@ -33,7 +33,7 @@ def pooled_summary(
     sets = latest.dedupe_verdicts(set_verdict_log, latest.SET_KEY)
     returned = staged(returned_sets(fetches), "returned")
     scores = staged(score.query_scores(fetches, returned, score.panel_means(judgements)), "scores")
-    cells = staged(score.judge_cells(fetches, returned, judgements), "cells")
+    cells = staged(score.judge_cells(fetches, returned, judgements, judges), "cells")
     tags = fetches.where("sharpness is not null").groupBy("query_id").agg(F.max_by("sharpness", "seq").alias("sharpness"))
     shares = variance.variance_shares(cells)
     return {
@@ -80,7 +80,9 @@ def report_tables(
     pages = staged(pool.canonical_pages(sources).select("query_id", "provider", "url", "raw_url"), "pages")
     good = latest.last_good_verdicts(judgement_log, latest.JUDGEMENT_KEY).withColumn("url", normalize_url(F.col("url")))
     rated = staged(report.rated_pages(pages, good, judges, ("seq",)), "rated")
-    scored = staged(report.with_lift(report.page_scores(rated, groups), set_means), "page-scores")
+    clean_keys = lean.where(~failed(F.col("error"))).select("query_id", "provider")
+    panels = staged(report.searched(report.question_panels(pages, good, judges, providers, ("seq",)), report.clean_marks(clean_keys, groups, providers), providers), "panels")
+    scored = staged(report.with_lift(report.page_scores_of(panels, providers), set_means), "page-scores")
     priced = report.attach_costs(set_means, costs)
     hist = pool.overlap(pages, "url", len(providers))
     points = priced.where("usd_per_query is not null")
@@ -88,7 +90,7 @@ def report_tables(
         "page_scores": scored,
         "join_match": report.join_match(rated),
         "spread": report.spread(scored),
-        "unanswerable_pairs": report.paired_sign_tests(report.question_scores(rated, groups, "unanswerable"), providers),
+        "unanswerable_pairs": report.paired_sign_tests(report.scores_by_question(panels, "unanswerable", providers), providers),
         "overlap": hist,
         "overlap_shares": pool.overlap_shares(hist, len(providers)),
         "overlap_by_raw_url": pool.overlap(pages, "raw_url", len(providers)),

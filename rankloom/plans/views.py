@@ -10,6 +10,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..sources import landing
+
 BASE_TABLES = [
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
     "documents", "embeddings", "pages", "benchmark", "labels", "conversations",
@@ -21,6 +23,10 @@ JUDGES = ["A", "N", "R"]
 NOW = "2026-08-18 00:00:00"
 EVENTS_NOW = "2024-01-03 00:00:00"
 
+# Order of rows in the logs that come from lineitem.
+JUDGED_ORDER = ("l_shipdate", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_extendedprice")
+LANDED_ORDER = {"fetch_log": ("seq",), "judgement_log": JUDGED_ORDER, "set_verdict_log": JUDGED_ORDER}
+
 VIEWS = {
     "fetch_log": """
 select event_id as seq, 'r' || cast(cast(ts as date) as string) as run_id,
@@ -112,6 +118,10 @@ from {part} join {lineitem} on p_partkey = l_partkey group by p_partkey, p_retai
 }
 
 
+# Landed logs of this process, by application, log, buckets and state of the files that it comes from.
+_LANDED: dict[tuple, DataFrame] = {}
+
+
 class Views:
     """Base tables and derived logs of one data folder, as DataFrames."""
 
@@ -130,6 +140,14 @@ class Views:
     def view(self, name: str) -> DataFrame:
         return self.sql(VIEWS[name])
 
+    def landed(self, name: str) -> DataFrame:
+        """A log from its bucketed table, which is written once for an application and the files that it comes from."""
+        bases = tuple(landing.state_of(self.spark, f"{self.sf_dir}/{t}.parquet") for t in BASE_TABLES if "{" + t + "}" in VIEWS[name])
+        key = (self.spark.sparkContext.applicationId, name, landing.buckets_of(self.spark), bases)
+        if key not in _LANDED:
+            _LANDED[key] = landing.land(self.view(name), name, landing.KEYS[name], LANDED_ORDER.get(name, ()))
+        return _LANDED[key]
+
     def __getattr__(self, name: str) -> DataFrame:
         if name in VIEWS:
             return self.view(name)
