@@ -98,39 +98,45 @@ def replies(rows: DataFrame) -> DataFrame:
     return narrow.withColumn("_nth", F.row_number().over(first)).where("_nth = 1").drop("_nth")
 
 
-def _step(rows: DataFrame, known: DataFrame) -> DataFrame:
+def _step(rows: DataFrame, known: DataFrame, how: str) -> DataFrame:
     """Joins each row's ``up`` to the message of that id in ``known`` (columns with an underscore before them)."""
     known = known.select(*[F.col(c).alias(f"_{c}") for c in known.columns])
-    return rows.join(known, F.col("tree").eqNullSafe(F.col("_tree")) & (F.col("up") == F.col("_id")), "left")
+    return rows.join(known, F.col("tree").eqNullSafe(F.col("_tree")) & (F.col("up") == F.col("_id")), how)
 
 
 def branches(links: DataFrame, best: int | None, scratch: Scratch) -> DataFrame:
-    """(tree, leaf, id, place): the messages of each chosen branch, numbered from its root. ``best`` branches a tree, None for all."""
+    """(tree, leaf, id, place): the messages of each chosen branch, numbered from its root. ``best`` branches a tree, None for all.
+
+    Step k holds the messages that are deeper than 2^k or got to their root in
+    it, with the sum of scores and the number of messages on the way; only those
+    that still climb are joined again.
+    """
     own = links.select("tree", "id", F.col("parent").alias("up"), "score")
-    found = _step(own.where(~F.col("up").eqNullSafe(F.col("id"))), own.select("tree", "id")).select(
-        "tree", "id", F.when(F.col("_id").isNotNull(), F.col("up")).alias("up"), F.coalesce("score", F.lit(0.0)).alias("total"), F.lit(1).cast("long").alias("depth"))
-    selves = own.where(F.col("up").eqNullSafe(F.col("id"))).select(
-        "tree", "id", F.lit(None).cast("long").alias("up"), F.coalesce("score", F.lit(0.0)).alias("total"), F.lit(1).cast("long").alias("depth"))
+    start = [F.coalesce("score", F.lit(0.0)).alias("total"), F.lit(1).cast("long").alias("depth")]
+    found = _step(own.where(~F.col("up").eqNullSafe(F.col("id"))), own.select("tree", "id"), "left").select(
+        "tree", "id", F.when(F.col("_id").isNotNull(), F.col("up")).alias("up"), *start)
+    selves = own.where(F.col("up").eqNullSafe(F.col("id"))).select("tree", "id", F.lit(None).cast("long").alias("up"), *start)
     steps = [scratch.keep(found.unionByName(selves), "chat-links")]
+    at_root = steps[0].where("up is null")
     reach, number = 1, steps[0].count()
     # Whoever still climbs after as many steps as there are messages goes round in a circle.
     while reach <= number and not steps[-1].where("up is not null").isEmpty():
-        far = _step(steps[-1], steps[-1])
+        climbing = steps[-1].where("up is not null")
+        far = _step(climbing, at_root.unionByName(climbing), "inner")
         steps.append(scratch.keep(far.select(
-            "tree", "id", F.col("_up").alias("up"), (F.col("total") + F.coalesce("_total", F.lit(0.0))).alias("total"),
-            (F.col("depth") + F.coalesce("_depth", F.lit(0))).alias("depth")), "chat-links"))
+            "tree", "id", F.col("_up").alias("up"), (F.col("total") + F.col("_total")).alias("total"), (F.col("depth") + F.col("_depth")).alias("depth")), "chat-links"))
+        at_root = at_root.unionByName(steps[-1].where("up is null"))
         reach *= 2
     answered = steps[0].select(F.col("tree").alias("_t"), F.col("up").alias("_u")).where("_u is not null").distinct()
-    leaves = steps[-1].where("up is null").join(answered, F.col("tree").eqNullSafe(F.col("_t")) & (F.col("id") == F.col("_u")), "left_anti")
+    leaves = at_root.join(answered, F.col("tree").eqNullSafe(F.col("_t")) & (F.col("id") == F.col("_u")), "left_anti")
     if best is not None:
         rank = W.partitionBy("tree").orderBy((F.col("total") / F.col("depth")).desc(), F.col("depth").desc(), "id")
         leaves = leaves.withColumn("_rank", F.row_number().over(rank)).where(F.col("_rank") <= best)
     paths = scratch.keep(leaves.select("tree", F.col("id").alias("leaf"), "id", (F.col("depth") - 1).alias("place")), "chat-paths")
     for i, links in enumerate(steps[:-1]):
-        more = paths.withColumnRenamed("id", "up")
-        more = _step(more, links.where("up is not null")).where("_up is not null")
-        more = more.select("tree", "leaf", F.col("_up").alias("id"), (F.col("place") - 2**i).alias("place"))
-        paths = scratch.keep(paths.unionByName(more), "chat-paths")
+        more = _step(paths.withColumnRenamed("id", "up"), links.where("up is not null"), "inner")
+        more = scratch.keep(more.select("tree", "leaf", F.col("_up").alias("id"), (F.col("place") - 2**i).alias("place")), "chat-paths")
+        paths = paths.unionByName(more)
     return paths
 
 
@@ -147,23 +153,23 @@ def _turns(rows: DataFrame, links: DataFrame, best: int | None, scratch: Scratch
     return turns.repartition("tree", "leaf").sortWithinPartitions("tree", "leaf", "place")
 
 
-def format_threads(conversations: DataFrame, scratch: Scratch) -> DataFrame:
+def format_threads(conversations: DataFrame, scratch: Scratch, part: int = PART) -> DataFrame:
     """Linear conversations (conv_id, turn, role, text), formatted; ``tree`` is conv_id as text."""
     rows = _rows(conversations, "conv_id", "turn")
-    return _turns(rows, threads(rows, scratch), 1, scratch).mapInPandas(partial(_format, repeats=True), FORMATTED)
+    return _turns(rows, threads(rows, scratch), 1, scratch).mapInPandas(partial(_format, repeats=True, size=part), FORMATTED)
 
 
-def format_replies(messages: DataFrame, scratch: Scratch, best: int | None = 1) -> DataFrame:
+def format_replies(messages: DataFrame, scratch: Scratch, best: int | None = 1, part: int = PART) -> DataFrame:
     """The ``best`` branches of each tree of messages (tree, id, parent, role, text, score), formatted."""
     rows = _rows(messages, "tree", "id", "parent", "score")
-    return _turns(rows, replies(rows), best, scratch).mapInPandas(partial(_format, repeats=False), FORMATTED)
+    return _turns(rows, replies(rows), best, scratch).mapInPandas(partial(_format, repeats=False, size=part), FORMATTED)
 
 
 def _frame(rows: list[tuple]) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["tree", "leaf", "part", "last", "formatted", "loss_starts", "loss_ends"])
 
 
-def _format(batches: Iterator[pd.DataFrame], repeats: bool) -> Iterator[pd.DataFrame]:
+def _format(batches: Iterator[pd.DataFrame], repeats: bool, size: int) -> Iterator[pd.DataFrame]:
     """Sorted turns to parts; a part is given out when the next row shows whether it is the last of its conversation.
 
     Rows of one place are one turn given twice, unless ``repeats`` makes turns of them all.
@@ -176,7 +182,7 @@ def _format(batches: Iterator[pd.DataFrame], repeats: bool) -> Iterator[pd.DataF
             same = pieces and key == (tree, leaf)
             if same and at == place and not repeats:
                 continue
-            if pieces and (not same or held >= PART):
+            if pieces and (not same or held >= size):
                 out.append((*key, part, not same, "".join(pieces), starts, ends))
                 offset, part, pieces, starts, ends, held = offset + held, part + 1, [], [], [], 0
             if not same:
