@@ -1,9 +1,14 @@
-"""Exact order statistics without holding a group in one task.
+"""Exact order statistics without holding a group in one task, and sketches of them.
 
-A value's place is found in two steps: counts per coarse bucket (a few
-thousand per group, whatever its size) say which bucket holds the wanted rank,
-then only the distinct values of that bucket are ordered. Repeated values are
-counted before the first shuffle.
+Equal values are counted before anything else. Values become whole numbers of
+the same order, and a rank is narrowed to it digit by digit: each pass counts the
+values of a key by their next leading bits, within what the passes before it
+left, and keeps the digit that holds the rank. What is ordered in one task is
+the digits of a pass, or in the end the values that share all leading bits; both
+are bounded by the number of bits, whatever a key holds.
+
+Whole numbers (milliseconds) take one pass: 24 leading bits leave at most 1,024
+of those below 2^23. Other values take three and leave at most 2^14.
 """
 
 from __future__ import annotations
@@ -12,7 +17,11 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..functions.ordering import from_order_key, with_order_key
+
 Rank = Callable[[Column], Column]
+#: Bits that a pass leaves open, by kind of value.
+WHOLE, ANY = (40,), (46, 30, 14)
 
 
 def nearest_rank(p: float) -> Rank:
@@ -33,50 +42,48 @@ def upper_middle(n: Column) -> Column:
     return (F.floor(n / 2) + 1).cast("bigint")
 
 
-def _bucket(v: Column) -> Column:
-    """Non-decreasing in v, at most some 90 000 distinct values for any double."""
-    return F.floor(F.signum(v) * F.log1p(F.abs(v)) * 64).cast("bigint")
+def counted(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """(keys, _k, _c): order-keeping number of each distinct value and how often it occurs. Null keys and values and NaN go."""
+    present = F.col("_k").isNotNull() & ~F.isnan(F.col(value).cast("double"))
+    for k in keys:
+        present = present & F.col(k).isNotNull()
+    return with_order_key(df.select(*keys, value), value, "_k").where(present).groupBy(*keys, "_k").agg(F.count(F.lit(1)).alias("_c"))
 
 
-def values_at(df: DataFrame, keys: list[str], value: str, picks: dict[str, Rank]) -> DataFrame:
+def values_at(df: DataFrame, keys: list[str], value: str, picks: dict[str, Rank], passes: tuple[int, ...] | None = None) -> DataFrame:
     """One row per key: ``n`` and the value at each named rank. Keys must not be null."""
-    v = F.col(value).cast("double")
-    present = v.isNotNull()
-    for k in keys:
-        present = present & F.col(k).isNotNull()
-    # Both uses below carry these filters already, so they share one shuffle.
-    counts = (
-        df.where(present)
-        .groupBy(*keys, v.alias("_v"))
-        .agg(F.count(F.lit(1)).alias("_c"))
-        .withColumn("_b", _bucket(F.col("_v")))
-        .where(F.col("_b").isNotNull())
-    )
-    per_key = Window.partitionBy(*keys)
-    buckets = (
-        counts.groupBy(*keys, "_b")
-        .agg(F.sum("_c").alias("_bc"))
-        .withColumn("_upto", F.sum("_bc").over(per_key.orderBy("_b")))
-        .withColumn("_n", F.sum("_bc").over(per_key))
-        .withColumn("_before", F.col("_upto") - F.col("_bc"))
-    )
-    wanted = F.lit(False)
-    for rank in picks.values():
-        r = rank(F.col("_n"))
-        wanted = wanted | ((r > F.col("_before")) & (r <= F.col("_upto")))
-    buckets = buckets.where(wanted).select(*keys, "_b", "_before", "_n")
-    inside = Window.partitionBy(*keys, "_b").orderBy("_v")
-    placed = (
-        counts.join(buckets, [*keys, "_b"])
-        .withColumn("_hi", F.col("_before") + F.sum("_c").over(inside))
-        .withColumn("_lo", F.col("_hi") - F.col("_c"))
-    )
+    if passes is None:
+        passes = WHOLE if df.schema[value].dataType.typeName() in ("byte", "short", "integer", "long") else ANY
+    # Every pass reads this, so its shuffle runs once.
+    counts = counted(df, keys, value)
+    rest, before, n = counts, F.lit(0).cast("long"), None
+    for i, open_bits in enumerate(passes):
+        digit = F.shiftright("_k", open_bits)
+        sizes = rest.groupBy(*keys, *(["_d", "_before", "n"] if i else []), digit.alias("_digit")).agg(F.sum("_c").alias("_size"))
+        within = Window.partitionBy(*keys, *(["_d"] if i else []))
+        upto = F.sum("_size").over(within.orderBy("_digit"))
+        if i:
+            sizes = sizes.withColumn("_upto", F.col("_before") + upto).withColumn("_from", F.col("_upto") - F.col("_size"))
+        else:
+            sizes = sizes.withColumn("_upto", upto).withColumn("_from", F.col("_upto") - F.col("_size")).withColumn("n", F.sum("_size").over(within))
+        wanted = F.lit(False)
+        for rank in picks.values():
+            r = rank(F.col("n"))
+            wanted = wanted | ((r > F.col("_from")) & (r <= F.col("_upto")))
+        kept = sizes.where(wanted).select(*[F.col(k).alias(f"_key{j}") for j, k in enumerate(keys)], F.col("_digit").alias("_d"), F.col("_from").alias("_before"), "n")
+        same = digit == F.col("_d")
+        for j, k in enumerate(keys):
+            same = same & (F.col(k) == F.col(f"_key{j}"))
+        rest = counts.join(kept, same).select(*keys, "_k", "_c", "_d", "_before", "n")
+    inside = Window.partitionBy(*keys, "_d").orderBy("_k")
+    placed = rest.withColumn("_hi", F.col("_before") + F.sum("_c").over(inside)).withColumn("_lo", F.col("_hi") - F.col("_c"))
     out = []
     for name, rank in picks.items():
-        r = rank(F.col("_n"))
+        r = rank(F.col("n"))
         hit = (r > F.col("_lo")) & (r <= F.col("_hi"))
-        out.append(F.max(F.when(hit, F.col("_v"))).alias(name))
-    return placed.groupBy(*keys).agg(F.max("_n").alias("n"), *out)
+        out.append(F.max(F.when(hit, F.col("_k"))).alias(name))
+    found = placed.groupBy(*keys).agg(F.max("n").alias("n"), *out)
+    return found.select(*keys, "n", *[from_order_key(F.col(name)).alias(name) for name in picks])
 
 
 def percentiles(df: DataFrame, keys: list[str], value: str, ps: dict[str, float]) -> DataFrame:
@@ -95,3 +102,20 @@ def medians(df: DataFrame, keys: list[str], value: str, rounded: bool) -> DataFr
     if rounded:
         mid = F.when(F.col("n") % 2 == 1, F.col("_lo_mid")).otherwise(F.floor(mid + F.lit(0.5)).cast("double"))
     return pair.select(*keys, "n", mid.alias("median"))
+
+
+# --- sketches: approximate, mergeable, of a fixed size a key ---------------------
+
+def sketches(df: DataFrame, keys: list[str], value: str, k: int = 400) -> DataFrame:
+    """A KLL sketch of each key's values; ranks read from it are within some 1.2 % of n for k = 200, half of that for twice the k."""
+    v = F.col(value).cast("double")
+    return df.where(v.isNotNull() & ~F.isnan(v)).groupBy(*keys).agg(F.kll_sketch_agg_double(v, F.lit(k)).alias("sketch"), F.count(F.lit(1)).alias("n"))
+
+
+def merged(parts: DataFrame, keys: list[str], k: int = 400) -> DataFrame:
+    """Sketches of parts of a key (days, runs) as one a key."""
+    return parts.groupBy(*keys).agg(F.kll_merge_agg_double("sketch", F.lit(k)).alias("sketch"), F.sum("n").alias("n"))
+
+
+def sketched_percentiles(parts: DataFrame, keys: list[str], ps: dict[str, float]) -> DataFrame:
+    return parts.select(*keys, "n", *[F.kll_sketch_get_quantile_double("sketch", F.lit(p)).alias(name) for name, p in ps.items()])

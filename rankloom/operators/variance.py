@@ -2,54 +2,53 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 PARTS = ["provider", "query", "judge", "provider_by_query", "residual"]
 
 
+# What a row of the grouping sets stands for: bits of (query_id, provider, judge) that it sums over.
+ALL, JUDGE, PROVIDER, QUERY, SET = 7, 6, 5, 3, 1
+
+
 def variance_shares(cells: DataFrame) -> DataFrame:
     """Sums-of-squares shares over (query, provider, judge) cells, one row.
 
-    Every sum is of n_g * (group mean - grand mean)^2, so it needs only group
-    means and counts. The total comes from the aggregate variance, which merges
-    centred moments instead of subtracting large squares.
+    One aggregate over grouping sets gives the number, mean and centred second
+    moment of every group. What a level explains is the total less the moments
+    inside its groups, so nothing is a difference of large squares. The mixed
+    part adds the products of a question's and a provider's distance from the
+    grand mean, which vanish only where every provider has the same questions.
     """
-    qp = cells.groupBy("query_id", "provider").agg(F.count("value").alias("n"), F.avg("value").alias("m"))
-
-    def level(*keys: str) -> DataFrame:
-        n = F.sum("n")
-        return qp.groupBy(*keys).agg(n.alias("n"), (F.sum(F.col("n") * F.col("m")) / n).alias("m"))
-
-    total = cells.agg(
-        F.count("value").alias("n"), F.avg("value").alias("g"),
-        (F.var_pop("value") * F.count("value")).alias("ss"),
-    )
-    grand = total.select("g").scalar()
-    ss_total = total.select("ss").scalar()
-    n_cells = total.select("n").scalar()
-
-    def spread(df: DataFrame):
-        return df.withColumn("_off", F.col("m") - grand).agg(F.sum(F.col("n") * F.col("_off") * F.col("_off"))).scalar()
-
-    per_query = level("query_id").select("query_id", F.col("m").alias("mq"))
-    per_provider = level("provider").select("provider", F.col("m").alias("mp"))
-    per_judge = cells.groupBy("judge").agg(F.count("value").alias("n"), F.avg("value").alias("m"))
-    mixed = qp.join(per_query, "query_id").join(per_provider, "provider")
-    mixed = mixed.withColumn("_off", F.col("m") - F.col("mq") - F.col("mp") + grand)
-    ss = {
-        "provider": spread(level("provider")),
-        "query": spread(level("query_id")),
-        "judge": spread(per_judge),
-        "provider_by_query": mixed.agg(F.sum(F.col("n") * F.col("_off") * F.col("_off"))).scalar(),
-    }
-    out = cells.sparkSession.range(1).select(
-        n_cells.alias("n_cells"), ss_total.alias("total"), *[x.alias(k) for k, x in ss.items()]
-    )
-    rest = F.col("total") - sum(F.col(k) for k in ss)
+    n = F.count("value")
+    levels = cells.groupingSets([["query_id", "provider"], ["query_id"], ["provider"], ["judge"], []], "query_id", "provider", "judge").agg(
+        F.grouping_id().alias("level"), n.alias("n"), F.avg("value").alias("m"), F.coalesce(F.var_pop("value") * n, F.lit(0.0)).alias("inside"))
+    at, name = F.col("level"), F.when(F.col("provider").isNull(), "-").otherwise(F.concat(F.lit("+"), F.col("provider")))
+    # One entry per provider, a declared list.
+    providers = levels.where(at.isin(PROVIDER, ALL)).agg(
+        F.map_from_entries(F.collect_list(F.when(at == PROVIDER, F.struct(name.alias("k"), F.col("m").alias("m"))))).alias("m"),
+        F.max(F.when(at == ALL, F.col("m"))).alias("g"))
+    known = providers.select(F.struct("g", "m")).scalar()
+    grand, by_provider = known["g"], known["m"]
+    of_query = F.max(F.when(at == QUERY, F.col("m"))).over(Window.partitionBy("query_id"))
+    rows = levels.withColumn("_q", of_query - grand).withColumn("_p", by_provider[name] - grand)
+
+    def inside(level: int) -> Column:
+        return F.coalesce(F.sum(F.when(at == level, F.col("inside"))), F.lit(0.0))
+
+    sums = rows.agg(
+        F.coalesce(F.sum(F.when(at == ALL, F.col("n"))), F.lit(0)).alias("n_cells"), inside(ALL).alias("total"),
+        *[inside(level).alias(k) for k, level in (("_query", QUERY), ("_provider", PROVIDER), ("_judge", JUDGE), ("_set", SET))],
+        F.coalesce(F.sum(F.when(at == SET, F.col("n") * F.col("_q") * F.col("_p"))), F.lit(0.0)).alias("_both"))
+    total = F.col("total")
+    out = sums.withColumns({k: total - F.col(f"_{k}") for k in ("provider", "query", "judge")})
+    mixed = (total - F.col("_set")) - F.col("query") - F.col("provider") + 2 * F.col("_both")
+    out = out.withColumn("provider_by_query", F.greatest(F.lit(0.0), mixed))
+    rest = total - sum(F.col(k) for k in PARTS[:-1])
     out = out.withColumn("residual", F.greatest(F.lit(0.0), rest))
-    usable = (F.col("n_cells") >= 2) & (F.col("total") > 0)
+    usable = (F.col("n_cells") >= 2) & (total > 0)
     return out.select(
-        *[F.coalesce(F.when(usable, F.try_divide(F.col(k), F.col("total"))), F.lit(0.0)).alias(k) for k in PARTS],
+        *[F.coalesce(F.when(usable, F.try_divide(F.col(k), total)), F.lit(0.0)).alias(k) for k in PARTS],
         "n_cells",
     )
 

@@ -192,6 +192,15 @@ def a04(v):
     return ranks.percentiles(v.fetch_log, ["provider"], "fetch_ms", {"p50": 0.5, "p95": 0.95})
 
 
+@query("a04_continuous_percentiles", """
+select l_returnflag as judge, count(*) as n, quantile_disc(l_extendedprice, 0.01) as p01, quantile_disc(l_extendedprice, 0.5) as p50,
+ quantile_disc(l_extendedprice, 0.95) as p95 from lineitem group by 1""")
+def a04_continuous(v):
+    """The same over values that hardly repeat."""
+    rows = v.lineitem.select(F.col("l_returnflag").alias("judge"), "l_extendedprice")
+    return ranks.percentiles(rows, ["judge"], "l_extendedprice", {"p01": 0.01, "p50": 0.5, "p95": 0.95})
+
+
 step("ranked_ms", """
 select provider, fetch_ms, row_number() over (partition by provider order by fetch_ms) as i,
  count(*) over (partition by provider) as n from fetch_log where fetch_ms is not null""")
