@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.errors import failed
 from ..functions.labels import finite
-from .ranks import medians
+from .ranks import WHOLE, medians
 
 
 def to_batch_records(rows: DataFrame, batch_id: str | Column, ts: Column) -> DataFrame:
@@ -49,7 +49,7 @@ def summarize(flat: DataFrame) -> DataFrame:
         F.avg("retrieval").alias("retrieval"), F.avg("answer").alias("answer"),
     )
     queries = both.select("provider", "query").distinct().groupBy("provider").agg(F.count(F.lit(1)).alias("queries"))
-    latency = medians(both, ["provider"], "latency", rounded=True).select("provider", F.col("median").alias("latency"))
+    latency = medians(both, ["provider"], "latency", rounded=True, digits=WHOLE).select("provider", F.col("median").alias("latency"))
     return base.join(queries, "provider", "left").join(latency, "provider", "left")
 
 
