@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.errors import failed
@@ -37,40 +39,51 @@ def returned_pages(sources: DataFrame) -> DataFrame:
     )
 
 
+#: A place in the log as one number: the fetch's position, then nine digits for the place in its set.
+PLACES = 10**9
+#: More than any place; a length times this sorts before all places.
+TOP = Decimal(10**28)
+
+
+def place(seq: Column, pos: Column) -> Column:
+    return (seq.cast("decimal(19,0)") * F.lit(PLACES).cast("decimal(10,0)") + pos).cast("decimal(28,0)")
+
+
+def pool_winners(pages: DataFrame) -> DataFrame:
+    """One row per question and page: places of its first row, of its longest text (the earlier on equal length) and of its first date, and providers in first-seen order.
+
+    Only places and lengths are aggregated, as numbers, so both aggregates are by
+    hash and a map task sends one narrow row per page and provider.
+    """
+    at = place(F.col("seq"), F.col("pos"))
+    longest = (F.length("body").cast("decimal(10,0)") * F.lit(TOP) - at).cast("decimal(38,0)")
+    per_provider = pages.groupBy("query_id", "url", "provider").agg(
+        F.min(at).alias("at"), F.max(longest).alias("longest"), F.min(F.when(F.col("published") != "", at)).alias("dated"))
+    found = per_provider.groupBy("query_id", "url").agg(
+        F.min("at").alias("first"), F.max("longest").alias("longest"), F.min("dated").alias("dated"),
+        # at most one entry per configured provider
+        F.array_sort(F.collect_list(F.struct("at", "provider"))).alias("by"),
+    )
+    chars = F.ceil(F.col("longest") / F.lit(TOP)).cast("decimal(10,0)")
+    text_at = (chars * F.lit(TOP) - F.col("longest")).cast("decimal(28,0)")
+    return found.select("query_id", "url", "first", text_at.alias("text"), "dated", F.col("by.provider").alias("returned_by"))
+
+
 def build_pool(sources: DataFrame) -> DataFrame:
     """One row per question and page.
 
     First-seen title, domain and query; the longest text and whose it is (the
     earlier on equal length); the first known date; providers in first-seen
-    order. The sources are read once; the longest text is part of the aggregate,
-    so a map task sends one text per page and provider and drops the rest.
+    order. Winners are chosen on narrow rows; names and texts are then fetched
+    by place, one row per page.
     """
-    pages = canonical_pages(sources)
-    at = F.struct("seq", "pos")
-    lean = pages.select(
-        "query_id", "url", "provider", at.alias("at"), "query", "title", "domain",
-        F.when(F.col("published") != "", F.col("published")).alias("published"),
-        F.struct(F.length("body").alias("chars"), (-F.col("seq")).alias("s"), (-F.col("pos")).alias("p"), "body", "provider").alias("text"),
-    )
-    dated_at = F.when(F.col("published").isNotNull(), F.col("at"))
-    per_provider = lean.groupBy("query_id", "url", "provider").agg(
-        F.min("at").alias("at"),
-        F.min(F.struct("at", "query", "title", "domain")).alias("first"),
-        F.max("text").alias("text"),
-        F.min(F.when(dated_at.isNotNull(), F.struct("at", "published"))).alias("dated"),
-    )
-    pool = per_provider.groupBy("query_id", "url").agg(
-        F.min("first").alias("first"),
-        F.max("text").alias("text"),
-        F.min("dated").alias("dated"),
-        # at most one entry per configured provider
-        F.array_sort(F.collect_list(F.struct("at", "provider"))).alias("by"),
-    )
-    return pool.select(
-        "query_id", "url", F.col("first.query").alias("query"), F.col("first.title").alias("title"),
-        F.col("first.domain").alias("domain"), F.col("dated.published").alias("published"),
-        F.col("by.provider").alias("returned_by"), F.col("text.body").alias("content"), F.col("text.provider").alias("content_from"),
-    )
+    won = pool_winners(canonical_pages(sources))
+    at = place(F.col("seq"), F.col("pos"))
+    names = sources.select(at.alias("first"), "query", "title", "domain")
+    dates = sources.select(at.alias("dated"), "published")
+    texts = sources.select(at.alias("text"), body_text(F.struct("content", "snippet")).alias("content"), F.col("provider").alias("content_from"))
+    full = won.join(names, "first").join(dates, "dated", "left").join(texts, "text")
+    return full.select("query_id", "url", "query", "title", "domain", "published", "returned_by", "content", "content_from")
 
 
 def pool_from_fetches(fetches: DataFrame) -> DataFrame:
