@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import functions as F
+from pyspark.sql import Column, functions as F
 
 from ..functions.labels import TYPE_ORDER
 from ..operators import pages as pages_ops
@@ -211,33 +211,55 @@ def s12(v):
 
 # --- payloads ---------------------------------------------------------------
 
-def responses(v: Views, provider: str):
-    """Each group of five documents as one landed response in a provider's own layout."""
-    lay = payloads.LAYOUTS[provider]
-    text, title = F.col("text"), F.concat(F.lit("T"), F.col("doc_id").cast("string"))
-    link = F.when(F.col("doc_id") % 10 != 9, F.concat(F.lit("https://www.h"), (F.col("doc_id") % 7).cast("string"), F.lit(".example/2024/05/"), F.col("doc_id").cast("string")))
-    day = F.when(F.col("doc_id") % 3 == 0, F.lit("2025-06-07"))
-    values = {
-        "title": title, "url": link, "link": link, "description": F.col("source"), "snippet": F.col("source"), "content": F.col("source"),
-        "page_age": day, "publishedDate": day, "publish_date": day, "date": day, "last_modified_date": day,
-        "text": text, "markdown": text, "raw_content": text, "extra_snippets": F.array(text), "excerpts": F.array(F.col("source"), text),
-        "metadata": F.create_map(F.lit("Date"), day),
-    }
-    if provider == "perplexity":
-        values["snippet"] = text
-    names = [f.split(":")[0].strip() for f in lay.fields.split(", ") if ":" in f]
-    item = F.to_json(F.struct(*[values[n].alias(n) for n in names if n in values]))
-    per = v.documents.groupBy(F.floor(F.col("doc_id") / 5).alias("g")).agg(
-        F.array_sort(F.collect_list(F.struct("doc_id", item.alias("i")))).alias("items")
-    )
-    head, tail = "", ""
-    for name in lay.path.split("."):
-        head, tail = head + f'{{"{name}":', "}" + tail
-    body = F.concat(F.lit(head + "["), F.array_join(F.col("items.i"), ","), F.lit("]" + tail))
-    return per.select(
-        F.concat(F.lit("q"), F.col("g").cast("string")).alias("query_id"), F.col("g").cast("bigint").alias("seq"),
-        body.alias("body"), F.lit(4).alias("num_sources"), F.lit("clean").alias("extraction"),
-    )
+#: Names that the results of each made response carry, as columns of documents below.
+_FIELDS = {
+    "brave": ["title", "url", "description", "page_age", "extra_snippets"], "exa": ["title", "url", "publishedDate", "text"],
+    "firecrawl": ["title", "url", "description", "markdown", "metadata"], "parallel": ["title", "url", "publish_date", "excerpts"],
+    "perplexity": ["title", "url", "snippet", "date"], "serper": ["title", "link", "snippet", "date"],
+    "tavily": ["title", "url", "content", "raw_content"], "bright_data": ["title", "link", "description", "last_modified_date"],
+}
+
+
+def _link(d) -> Column:
+    k = d["doc_id"]
+    return F.concat(F.lit("https://www.h"), (k % 7).cast("string"), F.lit(".example/2024/05/"), k.cast("string"))
+
+
+def responses(v: Views, *names: tuple[str, str]):
+    """Each group of five documents as one landed response of each (provider, provider whose layout it has), in one pass."""
+    def value(name: str, d, like: str) -> Column:
+        if name in ("url", "link"):
+            return F.when(d["doc_id"] % 10 != 9, _link(d))
+        if name in ("page_age", "publishedDate", "publish_date", "date", "last_modified_date", "metadata"):
+            day = F.when(d["doc_id"] % 3 == 0, F.lit("2025-06-07"))
+            return F.create_map(F.lit("Date"), day) if name == "metadata" else day
+        if name == "title":
+            return F.concat(F.lit("T"), d["doc_id"].cast("string"))
+        if name == "extra_snippets":
+            return F.array(d["text"])
+        if name == "excerpts":
+            return F.array(d["source"], d["text"])
+        whole = name in ("text", "markdown", "raw_content") or (name == "snippet" and like == "perplexity")
+        return d["text"] if whole else d["source"]
+
+    per = v.documents.groupBy(F.floor(F.col("doc_id") / 5).alias("g")).agg(F.array_sort(F.collect_list(F.struct("doc_id", "text", "source"))).alias("d"))
+    paths, made = {row[0]: row[1] for row in payloads.LAYOUTS}, []
+    for provider, like in names:
+        head, tail = "", ""
+        for name in paths[like].split("."):
+            head, tail = head + f'{{"{name}":', "}" + tail
+        items = F.to_json(F.transform("d", lambda d: F.struct(*[value(n, d, like).alias(n) for n in _FIELDS[like]])))
+        made.append(F.struct(F.lit(provider).alias("provider"), F.concat(F.lit(head), items, F.lit(tail)).alias("body")))
+    return per.select("g", F.inline(F.array(*made))).select(
+        "provider", F.concat(F.lit("q"), F.col("g").cast("string")).alias("query_id"), F.col("g").cast("bigint").alias("seq"), "body",
+        F.lit(4).alias("num_sources"), F.lit("clean").alias("extraction"))
+
+
+def fetched_contents(v: Views):
+    """Pages fetched apart: of every other document an old text, then its own."""
+    k = F.col("doc_id")
+    versions = F.array(F.struct((2 * k).alias("seq"), F.lit("an older text, longer than the last: zzz").alias("content")), F.struct((2 * k + 1).alias("seq"), F.col("text").alias("content")))
+    return v.documents.where(k % 2 == 0).select(_link({"doc_id": k}).alias("url"), F.inline(versions))
 
 
 _SLICED = {"firecrawl", "bright_data"}
@@ -255,6 +277,8 @@ def _payload_sql(provider: str) -> str:
         clean = f"case when length({trimmed}) > 1600 then substring({trimmed}, 1, 1600) || '…' else {trimmed} end"
         if provider == "perplexity":
             clean = f"case when length(text) > 40 then {clean} end"
+    if provider == "bright_data":
+        clean = "case when doc_id % 2 = 0 then text end"
     own = "source" if provider in ("brave", "firecrawl", "serper", "tavily", "bright_data") else (
         "coalesce(nullif(substring(content, 1, 300), ''), text)" if provider == "perplexity" else "coalesce(substring(content, 1, 300), '')"
     )
@@ -272,14 +296,11 @@ select '{provider}' as provider, 'q' || cast(cast(floor(doc_id / 5) as bigint) a
 from (select *, {pos} as k, {clean} as content from documents where doc_id % 10 <> 9) where {keep}"""
 
 
-@query("s13_payload_sources", " union all ".join(_payload_sql(p) for p in payloads.LAYOUTS))
+@query("s13_payload_sources", " union all ".join(_payload_sql(row[0]) for row in payloads.LAYOUTS))
 def s13(v):
-    now = F.lit(NOW).cast("timestamp")
-    out = None
-    for p in payloads.LAYOUTS:
-        part = payloads.normalize(responses(v, p), p, now).drop("seq")
-        out = part if out is None else out.unionByName(part)
-    return out
+    names = [row[0] for row in payloads.LAYOUTS]
+    rows = responses(v, *zip(names, names))
+    return payloads.normalize(rows, payloads.layouts(v.spark), F.lit(NOW).cast("timestamp"), fetched_contents(v)).drop("seq")
 
 
 @query("x02_new_layout", """
@@ -287,8 +308,8 @@ select 'q' || cast(cast(floor(doc_id / 5) as bigint) as varchar) as query_id, ro
  'T' || cast(doc_id as varchar) as title, source as snippet from documents where doc_id % 10 <> 9
 qualify row_number() over (partition by floor(doc_id / 5) order by doc_id) <= 4""")
 def x02(v):
-    mine = payloads.Layout("organic", "title: STRING, link: STRING, snippet: STRING", url="link", snippet="snippet")
-    got = payloads.normalize(responses(v, "serper"), "newcomer", F.lit(NOW).cast("timestamp"), layout=mine)
+    mine = payloads.layouts(v.spark, ("newcomer", "organic", "link", "snippet", [], "none", None, False, None, None, False))
+    got = payloads.normalize(responses(v, ("newcomer", "serper")), mine, F.lit(NOW).cast("timestamp"))
     return got.select("query_id", "pos", "title", "snippet")
 
 
@@ -315,10 +336,10 @@ def j10(v):
     web = F.array(F.struct(title.alias("title"), F.lit("https://a.example/x").alias("url")))
     body = F.to_json(F.struct(F.struct(web.alias("web"), news.alias("news")).alias("data")))
     rows = v.documents.select(
-        F.concat(F.lit("q"), k.cast("string")).alias("query_id"), k.alias("seq"), body.alias("body"),
+        F.lit("firecrawl").alias("provider"), F.concat(F.lit("q"), k.cast("string")).alias("query_id"), k.alias("seq"), body.alias("body"),
         F.lit(8).alias("num_sources"), F.lit("clean").alias("extraction"),
     )
-    return payloads.normalize(rows, "firecrawl", F.lit(NOW).cast("timestamp")).select("query_id", "title", "published")
+    return payloads.normalize(rows, payloads.layouts(v.spark), F.lit(NOW).cast("timestamp")).select("query_id", "title", "published")
 
 
 # --- result pages -----------------------------------------------------------

@@ -1,177 +1,132 @@
 """Raw provider responses to sources: one job, one layout row per provider.
 
-A new provider is a new ``Layout``; the job does not change.
+A layout is a row of a table: where a provider keeps its results, how their
+fields map, and which rules apply. Bodies are parsed once, as VARIANT, and read
+at the paths of the layout that they are joined with, so a new provider is a new
+row and responses of all providers are read in one pass.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import dates as D
 from ..functions.text import clean_markdown, clip, title_key
 from ..functions.urls import host
 
+#: ``path``, ``metadata`` and ``news`` are paths in a response (the second in a result), the other fields names in a result.
+#: ``dates``: native date fields in order. ``content``: a rule of ``_text``. ``slice_first``: cut to the wanted number before
+#: results without a URL go. ``must_return``: a response without results is the provider failing.
+LAYOUT = ("provider string, path string, url string, snippet string, dates array<string>, content string, text string, "
+          "slice_first boolean, metadata string, news string, must_return boolean")
 
-@dataclass(frozen=True)
-class Layout:
-    """Where a provider keeps its results and how their fields map.
+# Response layouts of the providers.
+LAYOUTS = [
+    ("brave", "web.results", "url", "description", ["page_age", "age"], "excerpts", "extra_snippets", False, None, None, False),
+    ("exa", "results", "url", None, ["publishedDate"], "markdown", "text", False, None, None, False),
+    ("firecrawl", "data.web", "url", "description", [], "markdown", "markdown", True, "metadata", "data.news", False),
+    ("parallel", "results", "url", None, ["publish_date"], "joined", "excerpts", False, None, None, False),
+    ("perplexity", "results", "url", None, ["date", "last_updated"], "long_text", "snippet", False, None, None, False),
+    ("serper", "organic", "link", "snippet", ["date"], "none", None, False, None, None, True),
+    ("tavily", "results", "url", "content", [], "markdown", "raw_content", False, None, None, False),
+    ("bright_data", "organic", "link", "description", ["last_modified_date"], "fetched", None, True, None, None, False),
+]
+MIN_CONTENT = 40
+SNIPPET_CHARS = 300
 
-    ``dates`` lists native date fields in order; ``ladder`` the rungs after
-    them. ``content`` names a rule below. ``slice_first`` cuts to the wanted
-    number before dropping entries without a URL.
-    """
 
-    path: str
-    fields: str
-    url: str = "url"
-    snippet: str = ""
-    dates: tuple[str, ...] = ()
-    content: str = "none"
-    text: str = ""
-    slice_first: bool = False
-    metadata_dates: bool = False
-    news_dates: bool = False
-    must_return: bool = False
-    beside: str = ""
+def layouts(spark: SparkSession, *more: tuple) -> DataFrame:
+    """The layout table, with rows of further providers."""
+    return spark.createDataFrame([*LAYOUTS, *more], LAYOUT)
 
 
-# Response layouts of the providers.
-LAYOUTS = {
-    "brave": Layout("web.results", "title: STRING, url: STRING, description: STRING, page_age: STRING, age: STRING, extra_snippets: ARRAY<STRING>",
-                    snippet="description", dates=("page_age", "age"), content="excerpts", text="extra_snippets"),
-    "exa": Layout("results", "title: STRING, url: STRING, publishedDate: STRING, text: STRING",
-                  dates=("publishedDate",), content="markdown", text="text"),
-    "firecrawl": Layout("data.web", "title: STRING, url: STRING, description: STRING, markdown: STRING, metadata: MAP<STRING, STRING>",
-                        snippet="description", content="markdown", text="markdown", slice_first=True,
-                        metadata_dates=True, news_dates=True, beside="news: ARRAY<STRUCT<title: STRING, url: STRING, date: STRING>>"),
-    "parallel": Layout("results", "title: STRING, url: STRING, publish_date: STRING, excerpts: ARRAY<STRING>",
-                       dates=("publish_date",), content="joined", text="excerpts"),
-    "perplexity": Layout("results", "title: STRING, url: STRING, snippet: STRING, date: STRING, last_updated: STRING",
-                         dates=("date", "last_updated"), content="long_text", text="snippet"),
-    "serper": Layout("organic", "title: STRING, link: STRING, snippet: STRING, date: STRING",
-                     url="link", snippet="snippet", dates=("date",), must_return=True),
-    "tavily": Layout("results", "title: STRING, url: STRING, content: STRING, raw_content: STRING",
-                     snippet="content", content="markdown", text="raw_content"),
-    "bright_data": Layout("organic", "title: STRING, link: STRING, description: STRING, last_modified_date: STRING",
-                          url="link", snippet="description", dates=("last_modified_date",), content="fetched", slice_first=True),
-}
-MIN_CONTENT = 40
-SNIPPET_CHARS = 300
+def at(v: Column, path: Column, kind: str) -> Column:
+    """Value at a path of names with dots between; null where it is absent or of another kind."""
+    return F.try_variant_get(v, F.concat(F.lit("$."), path), kind)
+
+
+def _results(v: Column) -> Column:
+    return F.coalesce(at(v, F.col("path"), "array<variant>"), F.expr("cast(array() as array<variant>)"))
+
+
+def _has_url(r: Column) -> Column:
+    return F.coalesce(at(r, F.col("url_field"), "string"), F.lit("")) != ""
+
+
+def _text(given: Column, text: Column, parts: Column) -> Column:
+    """What the layout's rule takes as the text of a result, before it is cleaned; null if there is none."""
+    rule, some = F.col("rule"), F.coalesce(F.size(parts), F.lit(0)) > 0
+    excerpts = F.filter(F.concat(F.array(given), parts), lambda p: F.coalesce(p, F.lit("")) != "")
+    return (
+        F.when(rule == "markdown", F.nullif(text, F.lit("")))
+        .when((rule == "excerpts") & some, F.array_join(excerpts, "\n\n"))
+        .when((rule == "joined") & some, F.array_join(parts, "\n\n"))
+        .when((rule == "long_text") & (F.length(text) > MIN_CONTENT), text)
+    )
+
+
+def last_contents(contents: DataFrame) -> DataFrame:
+    """(page, fetched): the text that was fetched last for each URL, of rows (url, seq, content)."""
+    last = contents.groupBy("url").agg(F.max("seq").alias("seq"))
+    return contents.join(last, ["url", "seq"]).select(F.col("url").alias("page"), F.col("content").alias("fetched"))
+
 
+def normalize(responses: DataFrame, layout: DataFrame, now: Column, contents: DataFrame | None = None) -> DataFrame:
+    """Landed responses of any providers to one row per source, in result order.
 
-def _results_type(layout: Layout) -> str:
-    return f"ARRAY<STRUCT<{layout.fields}>>"
-
-
-def _schema(layout: Layout) -> str:
-    *parents, leaf = layout.path.split(".")
-    body = f"{leaf}: {_results_type(layout)}" + (f", {layout.beside}" if layout.beside else "")
-    for p in reversed(parents):
-        body = f"{p}: STRUCT<{body}>"
-    return f"STRUCT<{body}>"
-
-
-def _content(layout: Layout, r: Column, snippet: Column, clean: Column, fetched: Column | None) -> Column:
-    """Extracted text of one result under the layout's rule, or null."""
-    none = F.lit(None).cast("string")
-    if layout.content == "markdown":
-        t = r[layout.text]
-        return F.when(F.coalesce(t, F.lit("")) != "", clean_markdown(t))
-    if layout.content == "excerpts":
-        parts = F.concat(F.array(snippet), r[layout.text])
-        body = F.array_join(F.filter(parts, lambda p: F.coalesce(p, F.lit("")) != ""), "\n\n")
-        return F.when(F.coalesce(F.size(r[layout.text]), F.lit(0)) > 0, clean_markdown(body))
-    if layout.content == "joined":
-        return F.when(clean & (F.coalesce(F.size(r[layout.text]), F.lit(0)) > 0), clean_markdown(F.array_join(r[layout.text], "\n\n")))
-    if layout.content == "long_text":
-        return F.when(clean & (F.length(r[layout.text]) > MIN_CONTENT), clean_markdown(r[layout.text]))
-    if layout.content == "fetched" and fetched is not None:
-        return fetched
-    return none
-
-
-def _snippet(layout: Layout, r: Column, content: Column) -> Column:
-    if layout.snippet:
-        return F.coalesce(r[layout.snippet], F.lit(""))
-    if layout.content == "joined":
-        # Excerpts cannot be turned off, so a raw call keeps them as its snippet.
-        raw = F.when(F.coalesce(F.size(r[layout.text]), F.lit(0)) > 0, clean_markdown(F.array_join(r[layout.text], "\n\n")))
-    elif layout.content == "long_text":
-        raw = r[layout.text]
-    else:
-        raw = F.lit(None).cast("string")
-    return F.coalesce(F.when(F.coalesce(content, F.lit("")) != "", clip(content, SNIPPET_CHARS)), raw, F.lit(""))
-
-
-def normalize(
-    responses: DataFrame, provider: str, now: Column, layout: Layout | None = None, contents: DataFrame | None = None
-) -> DataFrame:
-    """Landed responses of one provider to one row per source, in result order.
-
-    ``responses`` carries query_id, seq, body, num_sources and extraction.
-    ``contents`` (url, content) supplies page texts fetched separately. News
-    dates are matched by title inside the same response, the last one winning.
+    ``responses`` carries provider, query_id, seq, body, num_sources and
+    extraction. ``contents`` (url, seq, content) supplies page texts fetched
+    separately for layouts whose rule says so. News dates are matched by title
+    inside the same response, the last one winning.
     """
-    lay = layout or LAYOUTS[provider]
-    parsed = responses.withColumn("_p", F.from_json("body", _schema(lay)))
-    results = F.coalesce(F.col(f"_p.{lay.path}"), F.from_json(F.lit("[]"), _results_type(lay)))
-
-    def has_url(r: Column) -> Column:
-        return F.coalesce(r[lay.url], F.lit("")) != ""
-
-    picked = F.slice(results, F.lit(1), F.col("num_sources")) if lay.slice_first else results
-    picked = F.filter(picked, has_url)
-    if not lay.slice_first:
-        picked = F.slice(picked, F.lit(1), F.col("num_sources"))
-    keep = ["query_id", "seq", "num_sources", "extraction"]
-    if lay.news_dates:
-        none = F.array().cast("array<struct<title:string,url:string,date:string>>")
-        dated = F.transform(
-            F.coalesce(F.col("_p.data.news"), none),
-            lambda n: F.struct(title_key(n["title"]).alias("k"), D.parse_published(n["date"], now).alias("d")),
-        )
-        parsed = parsed.withColumn("_news", dated)
-        keep.append("_news")
-    rows = parsed.select(*keep, F.posexplode(picked).alias("pos", "r"))
-    url = F.col(f"r.{lay.url}")
-    rows = rows.withColumn("url", url)
-    fetched = None
-    if lay.content == "fetched" and contents is not None:
-        got = contents.groupBy("url").agg(F.max("content").alias("_fetched"))
-        rows = rows.join(got, "url", "left")
-        fetched = F.when(F.col("extraction") == "clean", F.col("_fetched"))
+    rows = responses.join(layout.withColumnsRenamed({"url": "url_field", "snippet": "snippet_field", "content": "rule", "text": "text_field"}), "provider")
+    rows = rows.withColumn("_v", F.try_parse_json("body"))
+    results, n = _results(F.col("_v")), F.col("num_sources")
+    picked = F.when(F.col("slice_first"), F.filter(F.slice(results, F.lit(1), n), _has_url)).otherwise(F.slice(F.filter(results, _has_url), F.lit(1), n))
+    dated = F.transform(at(F.col("_v"), F.col("news"), "array<variant>"), lambda x: F.struct(
+        title_key(at(x, F.lit("title"), "string")).alias("k"), D.parse_published(at(x, F.lit("date"), "string"), now).alias("d")))
+    rows = rows.withColumn("_news", dated).withColumn("_picked", picked).drop("_v", "body")
+    keep = ["provider", "query_id", "seq", "extraction", "rule", "snippet_field", "text_field", "url_field", "dates", "metadata", "_news"]
+    rows = rows.select(*keep, F.posexplode("_picked").alias("pos", "r"))
     r = F.col("r")
+    rows = rows.withColumns({
+        "url": at(r, F.col("url_field"), "string"), "_title": at(r, F.lit("title"), "string"),
+        "_given": F.coalesce(at(r, F.col("snippet_field"), "string"), F.lit("")),
+        "_text": at(r, F.col("text_field"), "string"), "_parts": at(r, F.col("text_field"), "array<string>"),
+    })
     clean = F.col("extraction") == "clean"
-    given = F.coalesce(r[lay.snippet], F.lit("")) if lay.snippet else F.lit("")
-    rows = rows.withColumn("content", _content(lay, r, given, clean, fetched))
-    rows = rows.withColumn("snippet", _snippet(lay, r, F.col("content")))
-    rungs = []
-    if lay.metadata_dates:
-        rungs.append(("metadata", D.date_from_metadata(r["metadata"], now)))
-    if lay.news_dates:
-        key = title_key(r["title"])
-        hits = F.filter("_news", lambda n: (n["k"] == key) & (key != "") & n["d"].isNotNull())
-        rungs.append(("news", F.try_element_at(hits, F.lit(-1))["d"]))
-    rungs += [(f, D.parse_published(r[f], now)) for f in lay.dates]
-    rungs.append(("snippet", D.date_from_snippet(F.col("snippet"), now)))
-    if lay.content != "none":
-        rungs.append(("content", D.date_from_content(F.col("content"), now)))
-    rungs.append(("url", D.date_from_url(F.col("url"), now)))
-    return rows.withColumn("_dated", D.date_ladder(*rungs)).select(
-        "query_id", F.lit(provider).alias("provider"), "seq", "pos",
-        F.coalesce(r["title"], F.col("url")).alias("title"), "url", F.col("_dated.published").cast("string").alias("published"),
+    rows = rows.withColumn("_clean", clean_markdown(_text(F.col("_given"), F.col("_text"), F.col("_parts"))))
+    fetched = F.lit(None).cast("string")
+    if contents is not None:
+        rows = rows.join(last_contents(contents), (F.col("rule") == "fetched") & (F.col("url") == F.col("page")), "left")
+        fetched = F.when(clean, F.col("fetched"))
+    # Excerpts and long texts come whether or not they were asked for, so a raw call has them as its snippet only.
+    raw_only = F.col("rule").isin("joined", "long_text") & ~clean
+    rows = rows.withColumn("content", F.when(F.col("rule") == "fetched", fetched).when(~raw_only, F.col("_clean")))
+    unasked = F.when(F.col("rule") == "joined", F.col("_clean")).when(F.col("rule") == "long_text", F.col("_text"))
+    own = F.coalesce(F.when(F.coalesce("content", F.lit("")) != "", clip(F.col("content"), SNIPPET_CHARS)), unasked, F.lit(""))
+    rows = rows.withColumn("snippet", F.when(F.col("snippet_field").isNotNull(), F.col("_given")).otherwise(own))
+
+    def rung(name, date: Column) -> Column:
+        return F.struct(date.alias("published"), (F.lit(name) if isinstance(name, str) else name).alias("dated_by"))
+
+    key = title_key(F.col("_title"))
+    hits = F.filter("_news", lambda x: (x["k"] == key) & (key != "") & x["d"].isNotNull())
+    native = F.transform("dates", lambda f: rung(f, D.parse_published(at(r, f, "string"), now)))
+    ladder = F.concat(
+        F.array(rung("metadata", D.date_from_metadata(at(r, F.col("metadata"), "map<string,string>"), now)), rung("news", F.try_element_at(hits, F.lit(-1))["d"])),
+        native,
+        F.array(rung("snippet", D.date_from_snippet(F.col("snippet"), now)), rung("content", D.date_from_content(F.col("content"), now)),
+                rung("url", D.date_from_url(F.col("url"), now)), rung("none", F.lit(None).cast("date"))))
+    first = F.try_element_at(F.filter(ladder, lambda x: x["published"].isNotNull() | (x["dated_by"] == "none")), F.lit(1))
+    return rows.withColumn("_dated", first).select(
+        "query_id", "provider", "seq", "pos",
+        F.coalesce("_title", "url").alias("title"), "url", F.col("_dated.published").cast("string").alias("published"),
         "_dated.dated_by", host(F.col("url")).alias("domain"), "snippet", "content",
     )
 
 
-def empty_responses(responses: DataFrame, provider: str) -> DataFrame:
+def empty_responses(responses: DataFrame, layout: DataFrame) -> DataFrame:
     """Responses that must hold results and do not: the provider failing behind a 200."""
-    lay = LAYOUTS[provider]
-    parsed = F.from_json("body", _schema(lay))
-    results = parsed
-    for name in lay.path.split("."):
-        results = results[name]
-    n = F.coalesce(F.size(F.filter(results, lambda r: F.coalesce(r[lay.url], F.lit("")) != "")), F.lit(0))
-    return responses.where(F.lit(lay.must_return) & (n == 0)).select("query_id", "seq", F.lit(provider).alias("provider"))
+    rows = responses.join(layout.where("must_return").select("provider", "path", F.col("url").alias("url_field")), "provider")
+    return rows.where(F.size(F.filter(_results(F.try_parse_json("body")), _has_url)) == 0).select("query_id", "seq", "provider")
