@@ -210,3 +210,21 @@ def test_queries_match_their_sql(spark, name):
     rel = con.sql(queries.ORACLES[name])
     at = [rel.columns.index(c) for c in df.columns]
     assert Counter(map(tuple, df.collect())) == Counter(tuple(r[i] for i in at) for r in rel.fetchall())
+
+
+def test_tags_go_in_one_pass():
+    """The same as a plain expression on mixed pages, and quick on pages of openings without an end."""
+    import random
+    import re
+    import time
+
+    plain = re.compile(r"<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>", re.S | re.I)
+    draw = random.Random(2)
+    parts = ["<script", "<style", ">", "</script>", "</STYLE >", "<!--", "-->", "<a", "<", "</script", "x", "\n", " ", "<b>", "--", "!", "style", "<scripty>"]
+    for _ in range(20_000):
+        page = "".join(draw.choice(parts) for _ in range(draw.randint(0, 14)))
+        assert grams.untagged(page) == plain.sub(" ", page)
+    for page in ("<script>" * 1_250_000, "<a " * 3_300_000, "<" * 10**7, "<!-- x " * 1_500_000, "<script " * 1_250_000 + ">", "</script>" + "<style>" * 1_400_000):
+        began = time.time()
+        grams.untagged(page)
+        assert time.time() - began < 5
