@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, Window, functions as F
 
 from ..functions.labels import TYPE_ORDER
 from ..operators import pages as pages_ops
@@ -108,18 +108,40 @@ def s01b(v):
 
 def set_entries(v: Views):
     """One set per customer; its entries are the customer's orders as JSON text."""
-    from pyspark.sql import Window
+    k = F.col("o_orderkey")
+    pos = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")) - 1
+    raw = F.when(k % 13 == 0, F.concat(set_entry(), F.lit("}"))).when(k % 17 == 0, F.lit("[1]")).otherwise(set_entry())
+    return v.orders.select(F.col("o_custkey").alias("file"), pos.alias("pos"), raw.alias("raw"))
 
+
+def set_entry() -> Column:
+    """An order as the JSON text of a question."""
     k = F.col("o_orderkey")
     kind = F.element_at(F.array(*[F.lit(t) for t in [*TYPE_ORDER, "poetry"]]), (k % 7 + 1).cast("int"))
     tag = F.when(k % 5 == 0, F.lit("sharp")).when(k % 5 == 1, F.lit("blunt"))
-    entry = F.to_json(F.struct(
+    return F.to_json(F.struct(
         F.when(k % 3 == 0, F.concat(F.lit(" id"), (k % 4).cast("string"))).alias("id"), kind.alias("type"),
         F.when(k % 11 == 0, F.lit("  ")).otherwise(F.concat(F.lit("ask "), k.cast("string"))).alias("query"), tag.alias("sharpness"),
     ))
-    raw = F.when(k % 13 == 0, F.concat(entry, F.lit("}"))).when(k % 17 == 0, F.lit("[1]")).otherwise(entry)
-    pos = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")) - 1
-    return v.orders.select(F.col("o_custkey").alias("file"), pos.alias("pos"), raw.alias("raw"))
+
+
+def set_files(v: Views):
+    """Entries of question-set files with their set: eight files in the shared folder, four of them lines with comments and blanks, four arrays."""
+    def make():
+        path, k, of = f"{shared_dir(v.spark)}/sets/{uuid.uuid4().hex}", F.col("o_orderkey"), F.col("set")
+        inside = Window.partitionBy("set").orderBy("o_orderkey")
+        rows = v.orders.withColumn("set", (k % 8).cast("int")).withColumn("nth", F.row_number().over(inside)).withColumn(
+            "last", F.lead("o_orderkey").over(inside).isNull())
+        line = F.when(k % 13 == 0, F.concat(set_entry(), F.lit("}"))).when(k % 17 == 0, F.lit("[1]")).otherwise(set_entry())
+        item = F.when(k % 13 == 0, F.lit('"a, [word]"')).when(k % 17 == 0, F.lit("[1]")).otherwise(set_entry())
+        item = F.concat(F.when(F.col("nth") == 1, "\n [").otherwise(""), item, F.when(F.col("last"), "]").otherwise(","))
+        noise = F.when(k % 5 == 0, "// left out\n\n  ").otherwise("")
+        text = F.when(of % 2 == 1, item).otherwise(F.concat(noise, line))
+        out = rows.select("set", "o_orderkey", text.alias("value")).repartition("set").sortWithinPartitions("set", "o_orderkey")
+        out.select("set", "value").write.partitionBy("set").text(path)
+        return question_sets.read_set(v.spark, path).withColumn("set", F.regexp_extract("file", r"set=(\d+)", 1).cast("int")).drop("file")
+
+    return v.once("set-files", "questions", make)
 
 
 step("set_rows", """
@@ -147,6 +169,29 @@ def s08b(v):
     return bad.select("file", "pos", "reason")
 
 
+step("set_file_rows", """
+select *, case when bad_json or not_object then 'q-' || case when pos < 9 then '0' else '' end || cast(pos + 1 as varchar)
+  when k % 3 = 0 then 'id' || cast(k % 4 as varchar) else 'q-' || case when pos < 9 then '0' else '' end || cast(pos + 1 as varchar) end as id from
+ (select o_orderkey % 8 as "set", o_orderkey as k, row_number() over (partition by o_orderkey % 8 order by o_orderkey) - 1 as pos,
+  o_orderkey % 13 = 0 and o_orderkey % 2 = 0 as bad_json, (o_orderkey % 13 <> 0 or o_orderkey % 2 = 1) and (o_orderkey % 13 = 0 or o_orderkey % 17 = 0) as not_object from orders)""")
+step("set_file_checked", """
+select *, case when bad_json then 'is not valid JSON' when not_object then 'is not an object' when k % 11 = 0 then 'has no `query`'
+ when k % 7 = 6 then 'has type "poetry"' when pos > min(pos) over (partition by "set", id) then 'reuses the id "' || id || '"'
+ when k % 5 = 1 then 'has sharpness "blunt"' end as why from set_file_rows""")
+
+
+@query("s08_question_files", """
+select "set", pos, id, ['breaking_news', 'how_to', 'product_lookup', 'local_geo', 'recent_release', 'numeric_live'][k % 7 + 1] as type,
+ 'ask ' || cast(k as varchar) as query, case when k % 5 = 0 then 'sharp' end as sharpness, null::varchar as reason from set_file_checked where why is null
+union all select "set", pos, null, null, null, null, 'query ' || cast(pos + 1 as varchar) || ' ' || why from set_file_checked where why is not null""")
+def s08c(v):
+    """The same from files as users have them."""
+    good, bad = question_sets.parse_questions(set_files(v), ["set"])
+    cols = ["set", "pos", "id", "type", "query", "sharpness", "reason"]
+    none = F.lit(None).cast("string")
+    return good.withColumn("reason", none).select(*cols).unionByName(bad.withColumns({c: none for c in cols[2:6]}).select(*cols))
+
+
 def anchor_entries(v: Views):
     k = F.col("doc_id")
     entry = F.to_json(F.struct(
@@ -388,6 +433,16 @@ def reuse_requests(v: Views):
     return reuse.with_key(asks)
 
 
+def stored_reuse(v: Views):
+    """The entries as stored, each written when it was fetched."""
+    def make():
+        path = f"{shared_dir(v.spark)}/reuse/{uuid.uuid4().hex}"
+        reuse.write_entries(v.reuse_entries, path, F.col("fetched_at"))
+        return reuse.stored_entries(v.spark, path)
+
+    return v.once("reuse", "reuse_entries", make)
+
+
 @query("s16_reuse_lookup", f"""
 select c.provider, c.query, c.key, l.key is not null as from_cache, cast(fetched_at as varchar) as fetched_at from
  (select 'p' || cast(c_custkey % 4 as varchar) as provider, 'ask ' || cast(c_custkey as varchar) as query,
@@ -395,7 +450,7 @@ select c.provider, c.query, c.key, l.key is not null as from_cache, cast(fetched
 left join (select * from reuse_last where {_AGE}) l on c.key = l.key""")
 def s16(v):
     now = F.lit(EVENTS_NOW).cast("timestamp")
-    out = reuse.lookup(reuse_requests(v), reuse.with_key(v.reuse_entries), now)
+    out = reuse.lookup(reuse_requests(v), stored_reuse(v), now)
     return out.select("provider", "query", "key", "from_cache", "fetched_at")
 
 

@@ -7,6 +7,7 @@ the tables: a hundred questions for every 10,000 events or 15,000 orders.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -140,14 +141,18 @@ class Views:
     def view(self, name: str) -> DataFrame:
         return self.sql(VIEWS[name])
 
-    def landed(self, name: str) -> DataFrame:
-        """A log from its bucketed table, which is written once for an application and the files that it comes from."""
-        bases = tuple(landing.state_of(self.spark, f"{self.sf_dir}/{t}.parquet") for t in BASE_TABLES if "{" + t + "}" in VIEWS[name])
+    def once(self, name: str, view: str, make: Callable[[], DataFrame]) -> DataFrame:
+        """What ``make`` writes and reads back, made once for an application, its shuffle partitions and the files that the view comes from."""
+        bases = tuple(landing.state_of(self.spark, f"{self.sf_dir}/{t}.parquet") for t in BASE_TABLES if "{" + t + "}" in VIEWS[view])
         key = (self.spark.sparkContext.applicationId, name, landing.buckets_of(self.spark), bases)
         if key not in _LANDED:
-            _LANDED[key] = landing.land(self.view(name), name, landing.KEYS[name], LANDED_ORDER.get(name, ()))
+            _LANDED[key] = make()
         return _LANDED[key]
 
+    def landed(self, name: str) -> DataFrame:
+        """A log from its bucketed table."""
+        return self.once(name, name, lambda: landing.land(self.view(name), name, landing.KEYS[name], LANDED_ORDER.get(name, ())))
+
     def __getattr__(self, name: str) -> DataFrame:
         if name in VIEWS:
             return self.view(name)

@@ -6,7 +6,11 @@ rejects table with the reason; nothing is dropped silently.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+import re
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions.labels import TYPE_ORDER
 from ..functions.urls import trim_ws
@@ -19,14 +23,98 @@ ANCHOR_KINDS = ["anchor", "probe"]
 
 
 def read_set(spark: SparkSession, path: str) -> DataFrame:
-    """Entries of a set file as (file, pos, raw): array elements, or non-comment lines."""
-    text = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), trim_ws(F.col("value")).alias("t"))
-    as_array = F.from_json("t", "array<string>")
-    line_list = F.filter(
-        F.transform(F.split("t", "\n"), lambda x: trim_ws(x)), lambda x: (x != "") & ~x.startswith("//")
-    )
-    items = F.when(F.col("t").startswith("["), as_array).otherwise(line_list)
-    return text.select("file", F.posexplode_outer(items).alias("pos", "raw"))
+    """Entries of set files as (file, pos, raw): array elements, or lines that are neither blank nor comments.
+
+    Files are read by lines in splits. What a file is shows in the first
+    character that is not blank. Lines are numbered by (file, block, line); the
+    elements of an array are cut from its lines in order, one at a time, by the
+    task that has the file. What is left of an array that does not end well is
+    an entry of its own, so it is rejected and not lost.
+    """
+    lines = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"), "value")
+    lines = lines.where(trim_ws(F.col("value")) != "")
+    kinds = lines.groupBy("file").agg(F.min(F.struct("block", "id", F.substring(trim_ws(F.col("value")), 1, 1).alias("c"))).alias("first"))
+    lines = lines.join(kinds.select("file", (F.col("first.c") == "[").alias("array")), "file")
+    elements = lines.where("array").repartition("file").sortWithinPartitions("file", "block", "id").select("file", "value")
+    return _numbered(lines.where("not array")).unionByName(elements.mapInPandas(_elements, "file string, pos int, raw string"))
+
+
+def _numbered(lines: DataFrame) -> DataFrame:
+    """Lines that are no comments with their place in the file: numbered in their block, blocks set off by what comes before."""
+    kept = lines.withColumn("raw", trim_ws(F.col("value"))).where(~F.col("raw").startswith("//"))
+    sizes = kept.groupBy("file", "block").agg(F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("file", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("from"))
+    inside = F.row_number().over(Window.partitionBy("file", "block").orderBy("id")) - 1
+    return kept.withColumn("_i", inside).join(offsets, ["file", "block"]).select("file", (F.col("from") + F.col("_i")).cast("int").alias("pos"), "raw")
+
+
+class _Cutter:
+    """Cuts the elements out of a JSON array that arrives line by line; holds one element."""
+
+    MARK = re.compile(r'["\\\[\]{},]')
+
+    def __init__(self):
+        self.depth, self.quoted, self.over, self.held = 0, False, False, []
+
+    def feed(self, line: str) -> Iterator[str]:
+        start, skip = 0, -1
+        for m in self.MARK.finditer(line) if not self.over else ():
+            at, c = m.start(), m.group()
+            if at == skip:
+                continue
+            if self.quoted:
+                if c == "\\":
+                    skip = at + 1
+                elif c == '"':
+                    self.quoted = False
+            elif c == '"':
+                self.quoted = True
+            elif c in "[{":
+                self.depth += 1
+                if self.depth == 1:
+                    start = at + 1
+            elif c in "]}" or self.depth == 1:
+                self.depth -= c != ","
+                if c == "," or self.depth == 0:
+                    self.held.append(line[start:at])
+                    yield from self.done(c == ",")
+                    start = at + 1
+                if self.depth == 0:
+                    self.over = True
+                    break
+        self.held += [line[start:], "\n"]
+
+    def done(self, more: bool) -> Iterator[str]:
+        """The element held, if there is one; before a comma there must be."""
+        raw = "".join(self.held).strip()
+        self.held = []
+        if raw or more:
+            yield raw
+
+    def rest(self) -> Iterator[str]:
+        """What is left at the end of a file: nothing, an array that was not closed, or text after it; no valid JSON."""
+        if not self.over and self.depth:
+            yield "[" + "".join(self.held).strip()
+        else:
+            yield from ("]" + raw for raw in self.done(False))
+
+
+def _elements(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    file, cut, pos = None, _Cutter(), 0
+    for batch in batches:
+        out = []
+        for name, line in zip(batch["file"], batch["value"]):
+            if name != file:
+                out += [(file, pos + i, raw) for i, raw in enumerate(cut.rest())]
+                file, cut, pos = name, _Cutter(), 0
+            for raw in cut.feed(line):
+                out.append((file, pos, raw))
+                pos += 1
+        if out:
+            yield pd.DataFrame(out, columns=["file", "pos", "raw"])
+    yield pd.DataFrame([(file, pos + i, raw) for i, raw in enumerate(cut.rest())], columns=["file", "pos", "raw"])
 
 
 def _json(raw: Column) -> Column:

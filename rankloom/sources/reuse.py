@@ -1,8 +1,17 @@
-"""Reuse of earlier fetches: valid for 24 hours, never from the future."""
+"""Reuse of earlier fetches: valid for 24 hours, never from the future.
+
+Stored entries are partitioned by the day they were written. An entry is written
+once it is fetched, so what is valid now was written yesterday or today: a lookup
+reads those days only, and older ones are dropped whole. Of a key the last write
+counts, valid or not; one that lies in an older day is not valid, so reading two
+days gives what reading all would.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+import datetime
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 TTL_SECONDS = 24 * 60 * 60
 KEY_FIELDS = ["provider", "query", "freshness", "num_sources", "extraction", "seed"]
@@ -30,15 +39,36 @@ def entries_by_key(entries: DataFrame) -> DataFrame:
 
 
 def lookup(requests: DataFrame, entries: DataFrame, now: Column) -> DataFrame:
-    """Requests with the live entry of their key, if there is one."""
+    """Requests with the live entry of their key, if there is one. Entries with a ``day`` are read from yesterday's on."""
+    if "day" in entries.columns:
+        entries = entries.where(F.col("day") >= F.date_sub(F.to_date(now), 1)).drop("day", "written_at")
     live = entries_by_key(entries).where(_is_live(F.col("fetched_at"), now))
     payload = [c for c in live.columns if c not in (*KEY_FIELDS, "key", "seq")]
     hit = live.select("key", *payload)
     return requests.join(hit, "key", "left").withColumn("from_cache", F.col("fetched_at").isNotNull())
 
 
-def write_entries(fetched: DataFrame, path: str) -> None:
-    with_key(fetched).write.mode("append").parquet(path)
+def write_entries(fetched: DataFrame, path: str, written_at: Column | None = None) -> None:
+    """Add entries under the day they are written (now, unless the rows say)."""
+    at = F.current_timestamp() if written_at is None else written_at.cast("timestamp")
+    rows = with_key(fetched).withColumn("written_at", at).withColumn("day", F.to_date("written_at"))
+    rows.hint("rebalance", "day").write.mode("append").partitionBy("day").parquet(path)
+
+
+def stored_entries(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path)
+
+
+def expire(spark: SparkSession, path: str, today: datetime.date) -> int:
+    """Drop the days in which nothing is valid any more; how many went."""
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    files, gone = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), 0
+    for found in files.listStatus(where):
+        name = found.getPath().getName()
+        if name.startswith("day=") and name[4:] < (today - datetime.timedelta(days=1)).isoformat():
+            gone += bool(files.delete(found.getPath(), True))
+    return gone
 
 
 def entry_counts(entries: DataFrame, now: Column) -> DataFrame:

@@ -1,5 +1,6 @@
 """Log files, sets, pools, planning, reuse, streams."""
 
+import datetime
 import json
 import math
 import random
@@ -57,6 +58,34 @@ def test_question_sets_from_both_formats(spark, tmp_path, rows):
         assert rows(good, "id", "genre") == want and bad.count() == 0
 
 
+def test_set_files_are_read_by_lines(spark, tmp_path, rows):
+    """Entries keep their order over splits, whatever comments, blanks and line breaks lie between."""
+    lines = [json.dumps({"n": i, "t": "x" * (i % 50)}) for i in range(3000)]
+    a = write(tmp_path / "lines.jsonl", *[part for i, x in enumerate(lines) for part in (["// no", "  "] if i % 7 == 0 else []) + [f"  {x}  "]])
+    items = [{"t": 'a, [b] {"c\\'}, [1, [2]], "text, ]", 3, None, {}, *({"n": i, "t": ["y"] * (i % 9)} for i in range(500))]
+    b, c = write(tmp_path / "array.json", "", "  ", json.dumps(items, indent=2)), write(tmp_path / "one.json", json.dumps(items))
+    kept = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "9000")
+    try:
+        got = question_sets.read_set(spark, [a, b, c]).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", kept)
+    by = {}
+    for r in got:
+        by.setdefault(r.file.rsplit("/", 1)[1], {})[r.pos] = r.raw
+    assert [by["lines.jsonl"][i] for i in range(3000)] == lines and len(by["lines.jsonl"]) == 3000
+    for name in ("array.json", "one.json"):
+        assert [json.loads(by[name][i]) for i in range(len(items))] == items and len(by[name]) == len(items)
+
+
+@pytest.mark.parametrize("text,want", [
+    ("[]", []), ("", []), ("[1, 2", ["1", "[2"]), ('[{"a": "x', ['[{"a": "x']), ("[1,,2]", ["1", "", "2"]), ('[1] {"query": "late"}', ["1", ']{"query": "late"}']), ("// only", []),
+])
+def test_arrays_that_end_badly_are_not_lost(spark, tmp_path, text, want):
+    path = write(tmp_path / "s.json", text)
+    assert [r.raw for r in question_sets.read_set(spark, path).orderBy("pos").collect()] == want
+
+
 @pytest.mark.parametrize("entry,reason", [
     ("{oops", "is not valid JSON"), ("[1]", "is not an object"), (q(query="  "), "has no `query`"), (q(type="poem"), 'has type "poem"'),
     (q(sharpness="blunt"), 'has sharpness "blunt"'), (q(genre="food"), 'has genre "food"'), (q(genre=3), "has genre null"),
@@ -69,6 +98,25 @@ def test_question_rejects_name_the_entry(spark, entry, reason):
         question_sets.require_no_rejects(good, bad).collect()
 
 
+def test_reuse_reads_two_days_of_what_was_written(spark, tmp_path, rows):
+    now, path = F.lit("2024-01-03 12:00:00").cast("timestamp"), str(tmp_path / "reuse")
+    e = spark.createDataFrame([
+        (1, "old", "2024-01-01 10:00:00"), (2, "live", "2024-01-02 13:00:00"), (3, "edge", "2024-01-02 12:00:00"), (4, "late", "2024-01-02 11:59:59"),
+        (5, "live twice", "2024-01-02 14:00:00"), (6, "live twice", "2024-01-03 11:00:00"), (7, "from the future", "2024-01-03 13:00:00"),
+        (8, "rewritten", "2024-01-03 01:00:00"), (9, "rewritten", "2024-01-04 09:00:00"),
+    ], "seq long, query string, fetched_at string").select(F.lit("p").alias("provider"), "*", F.lit("all").alias("freshness"), F.lit(8).alias("num_sources"), F.lit("c").alias("extraction"), F.lit(0).alias("seed"))
+    reuse.write_entries(e.where("seq <= 4"), path, F.col("fetched_at"))
+    reuse.write_entries(e.where("seq > 4"), path, F.col("fetched_at"))
+    asks = reuse.with_key(e.drop("fetched_at", "seq").distinct())
+    got = reuse.lookup(asks, reuse.stored_entries(spark, path), now)
+    assert rows(got, "query", "fetched_at") == rows(reuse.lookup(asks, reuse.with_key(e), now), "query", "fetched_at")
+    assert rows(got.where("from_cache"), "query") == [("edge",), ("live twice",), ("live",)]
+    plan = got._jdf.queryExecution().toString()
+    assert "PartitionFilters: [isnotnull(day" in plan
+    assert reuse.expire(spark, path, datetime.date(2024, 1, 3)) == 1 and reuse.expire(spark, path, datetime.date(2024, 1, 3)) == 0
+    assert rows(reuse.lookup(asks, reuse.stored_entries(spark, path), now), "query", "fetched_at") == rows(got, "query", "fetched_at")
+
+
 def test_duplicate_ids_are_rejected(spark):
     entries = spark.createDataFrame([(0, q(id="a")), (1, q(id="a"))], "pos int, raw string")
     assert question_sets.parse_questions(entries)[1].first()["reason"] == 'query 2 reuses the id "a"'
