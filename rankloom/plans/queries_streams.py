@@ -91,4 +91,4 @@ def t07(v):
     area = _area(v, "t07")
     rows = fetch_stream(v).select(F.concat_ws("|", "query_id", "provider").alias("wire_id"), "seq", "error", "fetch_ms")
     streams.deliver_first(rows, f"{area}/check", f"{area}/out", order="seq").awaitTermination()
-    return v.spark.read.parquet(f"{area}/out").drop("batch")
+    return v.spark.read.schema(rows.schema).parquet(f"{area}/out")

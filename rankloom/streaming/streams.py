@@ -254,23 +254,45 @@ def compact(spark: SparkSession, view: str, to: str, keys, order=("seq",)) -> No
 
 # --- chunked results ---------------------------------------------------------------
 
+def _first_result() -> StatefulProcessor:
+    """Built here for the same reason as the tally above."""
+
+    class FirstResult(StatefulProcessor):
+        """Remembers that a key was delivered; of the rows of its first micro-batch the earliest goes out."""
+
+        def init(self, handle: StatefulProcessorHandle) -> None:
+            self.done = handle.getValueState("done", "done boolean")
+
+        def handleInputRows(self, key, rows, timerValues):  # noqa: N802, N803
+            best = None
+            known = self.done.exists()
+            for batch in rows:
+                if known:
+                    continue
+                at = batch["at"]
+                row = batch.loc[at.idxmin()] if at.notna().any() else batch.iloc[0]
+                if best is None or (pd.notna(row["at"]) and (pd.isna(best["at"]) or row["at"] < best["at"])):
+                    best = row
+            if best is not None:
+                self.done.update((True,))
+            yield pd.DataFrame({"payload": pd.Series([] if best is None else [best["payload"]], dtype="str")})
+
+        def close(self) -> None:
+            pass
+
+    return FirstResult()
+
+
 def deliver_first(results: DataFrame, checkpoint: str, out: str, key: str = "wire_id", order: str = "landed_at") -> StreamingQuery:
     """Each request's result once, ever, however many chunks repeat it and however late; the first one counts.
 
-    A micro-batch keeps its first row per key and drops keys that an earlier
-    batch delivered, by an anti-join with what lies in ``out``. A repeated
-    batch looks only at batches before its own and writes its own folder again.
+    Delivered keys are state, one flag each in the key's own place of the state
+    store, so a batch looks up its own keys and reads nothing that was delivered.
+    The file sink commits a batch's rows once.
     """
-    def step(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        w = Window.partitionBy(key).orderBy(order)
-        fresh = batch.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
-        if _exists(spark, out):
-            before = spark.read.parquet(out).where(F.col("batch") < batch_id).select(key)
-            fresh = fresh.join(before, key, "left_anti")
-        fresh.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
-
-    return (
-        results.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True).start()
-    )
+    use_rocksdb(results.sparkSession)
+    form = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}
+    rows = results.select(key, F.col(order).alias("at"), F.to_json(F.struct(*results.columns), form).alias("payload"))
+    first = rows.groupBy(key).transformWithStateInPandas(_first_result(), outputStructType="payload string", outputMode="append", timeMode="none")
+    parsed = first.select(F.from_json("payload", results.schema, form).alias("r")).select("r.*")
+    return start(parsed, checkpoint, out)

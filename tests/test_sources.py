@@ -390,6 +390,21 @@ def test_each_result_is_delivered_once(spark, tmp_path):
     assert got == [("a", "2026-08-18 00:00:00"), ("b", "2026-08-18 01:00:00"), ("c", "2026-08-19 01:00:00"), ("d", "2026-08-28 01:00:00")]
 
 
+def test_delivered_results_keep_every_field(spark, tmp_path):
+    """Nulls, large numbers, microseconds, nested values and null keys pass through; equal times give one row."""
+    chk, out = str(tmp_path / "chk"), str(tmp_path / "out")
+    schema = "wire_id string, landed_at timestamp, n bigint, x double, a array<string>, s struct<k:bigint>"
+    big = 2**62 + 1
+    first = [{"wire_id": "a", "landed_at": "2026-08-18T00:00:00.000002Z", "n": big, "a": ["x", None]}, {"wire_id": "a", "landed_at": "2026-08-18T00:00:00.000001Z", "n": big + 1, "s": {"k": big}},
+             {"wire_id": "b", "n": 1}, {"wire_id": "b", "landed_at": "2026-08-18T05:00:00Z", "x": 0.1}, {"landed_at": "2026-08-18T00:00:00Z", "n": 7}, {"wire_id": "c", "n": 3}, {"wire_id": "c", "n": 3}]
+    for name, rows_ in (("1", first), ("2", [{"wire_id": "c", "n": 4}, {"n": 8}, {"wire_id": "d", "landed_at": "2026-08-19T00:00:00Z"}])):
+        write(tmp_path / "in" / f"{name}.jsonl", *map(json.dumps, rows_))
+        streams.deliver_first(streams.read_log(spark, str(tmp_path / "in"), schema), chk, out).awaitTermination()
+    got = {r.wire_id: r for r in spark.read.parquet(out).collect()}
+    assert spark.read.parquet(out).count() == 5 and got.keys() == {None, "a", "b", "c", "d"}
+    assert (got["a"].n, got["a"].s.k, got["a"].landed_at.microsecond, got["b"].x, got[None].n, got["c"].n) == (big + 1, big, 1, 0.1, 7, 3)
+
+
 def test_entries_expire_a_day_after_their_newest_fetch(spark, tmp_path):
     streams.use_rocksdb(spark)
     chk, out = str(tmp_path / "chk"), str(tmp_path / "out")
