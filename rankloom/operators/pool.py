@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.errors import failed
 from ..functions.urls import body_text, host, normalize_url, trim_ws
+from ..session import staged
 
 
 def explode_sources(fetches: DataFrame, *carry: str) -> DataFrame:
@@ -74,16 +75,17 @@ def build_pool(sources: DataFrame) -> DataFrame:
 
     First-seen title, domain and query; the longest text and whose it is (the
     earlier on equal length); the first known date; providers in first-seen
-    order. Winners are chosen on narrow rows; names and texts are then fetched
-    by place, one row per page.
+    order. Winners are chosen and named on narrow rows and written, so that their
+    size is known when the texts are fetched by place, one row per page: where
+    they are small no text is shuffled, else each crosses one shuffle.
     """
     won = pool_winners(canonical_pages(sources))
     at = place(F.col("seq"), F.col("pos"))
     names = sources.select(at.alias("first"), "query", "title", "domain")
     dates = sources.select(at.alias("dated"), "published")
     texts = sources.select(at.alias("text"), body_text(F.struct("content", "snippet")).alias("content"), F.col("provider").alias("content_from"))
-    full = won.join(names, "first").join(dates, "dated", "left").join(texts, "text")
-    return full.select("query_id", "url", "query", "title", "domain", "published", "returned_by", "content", "content_from")
+    named = staged(won.join(names, "first").join(dates, "dated", "left"), "pool-winners")
+    return named.join(texts, "text").select("query_id", "url", "query", "title", "domain", "published", "returned_by", "content", "content_from")
 
 
 def pool_from_fetches(fetches: DataFrame) -> DataFrame:
