@@ -360,6 +360,27 @@ def w07(v):
     return breakers.network_dead(v.fetch_log, limit=2)
 
 
+# Runs of 500 attempts with a provider that never answers, two that come back before and after
+# the limit, and a network that goes away now and then: the limits are those a run uses.
+step("outages", "select *, coalesce(error = 'fetch failed', false) as hit from outage_log")
+step("outage_tally", """
+select run_id, provider, seq, sum(case when error is null then 1 else 0 end) over w as ok, sum(case when error is not null then 1 else 0 end) over w as bad
+from outages where not hit window w as (partition by run_id, provider order by seq rows unbounded preceding)""")
+step("outage_isles", "select *, sum(case when hit then 0 else 1 end) over (partition by run_id order by seq rows unbounded preceding) as isle from outages")
+
+
+@query("w06_dead_at_default", "select run_id, provider, min(seq) as dead_at from outage_tally where ok = 0 and bad >= 8 group by 1, 2")
+def w06_default(v):
+    return breakers.dead_providers(v.outage_log)
+
+
+@query("w07_network_dead_at_default", """
+select run_id, min(seq) as dead_at from (select run_id, seq, hit, row_number() over (partition by run_id, isle, hit order by seq) as k from outage_isles)
+where hit and k >= 12 group by 1""")
+def w07_default(v):
+    return breakers.network_dead(v.outage_log)
+
+
 # --- baseline and calibration -------------------------------------------------
 
 step("base_rows", """

@@ -37,6 +37,63 @@ def s02(v):
     return logs.scan_lines(v.spark, path, _LINE, "fail")
 
 
+def _strict(v: Views, name: str, rows):
+    """A log written as JSON lines, as runs append it, and read back by name with no bad line allowed."""
+    path = _area(v, f"s02-{name}")
+    line = F.to_json(F.struct(*[F.col(c).alias("queryId" if c == "query_id" else c) for c in rows.columns]))
+    # A blank line after every 50th record, as a run that was stopped leaves one.
+    end = F.when(F.xxhash64(line) % 50 == 0, "\n").otherwise("")
+    rows.select(F.concat(line, end).alias("line")).write.text(path)
+    return logs.scan_log(v.spark, path, name, "fail")
+
+
+@query("s02_strict_fetches", """
+select seq, run_id, query_id, type, sharpness, genre, provider, num_sources, fetch_ms, epoch_us(fetched_at) as fetched_us, error, error_stage from fetch_log""")
+def s02_fetches(v):
+    stamp = F.date_format("fetched_at", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
+    rows = v.fetch_log.drop("num_extracted").withColumns({"fetched_at": stamp, "num_sources": F.col("num_sources").cast("int")})
+    back = _strict(v, "fetches", rows)
+    return back.select(
+        "seq", "run_id", "query_id", "type", "sharpness", "genre", "provider", "num_sources", "fetch_ms",
+        F.unix_micros(F.col("fetched_at").cast("timestamp")).alias("fetched_us"), "error", "error_stage",
+    )
+
+
+@query("s02_strict_judgements", "select query_id, url, judge, cast(rung as bigint) as rung, error from judgement_log")
+def s02_judgements(v):
+    back = _strict(v, "judgements", v.judgement_log.select("query_id", "url", "judge", "rung", "error"))
+    return back.select("query_id", "url", "judge", "rung", "error")
+
+
+@query("s02_strict_set_verdicts", "select query_id, provider, judge, cast(score as bigint) as score, error from set_verdict_log")
+def s02_set_verdicts(v):
+    back = _strict(v, "set_verdicts", v.set_verdict_log.select("query_id", "provider", "judge", "score", "error"))
+    return back.select("query_id", "provider", "judge", "score", "error")
+
+
+@query("s02_strict_arms", """
+select seq, query_id, type, provider, seed, latency_ms, fetch_ms, error, error_stage, 'A' as judge, ret_a as retrieval_score, ans_a as answer_score, rationale_a as retrieval_rationale from arm_log
+union all select seq, query_id, type, provider, seed, latency_ms, fetch_ms, error, error_stage, 'B', ret_b, ans_b, null from arm_log""")
+def s02_arms(v):
+    def judged(name: str, side: str, why: Column) -> Column:
+        return F.struct(
+            F.lit(name).alias("judge"), F.col(f"ret_{side}").alias("retrieval_score"),
+            why.alias("retrieval_rationale"), F.col(f"ans_{side}").alias("answer_score"),
+        )
+
+    both = F.array(judged("A", "a", F.col("rationale_a")), judged("B", "b", F.lit(None).cast("string")))
+    rows = v.arm_log.withColumn("judgements", both)
+    own = ("seq", "query_id", "type", "provider", "seed", "latency_ms", "fetch_ms", "error", "error_stage")
+    back = _strict(v, "arms", rows.select(*own, "judgements")).select(*own, F.explode("judgements").alias("j"))
+    scores = [F.col(f"j.{c}").cast("bigint").alias(c) for c in ("retrieval_score", "answer_score")]
+    return back.select(*own, "j.judge", *scores, "j.retrieval_rationale")
+
+
+@query("s02_strict_baseline", "select seq, query_id, grader, verdict, error from baseline_log")
+def s02_baseline(v):
+    return _strict(v, "baseline", v.baseline_log).select("seq", "query_id", "grader", "verdict", "error")
+
+
 @query("s03_tolerant_scan", "select run_id, seq, query_id, provider, fetch_ms, error from fetch_log where seq % 50 <> 0 and seq % 51 <> 0")
 def s03(v):
     path = _area(v, "s03")

@@ -6,11 +6,12 @@ import uuid
 
 from pyspark.sql import DataFrame, functions as F
 
+from ..operators.dims import matrix
 from ..operators.latest import FETCH_KEY
 from ..session import shared_dir
 from ..streaming import streams
 from .registry import query
-from .views import VIEWS, Views
+from .views import PROVIDERS, VIEWS, Views
 
 
 def _area(v: Views, name: str) -> str:
@@ -53,6 +54,34 @@ def t03(v):
     return streams.network_state(v.spark, f"{area}/state").where("dead_at is not null").select("run_id", "dead_at")
 
 
+@query("t02_dead_provider_default", "select run_id, provider, min(seq) as dead_at from outage_tally where ok = 0 and bad >= 8 group by 1, 2")
+def t02_default(v):
+    streams.use_rocksdb(v.spark)
+    area = _area(v, "t02-default")
+    alerts = streams.dead_provider_alerts(stream(v, "outage_log", "events"))
+    streams.start(alerts, f"{area}/check", f"{area}/out").awaitTermination()
+    return v.spark.read.schema("run_id string, provider string, dead_at bigint").parquet(f"{area}/out")
+
+
+@query("t03_network_default", """
+select run_id, min(seq) as dead_at from (select run_id, seq, hit, row_number() over (partition by run_id, isle, hit order by seq) as k from outage_isles)
+where hit and k >= 12 group by 1""")
+def t03_default(v):
+    area = _area(v, "t03-default")
+    streams.network_alerts(stream(v, "outage_log", "events"), f"{area}/check", f"{area}/state").awaitTermination()
+    return streams.network_state(v.spark, f"{area}/state").where("dead_at is not null").select("run_id", "dead_at")
+
+
+@query("t04_matrix_progress", "select run_id, count(*) as landed, 8 * count(distinct query_id) as total from fetch_log group by 1")
+def t04_matrix(v):
+    streams.use_rocksdb(v.spark)
+    area = _area(v, "t04-matrix")
+    asked = v.fetch_log.select("run_id", "query_id").distinct()
+    totals = matrix(asked, provider=PROVIDERS).groupBy("run_id").agg(F.count(F.lit(1)).alias("total"))
+    streams.write_progress(streams.progress(fetch_stream(v), totals), f"{area}/check", f"{area}/out").awaitTermination()
+    return streams.latest_progress(v.spark, f"{area}/out")
+
+
 @query("t04_progress", "select run_id, count(*) as landed, cast(100000 as bigint) as total from fetch_log group by 1")
 def t04(v):
     streams.use_rocksdb(v.spark)

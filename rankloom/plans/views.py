@@ -43,6 +43,14 @@ select event_id as seq, 'r' || cast(cast(ts as date) as string) as run_id,
  case when event_type <> 'error' then event_id % 9 else 0 end as num_sources,
  case when event_type <> 'error' then (event_id % 9) * (user_id % 3) / 2 else 0 end as num_extracted
 from {events}""",
+    "outage_log": """
+select event_id as seq, 'r' || cast(run as string) as run_id, 'p' || cast(event_id % 8 as string) as provider,
+ case when run % 2 = 0 and cast(floor(event_id / 20) as bigint) % 5 = 3 then 'fetch failed'
+   when event_id % 8 = run % 8 then '500 from provider'
+   when event_id % 8 = (run + 1) % 8 and event_id % 500 < 40 then '429 too many requests'
+   when event_id % 8 = (run + 2) % 8 and event_id % 500 < 140 then '502 bad gateway'
+   when event_type = 'error' then '500 from provider' end as error
+from (select event_id, event_type, cast(floor(event_id / 500) as bigint) as run from {events}) as e""",
     "fetch_pages": """
 select distinct 'q' || cast(l_orderkey % 100 + 100 * cast(floor(l_orderkey / 15000) as bigint) as string) as query_id, 'p' || cast(l_suppkey % 8 as string) as provider,
  'https://h.example/' || cast(l_partkey as string) as url from {lineitem}""",

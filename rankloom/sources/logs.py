@@ -6,6 +6,7 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
+from ..functions.verdicts import is_json
 from ..schemas import LOGS
 
 CORRUPT = "_corrupt_record"
@@ -35,9 +36,15 @@ def split_corrupt(df: DataFrame, on_corrupt: str) -> DataFrame | tuple[DataFrame
 
 
 def _typed(lines: DataFrame, col: str, schema: str, *carry: str) -> DataFrame:
-    """Fields of each JSON line, with the line itself where it does not parse."""
+    """Fields of each JSON line, with the line itself where it does not parse.
+
+    The parser stops after a line's first value, so two records that lost the
+    line break between them are told by counting the values of the line.
+    """
     parsed = F.from_json(F.col(col), f"{schema}, {CORRUPT} STRING", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT})
-    return lines.where(F.trim(F.col(col)) != "").select(*carry, parsed.alias("_p")).select(*carry, "_p.*")
+    broken = F.coalesce(F.col(f"_p.{CORRUPT}"), F.when(~is_json(F.col(col)), F.col(col)))
+    rows = lines.where(F.trim(F.col(col)) != "").select(*carry, col, parsed.alias("_p"))
+    return rows.select(*carry, "_p.*", broken.alias("_broken")).drop(CORRUPT).withColumnRenamed("_broken", CORRUPT)
 
 
 def parse_lines(lines: DataFrame, col: str, schema: str, on_corrupt: str = "fail", *carry: str):

@@ -183,6 +183,19 @@ def test_a_strict_scan_fails_on_a_cut_line(spark):
         logs.parse_lines(lines_, "line", "seq BIGINT", "fail").collect()
 
 
+@pytest.mark.parametrize("name", ["fetches", "judgements", "set_verdicts", "arms", "baseline"])
+@pytest.mark.parametrize("bad", ['{"queryId": "q2", "prov', '{"queryId": "q2"}{"queryId": "q3"}', '{"queryId": "q2", "seq": "late"}', "[1]", "null", "7"])
+def test_every_log_is_scanned_strictly(spark, tmp_path, rows, name, bad):
+    clean = write(tmp_path / "clean.jsonl", '{"queryId": "q1", "seq": 4, "later": {"a": 1}}', "", "  ", '{"queryId": "q2", "error": "}{"}')
+    assert rows(logs.scan_log(spark, clean, name), "query_id", "error", "seq")[0][:2] == ("q1", None)
+    assert logs.scan_log(spark, clean, name).count() == 2
+    broken = write(tmp_path / "broken.jsonl", '{"queryId": "q1"}', bad, '{"queryId": "q4"}')
+    with pytest.raises(Exception, match="unreadable log line"):
+        logs.scan_log(spark, broken, name).collect()
+    good, lines = logs.scan_log(spark, broken, name, "quarantine")
+    assert rows(good, "query_id") == [("q1",), ("q4",)] and rows(lines) == [(bad,)]
+
+
 def test_one_bad_request_costs_its_own_row(spark):
     from rankloom.operators import requests
 
