@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from .binding import let
+from .binding import inline, let
 from .urls import WS, trim_ws
 
 # Seconds per unit of a relative phrase (30-day month, 365-day year).
@@ -120,7 +120,8 @@ def date_from_metadata(meta: Column, now: Column) -> Column:
         F.array(*[F.lit(k) for k in META_KEYS]),
         lambda k: F.try_element_at(F.filter(entries, lambda e: F.lower(e["key"]) == k), F.lit(-1))["value"],
     )
-    dated = F.transform(F.filter(found, lambda x: x.isNotNull()), lambda x: parse_published(x, now))
+    with inline():
+        dated = F.transform(F.filter(found, lambda x: x.isNotNull()), lambda x: parse_published(x, now))
     return F.try_element_at(F.filter(dated, lambda d: d.isNotNull()), F.lit(1))
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from .binding import let
 from .urls import WS, trim_ws
 
 CONTENT_CHARS = 1600
@@ -21,10 +22,14 @@ _ENTITY = r"&(#\d+|#x[0-9a-fA-F]+|[a-zA-Z]+);"
 # Hexadecimal digits of a code point, without what pads it.
 _HEX_CODE = r"^#x0*(10[0-9a-fA-F]{4}|[0-9a-fA-F]{1,5})$"
 _LINK_LINE = rf"(?m)^{WS}*[-*]?{WS}*\[[^\]]*\]\([^)]*\){WS}*$"
-_HIDDEN = r"(?is)<(script|style|noscript|svg|head)\b[^>]*>.*?</\1>"
+_HIDDEN_NAMES = ["script", "style", "noscript", "svg", "head"]
+_HIDDEN = rf"(?is)<({'|'.join(_HIDDEN_NAMES)})\b[^>]*>.*?</\1>"
 _COMMENT = r"(?s)<!--.*?-->"
 _BLOCK_END = r"(?i)</(p|div|li|h[1-6]|tr|section|article|br)\s*>"
 _TAG = r"<[^>]+>"
+# Stands behind the < of what opens but never closes; a code point that is no character.
+_SEAL = "\ufdd0"
+_FEW_OPENINGS = 32
 
 # Presence tests on the text a provider returned.
 HEADING = r"(?m)^#{1,6}\s"
@@ -69,12 +74,59 @@ def decode_entities(text: Column) -> Column:
     return F.when(F.size(tokens) == 0, text).otherwise(F.array_join(decoded, ""))
 
 
+def _sealed(text: Column, opening: str, upto: str, many: Column) -> Column:
+    """``text`` with its openings sealed behind group 1 of ``upto``, where nothing closes them."""
+    def split(head: Column) -> Column:
+        rest = F.substring(text, F.length(head) + 1, F.length(text))
+        sealed = F.concat(head, F.regexp_replace(rest, rf"(?i)<(?={opening})", f"<{_SEAL}"))
+        return F.when(many, sealed).otherwise(text)
+
+    return let(F.when(many, F.regexp_extract(text, upto, 1)), split)
+
+
+def _replace_closed(text: Column) -> Column:
+    """Spaces for hidden parts, then for comments.
+
+    A pattern tried at an opening that nothing closes reads to the end of the
+    page. Pages with more than a few openings seal those first, so the time
+    stays linear in the text; the result is the same either way.
+    """
+    def hidden(many: Column) -> Column:
+        out = text
+        for name in _HIDDEN_NAMES:
+            out = let(_sealed(out, rf"{name}\b", rf"(?is)^(.*>)[^>]*</{name}>", many), lambda t: t)
+        return unsealed(F.regexp_replace(out, _HIDDEN, " "), many)
+
+    def comments(t: Column) -> Column:
+        return let(often(t, "<!--"), lambda many: unsealed(
+            F.regexp_replace(_sealed(t, "!--", r"(?s)^(.*)-->", many), _COMMENT, " "), many))
+
+    def often(t: Column, openings: str) -> Column:
+        return F.regexp_count(t, F.lit(openings)) > _FEW_OPENINGS
+
+    def unsealed(t: Column, many: Column) -> Column:
+        return let(t, lambda u: F.when(many, F.replace(u, F.lit(f"<{_SEAL}"), F.lit("<"))).otherwise(u))
+
+    return let(let(often(text, rf"(?i)<(?:{'|'.join(_HIDDEN_NAMES)})"), hidden), comments)
+
+
+def _without_tags(text: Column) -> Column:
+    """A < with no > behind it is text, and no pattern is tried there."""
+    def split(tail: Column) -> Column:
+        head = F.substring(text, F.lit(1), F.length(text) - F.length(tail))
+        parted = F.concat(F.regexp_replace(head, _TAG, " "), tail)
+        return F.when(tail.contains("<"), parted).otherwise(F.regexp_replace(text, _TAG, " "))
+
+    return let(F.substring_index(text, ">", -1), split)
+
+
 def strip_tags(html: Column) -> Column:
-    """HTML to text: no script, style or comments; block ends become line breaks."""
-    text = F.regexp_replace(html, _HIDDEN, " ")
-    text = F.regexp_replace(text, _COMMENT, " ")
-    text = F.regexp_replace(text, _BLOCK_END, "\n")
-    text = decode_entities(F.regexp_replace(text, _TAG, " "))
+    """HTML to text: no script, style or comments; block ends become line breaks.
+
+    A tag or comment that is never closed stays as text. Null stays null.
+    """
+    text = F.regexp_replace(_replace_closed(html), _BLOCK_END, "\n")
+    text = let(let(text, _without_tags), decode_entities)
     text = F.regexp_replace(text, r"[ \t\u00a0]+", " ")
     text = F.regexp_replace(text, r"\n[ \t]+", "\n")
     return trim_ws(F.regexp_replace(text, r"\n{3,}", "\n\n"))

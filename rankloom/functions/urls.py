@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from .binding import let
+from .binding import inline, let
 
 WS = r"[\s\u00a0]"
 # Every character that counts as white space at the edges of a text.
@@ -47,10 +47,11 @@ def normalize_url(raw: Column) -> Column:
     ports = F.create_map(*[F.lit(x) for kv in _DEFAULT_PORTS.items() for x in kv])
 
     def rebuilt(p: Column) -> Column:
-        scheme, port = F.lower(p[0]), p[3]
+        scheme, port = F.lower(F.get(p, 0)), F.get(p, 3)
         shown = F.when((port == ":") | (port == F.try_element_at(ports, scheme)), "").otherwise(port)
         whole = F.concat(
-            scheme, F.lit("://"), p[1], F.lower(p[2]), shown, F.when(p[4] == "", "/").otherwise(p[4]), _without_tracking(p[5])
+            scheme, F.lit("://"), F.get(p, 1), F.lower(F.get(p, 2)), shown,
+            F.when(F.get(p, 4) == "", "/").otherwise(F.get(p, 4)), _without_tracking(F.get(p, 5)),
         )
         return F.regexp_replace(whole, "/$", "")
 
@@ -64,9 +65,9 @@ def host(url: Column) -> Column:
 
 def returned_urls(sources: Column) -> Column:
     """Normalised distinct URLs of one returned set, order kept."""
-    return F.array_distinct(
-        F.filter(F.transform(sources, lambda s: normalize_url(s["url"])), lambda u: u != "")
-    )
+    with inline():
+        urls = F.transform(sources, lambda s: normalize_url(s["url"]))
+    return F.array_distinct(F.filter(urls, lambda u: u != ""))
 
 
 def body_text(source: Column) -> Column:

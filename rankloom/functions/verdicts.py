@@ -17,8 +17,8 @@ def unfence_json(text: Column) -> Column:
     fence = r"(?s)^```(?:json)?\s*\n?(.*?)\n?\s*```$"
 
     def braces(body: Column) -> Column:
-        found = let(F.regexp_extract(body, r"(?s)\{.*\}", 0), lambda x: F.when(x == "", body).otherwise(x))
-        return F.when(body.startswith("{"), body).otherwise(found)
+        inner = F.when(~body.startswith("{"), F.regexp_extract(body, r"(?s)\{.*\}", 0))
+        return let(inner, lambda x: F.when(body.startswith("{") | (x == ""), body).otherwise(x))
 
     def opened(s: Column) -> Column:
         fenced = F.when(s.startswith("```") & s.rlike(fence), trim_ws(F.regexp_extract(s, fence, 1))).otherwise(s)
@@ -48,7 +48,8 @@ def _parsed(raw: Column, body) -> Column:
     def read(found: Column) -> Column:
         one = F.size(found) == 1
         other = ~raw.startswith("{") & (raw != "null") & is_json(raw)
-        return body(F.coalesce(one, F.lit(False)) | other, lambda name: F.try_element_at(found, F.lit(1))[name])
+        usable = F.coalesce(one, F.lit(False)) | F.coalesce(other, F.lit(False))
+        return let(usable, lambda ok: body(ok, lambda name: F.try_element_at(found, F.lit(1))[name]))
 
     return let(objects, read)
 

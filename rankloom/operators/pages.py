@@ -6,17 +6,19 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import dates as D
 from ..functions import text as T
+from ..functions.binding import with_rules
 
 
 def date_pages(pages: DataFrame, now: Column, native: str | None = "native") -> DataFrame:
     """Publication date of each page, which rung gave it, and its age in days."""
-    rungs = [("native", D.parse_published(F.col(native), now))] if native else []
-    rungs += [
-        ("snippet", D.date_from_snippet(F.col("snippet"), now)),
-        ("content", D.date_from_content(F.col("content"), now)),
-        ("url", D.date_from_url(F.col("url"), now)),
-    ]
-    dated = pages.withColumn("_d", D.date_ladder(*rungs)).select("*", "_d.published", "_d.dated_by").drop("_d")
+    def ladder() -> Column:
+        rungs = [("native", D.parse_published(F.col(native), now))] if native else []
+        return D.date_ladder(
+            *rungs, ("snippet", D.date_from_snippet(F.col("snippet"), now)),
+            ("content", D.date_from_content(F.col("content"), now)), ("url", D.date_from_url(F.col("url"), now)),
+        )
+
+    dated = with_rules(pages, _d=ladder).select("*", "_d.published", "_d.dated_by").drop("_d")
     return dated.withColumn("age_days", D.age_days(F.col("published"), now))
 
 
@@ -26,8 +28,11 @@ def date_coverage(dated: DataFrame, by: str = "provider") -> DataFrame:
 
 def clean_pages(pages: DataFrame, html: str, key: str) -> DataFrame:
     """Plain text of raw HTML pages, cleaned, with length, flags and challenge class."""
-    text = pages.select(key, T.clean_markdown(T.strip_tags(F.col(html))).alias("text"), F.coalesce(
-        T.challenge_kind(F.col(html)), F.lit("ok")).alias("challenge"))
+    raw = pages.select(key, F.col(html).alias("_html"))
+    text = with_rules(
+        raw, text=lambda: T.clean_markdown(T.strip_tags(F.col("_html"))),
+        challenge=lambda: F.coalesce(T.challenge_kind(F.col("_html")), F.lit("ok")),
+    )
     t = F.col("text")
     return text.select(
         key, "text", F.length(t).alias("n_chars"), T.was_truncated(t).alias("truncated"),

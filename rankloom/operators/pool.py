@@ -6,6 +6,7 @@ from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..functions.binding import with_rules
 from ..functions.errors import failed
 from ..functions.urls import body_text, host, normalize_url, trim_ws
 from ..session import staged
@@ -18,15 +19,18 @@ def explode_sources(fetches: DataFrame, *carry: str) -> DataFrame:
     ).select("query_id", "provider", "seq", "pos", *carry, "source.*")
 
 
+def normalized(rows: DataFrame) -> DataFrame:
+    """Rows under the normalised form of their ``url``."""
+    return with_rules(rows, url=lambda: normalize_url(F.col("url")))
+
+
 def canonical_pages(sources: DataFrame) -> DataFrame:
     """Normalised URL, domain and body of each source; sources without a URL go."""
-    return (
-        # A blank URL is the only one that normalises to nothing; testing the raw one keeps the rule out of the filter.
-        sources.where(trim_ws(F.col("url")) != "")
-        .withColumn("raw_url", F.col("url"))
-        .withColumn("url", normalize_url(F.col("url")))
-        .withColumn("host", host(F.col("raw_url")))
-        .withColumn("body", body_text(F.struct("content", "snippet")))
+    # A blank URL is the only one that normalises to nothing; testing the raw one keeps the rule out of the filter.
+    named = sources.where(trim_ws(F.col("url")) != "").withColumn("raw_url", F.col("url"))
+    return with_rules(
+        named, url=lambda: normalize_url(F.col("raw_url")), host=lambda: host(F.col("raw_url")),
+        body=lambda: body_text(F.struct("content", "snippet")),
     )
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import prompts as P
 from ..functions import verdicts as V
+from ..functions.binding import with_rules
 from ..functions.labels import judge_label
 from .planning import with_wire_id
 
@@ -38,8 +39,8 @@ PARSERS = {
 def parse_verdicts(outcomes: DataFrame, kind: str, raw: str = "raw", unfence: bool = True) -> DataFrame:
     """Typed verdict and reason per raw outcome; an empty reply reads as ``{}``."""
     text = F.when(F.coalesce(F.col(raw), F.lit("")) == "", F.lit("{}")).otherwise(F.col(raw))
-    parsed = PARSERS[kind](V.unfence_json(text) if unfence else text)
-    return outcomes.withColumn("_v", parsed).select("*", "_v.value", "_v.rationale").drop("_v")
+    rows = with_rules(outcomes, _v=lambda: PARSERS[kind](V.unfence_json(text) if unfence else text))
+    return rows.select("*", "_v.value", "_v.rationale").drop("_v")
 
 
 def null_verdicts(verdicts: DataFrame) -> DataFrame:

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.stats import median_of_array
-from ..functions.urls import normalize_url
 from ..operators import audit, baseline, breakers, frontier, latest, pool, report
 from .queries_arms import batch_rows
 from .queries_score import J_ORDER, _J_DESC, set_stats, set_verdicts
@@ -31,12 +30,12 @@ def groups(v: Views):
 
 def good_judgements(v: Views):
     good = latest.last_good_verdicts(v.landed("judgement_log"), latest.JUDGEMENT_KEY, "rung", J_ORDER)
-    return good.select("query_id", normalize_url(F.col("url")).alias("url"), "judge", "rung", *J_ORDER)
+    return pool.normalized(good).select("query_id", "url", "judge", "rung", *J_ORDER)
 
 
 def searched_pages(v: Views):
     clean = best(v).where("error is null").select("query_id", "provider")
-    pages = v.landed("fetch_pages").withColumn("url", normalize_url(F.col("url")))
+    pages = pool.normalized(v.landed("fetch_pages"))
     return pages.join(clean, ["query_id", "provider"], "left_semi")
 
 
@@ -45,7 +44,7 @@ def rated(v: Views):
 
 
 def panels(v: Views):
-    pages = v.landed("fetch_pages").withColumn("url", normalize_url(F.col("url")))
+    pages = pool.normalized(v.landed("fetch_pages"))
     by_question = report.question_panels(pages, good_judgements(v), JUDGES, REPORT_PROVIDERS, JUDGED_ORDER)
     return report.searched(by_question, report.question_marks(v.landed("fetch_log"), REPORT_PROVIDERS, ("p7",), *rules()), REPORT_PROVIDERS)
 

@@ -9,7 +9,9 @@ from ..functions import labels as L
 from ..functions import prompts as P
 from ..functions import text as T
 from ..functions import urls as U
+from ..functions.binding import with_rules
 from ..operators import extraction, latest, planning, pool, requests
+from ..operators.pages import date_pages
 from .queries_score import _todo
 from .registry import query, step
 from .views import NOW, Views
@@ -39,7 +41,8 @@ step("norm_sources", sql_norm("source_log"))
 
 @query("f01_f03_urls", "select page_id, norm as url, host from norm_pages")
 def f01(v):
-    return v.pages.select("page_id", U.normalize_url(F.col("url")).alias("url"), U.host(F.col("url")).alias("host"))
+    pages = v.pages.select("page_id", F.col("url").alias("raw"))
+    return with_rules(pages, url=lambda: U.normalize_url(F.col("raw")), host=lambda: U.host(F.col("raw"))).drop("raw")
 
 
 @query("f01_f04_canonical_pages", """
@@ -233,18 +236,14 @@ from dated)
 select doc_id, provider, cast(d as varchar) as published, dated_by, cast(date_diff('day', d, date '2026-08-18') as bigint) as age_days from r""")
 def f11(v):
     now = F.lit(NOW).cast("timestamp")
-    dated = D.date_ladder(
-        ("native", D.parse_published(F.col("native"), now)), ("snippet", D.date_from_snippet(F.col("snippet"), now)),
-        ("content", D.date_from_content(F.col("content"), now)), ("url", D.date_from_url(F.col("url"), now)),
-    )
-    rows = v.sql(_DATED).withColumn("_d", dated).select("doc_id", "provider", "_d.published", "_d.dated_by")
-    return rows.withColumn("age_days", D.age_days(F.col("published"), now))
+    return date_pages(v.sql(_DATED), now).select("doc_id", "provider", "published", "dated_by", "age_days")
 
 
 @query("f15_html_dates", """
 select doc_id, case doc_id % 4 when 0 then '2024-02-03' when 1 then '2026-08-16' when 2 then '2021-05-06' end as published from dated""")
 def f15(v):
-    return v.sql(_DATED).select("doc_id", D.date_from_html(F.col("html"), F.lit(NOW).cast("timestamp")).alias("published"))
+    now = F.lit(NOW).cast("timestamp")
+    return with_rules(v.sql(_DATED), published=lambda: D.date_from_html(F.col("html"), now)).select("doc_id", "published")
 
 
 @query("f14_metadata_dates", """
@@ -296,7 +295,8 @@ _DETAG = sql_trim(rf"regexp_replace({_DETAG}, '\n{{3,}}', chr(10) || chr(10), 'g
 
 @query("f18_html_to_text", f"select page_id, {_DETAG} as text from pages")
 def f18(v):
-    return v.pages.select("page_id", T.strip_tags(F.col("html")).alias("text"))
+    pages = v.pages.select("page_id", "html")
+    return with_rules(pages, text=lambda: T.strip_tags(F.col("html"))).select("page_id", "text")
 
 
 @query("f19_challenge_class", r"""

@@ -10,7 +10,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.errors import failed
-from ..functions.urls import normalize_url
 from ..operators import agreement, baseline, credibility, frontier, latest, pool, report, score, variance
 from ..session import staged
 from ..sources.logs import write_snapshot
@@ -78,7 +77,7 @@ def report_tables(
     winners = lean.where(~failed(F.col("error"))).select("query_id", "provider", "seq")
     sources = pool.explode_sources(clean.join(winners, ["query_id", "provider", "seq"], "left_semi"))
     pages = staged(pool.canonical_pages(sources).select("query_id", "provider", "url", "raw_url"), "pages")
-    good = latest.last_good_verdicts(judgement_log, latest.JUDGEMENT_KEY).withColumn("url", normalize_url(F.col("url")))
+    good = pool.normalized(latest.last_good_verdicts(judgement_log, latest.JUDGEMENT_KEY))
     rated = staged(report.rated_pages(pages, good, judges, ("seq",)), "rated")
     clean_keys = lean.where(~failed(F.col("error"))).select("query_id", "provider")
     panels = staged(report.searched(report.question_panels(pages, good, judges, providers, ("seq",)), report.clean_marks(clean_keys, groups, providers), providers), "panels")

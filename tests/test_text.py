@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rankloom.functions import dates, labels, text, urls, verdicts
+from rankloom.functions.binding import with_rules
 
 NOW = "2026-08-18 00:00:00"
 
@@ -109,3 +110,61 @@ def test_the_last_rating_of_a_page_counts_across_url_variants(spark):
 
     js = spark.createDataFrame([("q", "u", "a", 3, 1), ("q", "u", "a", 1, 2), ("q", "u", "b", 2, 1)], "query_id string, url string, judge string, rung int, seq int")
     assert agreement.ratings_wide(js, ["a", "b"], order=("seq",)).first()[2:] == (1, 2)
+
+
+def _plain_strip(html):
+    """The rule as a list of replacements in order."""
+    import re
+
+    out = re.sub(r"(?is)<(script|style|noscript|svg|head)\b[^>]*>.*?</\1>", " ", html)
+    out = re.sub(r"(?s)<!--.*?-->", " ", out)
+    out = re.sub(r"(?i)</(p|div|li|h[1-6]|tr|section|article|br)\s*>", "\n", out)
+    out = re.sub(r"<[^>]+>", " ", out)
+    out = re.sub(r"[ \t ]+", " ", out)
+    out = re.sub(r"\n[ \t]+", "\n", out)
+    return re.sub(r"\n{3,}", "\n\n", out).strip(" \t\n")
+
+
+def test_tags_are_removed_alike_in_lifted_and_inline_rules(spark):
+    import random
+
+    rng = random.Random(7)
+    bits = ["<script>", "</script>", "<SCRIPT a='b'", ">", "<", "<style>", "</style>", "<svg", "</svg>", "<head>", "</HEAD>", "<!--", "-->", "<!-->",
+            "<noscript>", "</noscript>", "</p>", "<b>", "x", " y ", "\n", "é", "<scripty>", "", "</script"]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.choice([8, 25, 300]))) for _ in range(900)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate([*texts, None])], "id int, html string")
+    lifted = {r.id: r.t for r in with_rules(df, t=lambda: text.strip_tags(F.col("html"))).collect()}
+    inlined = {r.id: r.t for r in df.limit(200).select("id", text.strip_tags(F.col("html")).alias("t")).collect()}
+    assert [lifted[i] for i in range(len(texts))] == [_plain_strip(t) for t in texts] and lifted[len(texts)] is None
+    assert inlined == {i: lifted[i] for i in inlined}
+
+
+@pytest.mark.parametrize("bit", ["<script>", "<script", "<!--", "<", "<style>x</script>", "<head></svg", "<script <style>"])
+def test_long_pages_of_unclosed_openings_take_linear_time(spark, bit):
+    import time
+
+    n = 2_000_000 // len(bit)
+    df = spark.createDataFrame([(bit,)], "b string").select(F.repeat("b", F.lit(n)).alias("html"))
+    began = time.time()
+    for end in ("", "</script>", "-->"):
+        whole = df.select(F.concat("html", F.lit(end)).alias("html"))
+        assert with_rules(whole, t=lambda: text.strip_tags(F.col("html"))).select(F.length("t")).first()[0] is not None
+    assert time.time() - began < 30
+
+
+def test_lifted_rules_equal_inline_ones(spark):
+    raw = ["{\"rung\": 2}", "```json\n{\"rung\": \"3\"}\n```", "so {\"rung\": 1} it is", "", None, "5", "null", "[", "{\"rung\": 2} {", "x {y"]
+    url = ["https://A.b:443/?utm_x=1&q=2#f", "nope", "", None, "http://h", "ftp://u@h:21/p/?gclid=1"]
+    when = ["2024-05-06", "3 days ago", "Jan 5, 2024", "yesterday", "never", None, "", "2024-13-45"]
+    df = spark.createDataFrame([(raw[i % 10], url[i % 6], when[i % 8]) for i in range(240)], "raw string, url string, d string")
+    now = F.lit("2024-06-01").cast("timestamp")
+    rules = {
+        "v": lambda: verdicts.parse_rung(verdicts.unfence_json(F.col("raw"))), "b": lambda: verdicts.parse_baseline(F.col("raw")),
+        "c": lambda: verdicts.parse_clamped(F.col("raw")), "u": lambda: urls.normalize_url(F.col("url")), "p": lambda: dates.parse_published(F.col("d"), now),
+        "s": lambda: dates.date_from_snippet(F.col("d"), now), "_let0": lambda: F.lit(1),
+    }
+    lifted = with_rules(df, **rules)
+    assert lifted.columns == [*df.columns, *rules]
+    assert " transform(" not in lifted._jdf.queryExecution().optimizedPlan().toString()
+    plain = df.select("*", *[r().alias(n) for n, r in rules.items()])
+    assert sorted(map(repr, lifted.collect())) == sorted(map(repr, plain.collect()))
