@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..functions.binding import with_rules
 from ..functions.text import challenge_kind, decode_entities, strip_tags
 
 # Markers of one result and the fields inside it.
@@ -19,11 +20,10 @@ def serp_hits(pages: DataFrame, html: str, *carry: str) -> DataFrame:
     body: Column = F.element_at(F.split("block", _END), 1)
     rows = rows.select(*carry, "pos", body.alias("b")).withColumn("url", decode_entities(F.regexp_extract("b", _LINK, 1)))
     rows = rows.where(F.col("url").rlike(r"(?i)^https?://"))
-    title = strip_tags(F.regexp_extract("b", _LINK, 2))
-    return rows.select(
-        *carry, "pos", "url", F.when(title == "", F.col("url")).otherwise(title).alias("title"),
-        strip_tags(F.regexp_extract("b", _SNIPPET, 1)).alias("snippet"),
-    )
+    parts = rows.withColumns({"_title": F.regexp_extract("b", _LINK, 2), "_snippet": F.regexp_extract("b", _SNIPPET, 1)})
+    clean = with_rules(parts, _plain=lambda: strip_tags(F.col("_title")), snippet=lambda: strip_tags(F.col("_snippet")))
+    title = F.when(F.col("_plain") == "", F.col("url")).otherwise(F.col("_plain"))
+    return clean.select(*carry, "pos", "url", title.alias("title"), "snippet")
 
 
 def page_challenges(pages: DataFrame, html: str, *carry: str) -> DataFrame:
