@@ -36,7 +36,9 @@ def read_set(spark: SparkSession, path: str) -> DataFrame:
     lines = lines.where(trim_ws(F.col("value")) != "")
     kinds = lines.groupBy("file").agg(F.min(F.struct("block", "id", F.substring(trim_ws(F.col("value")), 1, 1).alias("c"))).alias("first"))
     lines = lines.join(kinds.select("file", (F.col("first.c") == "[").alias("array")), "file")
-    elements = lines.where("array").repartition("file").sortWithinPartitions("file", "block", "id").select("file", "value")
+    # By a hash of the file and not the file: a repartition by the key of the join before it is left out, and the
+    # join's own shuffle is read map by map when the join becomes a broadcast, so a file's splits would part.
+    elements = lines.where("array").repartition(F.xxhash64("file")).sortWithinPartitions("file", "block", "id").select("file", "value")
     return _numbered(lines.where("not array")).unionByName(elements.mapInPandas(_elements, "file string, pos int, raw string"))
 
 
