@@ -11,6 +11,8 @@ WS = r"[\s\u00a0]"
 EDGE_WS = " \t\n\u000b\f\r\u00a0\ufeff\u1680\u2028\u2029\u202f\u205f\u3000" + "".join(chr(c) for c in range(0x2000, 0x200B))
 # scheme, user info, host, port, path, query, fragment
 _PARTS = r"(?is)^(https?|wss?|ftp)://([^/?#@]*@)?(\[[^\]]*\]|[^/?#:@\s<>^|%]+)(:\d*)?(/[^?#]*)?(\?[^#]*)?(#.*)?$"
+# URLs that are in normal form as they stand: lower-case scheme and host, a path without a last slash, nothing else.
+_NORMAL = r"^(?:https?|wss?|ftp)://[a-z0-9.-]+/[A-Za-z0-9._~%+,;=&!*'()@:/-]*[A-Za-z0-9._~%+,;=&!*'()@:-]\z"
 # Parameters that never identify a different page.
 _TRACKING = r"(?i)^(utm_[^=]*|fbclid|gclid|mc_cid|mc_eid|igshid)(=.*)?$"
 _MARK = "\u0001"
@@ -42,7 +44,8 @@ def _without_tracking(query: Column) -> Column:
 def normalize_url(raw: Column) -> Column:
     """One key per page: no fragment, no tracking parameters, lower-case host,
     no default port, one trailing slash less. Anything that does not parse
-    comes back trimmed. Other percent-encoding is left as it is.
+    comes back trimmed. Other percent-encoding is left as it is. URLs that one
+    plain pattern shows to be in this form skip the parts (null for them).
     """
     ports = F.create_map(*[F.lit(x) for kv in _DEFAULT_PORTS.items() for x in kv])
 
@@ -55,7 +58,10 @@ def normalize_url(raw: Column) -> Column:
         )
         return F.regexp_replace(whole, "/$", "")
 
-    return let(trim_ws(raw), lambda s: let(_split_url(s), lambda p: F.when(F.size(p) == 7, rebuilt(p)).otherwise(s)))
+    def split(s: Column) -> Column:
+        return _split_url(F.when(~s.rlike(_NORMAL), s))
+
+    return let(trim_ws(raw), lambda s: let(split(s), lambda p: F.when(p.isNotNull() & (F.size(p) == 7), rebuilt(p)).otherwise(s)))
 
 
 def host(url: Column) -> Column:

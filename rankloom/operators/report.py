@@ -72,6 +72,20 @@ def join_match(pages: DataFrame) -> DataFrame:
     )
 
 
+def matched_by_set(pages: DataFrame) -> DataFrame:
+    """Of each search the pages it returned and those that carry any rating."""
+    return pages.groupBy("query_id", "provider").agg(
+        F.count(F.lit(1)).alias("returned"), F.count_if(F.col("n_ratings") > 0).alias("matched"))
+
+
+def join_match_of(sets: DataFrame) -> DataFrame:
+    """``join_match`` from the counts of searches."""
+    return sets.groupBy("provider").agg(
+        F.sum("returned").alias("returned"), F.sum("matched").alias("matched"),
+        percent(F.sum("matched"), F.sum("returned")).alias("join_match_pct"),
+    )
+
+
 def page_scores(pages: DataFrame, groups: DataFrame) -> DataFrame:
     """Flat page means per provider, overall and by question group, and both thresholds.
 
@@ -107,7 +121,7 @@ def question_panels(returned: DataFrame, judgements: DataFrame, judges: list[str
     ``h0`` those at full and half relevance, and so on. Pages and ratings meet in
     one partitioning; only these sums go on.
     """
-    pages = returned.select("query_id", "url", "provider").repartition("query_id", "url").distinct()
+    pages = returned.select("query_id", "url", "provider").distinct()
     r = [F.col(f"r{i}") for i in range(len(judges))]
     whole = sum(r[1:], r[0])
     rated = ratings_wide(judgements, judges, order=order).select("query_id", "url", (whole / len(judges)).alias("m")).where("m is not null")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import errors as E
 from ..functions.stats import T95, T95_BEYOND, ci95, mean0, pearson, std0
 from ..operators import agreement, dims, latest, ranks, score, variance
+from ..sources import landing
 from .registry import query, step
 from .views import JUDGED_ORDER, JUDGES, PROVIDERS, Views
 
@@ -82,13 +83,22 @@ def fetches(v: Views):
 
 
 def judgements(v: Views):
-    return latest.dedupe_verdicts(v.landed("judgement_log"), latest.JUDGEMENT_KEY, J_ORDER).select(
-        "query_id", "url", "judge", "rung"
-    )
+    """Only the last rating of a judge lands, without the columns that order them."""
+    def make():
+        last = latest.last_write(v.dealt("judgement_log"), latest.JUDGEMENT_KEY, J_ORDER).select("query_id", "url", "judge", "rung", "error")
+        return landing.land(last, "last_judgements", landing.KEYS["judgement_log"], buckets=v.parts("judgement_log"), dealt=True)
+
+    last = v.once("last_judgements", "judgement_log", make)
+    return last.where(~E.failed(F.col("error"))).select("query_id", "url", "judge", "rung")
 
 
 def set_verdicts(v: Views):
-    return latest.dedupe_verdicts(v.landed("set_verdict_log"), latest.SET_KEY, J_ORDER)
+    """Only the last rating of a judge lands: the log has many of one set."""
+    def make():
+        last = latest.last_write(v.dealt("set_verdict_log"), latest.SET_KEY, J_ORDER)
+        return landing.land(last, "last_set_verdicts", landing.KEYS["set_verdict_log"], buckets=v.parts("set_verdict_log"), dealt=True)
+
+    return v.once("last_set_verdicts", "set_verdict_log", make).where(~E.failed(F.col("error")))
 
 
 def scores(v: Views):
@@ -138,9 +148,11 @@ select query_id, url, judge, rung from (select *, row_number() over (partition b
 
 @query("d05_last_good_judgement", "select query_id, url, judge, cast(rung as bigint) as rung from good_judgements")
 def d05(v):
-    return latest.last_good_verdicts(v.landed("judgement_log"), latest.JUDGEMENT_KEY, "rung", J_ORDER).select(
-        "query_id", "url", "judge", "rung"
-    )
+    def make():
+        good = latest.last_good_verdicts(v.dealt("judgement_log"), latest.JUDGEMENT_KEY, "rung", J_ORDER).select("query_id", "url", "judge", "rung")
+        return landing.land(good, "good_judgements", landing.KEYS["judgement_log"], buckets=v.parts("judgement_log"), dealt=True)
+
+    return v.once("good_judgements", "judgement_log", make)
 
 
 @query("d06_resume_fetch_keys", "select distinct query_id, provider from fetch_faults where fault not in ('transport', 'account')")
@@ -155,7 +167,7 @@ def d07(v):
 
 @query("d08_resume_verdict_keys", "select distinct query_id, url, judge from judgement_log where error is null")
 def d08(v):
-    return latest.resumable_verdicts(v.landed("judgement_log"), latest.JUDGEMENT_KEY)
+    return latest.resumable_verdicts(v.dealt("judgement_log"), latest.JUDGEMENT_KEY)
 
 
 @query("d12_judgeable_sets", "select seq, query_id, provider, num_sources from fetches where error is null and num_sources > 0")

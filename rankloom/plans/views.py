@@ -157,9 +157,28 @@ class Views:
             _LANDED[key] = make()
         return _LANDED[key]
 
+    def parts(self, name: str) -> int:
+        """Buckets of a log, by the bytes of the files that it comes from."""
+        bases = [t for t in BASE_TABLES if "{" + t + "}" in VIEWS[name]]
+        return landing.parts_for(self.spark, sum(length for t in bases for _, length, _ in landing.state_of(self.spark, f"{self.sf_dir}/{t}.parquet")))
+
+    def returned(self) -> DataFrame:
+        """``fetch_pages`` before its rows are told apart."""
+        return self.sql(VIEWS["fetch_pages"].replace("select distinct", "select", 1))
+
+    def dealt(self, name: str) -> DataFrame:
+        """A log in partitions of its key: one shuffle of the columns that are used, no table. Repeated pages go where they were dealt, so no map task holds all of its rows."""
+        rows = self.returned() if name == "fetch_pages" else self.view(name)
+        rows = rows.repartition(self.parts(name), *landing.KEYS[name])
+        return rows.distinct() if name == "fetch_pages" else rows
+
     def landed(self, name: str) -> DataFrame:
         """A log from its bucketed table."""
-        return self.once(name, name, lambda: landing.land(self.view(name), name, landing.KEYS[name], LANDED_ORDER.get(name, ())))
+        def make():
+            dealt = name == "fetch_pages"
+            return landing.land(self.dealt(name) if dealt else self.view(name), name, landing.KEYS[name], LANDED_ORDER.get(name, ()), self.parts(name), dealt)
+
+        return self.once(name, name, make)
 
     def __getattr__(self, name: str) -> DataFrame:
         if name in VIEWS:

@@ -29,11 +29,20 @@ def buckets_of(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def land(df: DataFrame, name: str, keys: tuple[str, ...], order: tuple[str, ...] = (), buckets: int | None = None) -> DataFrame:
-    """Write a log as a bucketed table in the shared folder and read it back."""
+#: Input bytes for one bucket or partition of a log: a few hundred thousand rows, so sorts of it stay in memory.
+PART_BYTES = 8 << 20
+
+
+def parts_for(spark: SparkSession, size: int) -> int:
+    """Buckets of a log from files of ``size`` bytes: as many as a shuffle has partitions, more where they would grow with the log."""
+    return max(buckets_of(spark), -(-size // PART_BYTES))
+
+
+def land(df: DataFrame, name: str, keys: tuple[str, ...], order: tuple[str, ...] = (), buckets: int | None = None, dealt: bool = False) -> DataFrame:
+    """Write a log as a bucketed table in the shared folder and read it back; one that is ``dealt`` into its buckets is not shuffled again."""
     spark = df.sparkSession
     n, table = buckets or buckets_of(spark), f"landed_{name}_{uuid.uuid4().hex}"
-    writer = df.hint("rebalance", n, *keys).write.format("parquet").option("path", f"{shared_dir(spark)}/landed/{table}").bucketBy(n, *keys)
+    writer = (df if dealt else df.hint("rebalance", n, *keys)).write.format("parquet").option("path", f"{shared_dir(spark)}/landed/{table}").bucketBy(n, *keys)
     (writer.sortBy(*order) if order else writer).saveAsTable(table)
     return spark.table(table)
 
