@@ -23,12 +23,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from .unigram import Unigram
 
 #: The vocabulary file; a parameter of every function here.
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
+#: Bytes of text whose words are held at a time, and rows of them; a longer text is alone.
+SLICE_BYTES = 512 << 10
+SLICE_ROWS = 1000
 
 
 def load(path: str = VOCABULARY) -> Unigram:
@@ -53,14 +57,25 @@ def zipf_scores(normal: np.ndarray) -> np.ndarray:
     return -np.log(rank + 2.7) - np.log((1 / (np.arange(normal.sum()) + 2.7)).sum())
 
 
+def slices(batch: pa.RecordBatch, at: int) -> Iterator[pa.RecordBatch]:
+    """The rows of a batch in order, cut so that a task holds the words of little text at a time."""
+    start, held = 0, 0
+    for i, size in enumerate(pc.fill_null(pc.binary_length(batch.column(at)), 0).to_pylist()):
+        if i > start and (held + size > SLICE_BYTES or i - start == SLICE_ROWS):
+            yield batch.slice(start, i - start)
+            start, held = i, 0
+        held += size
+    if start < batch.num_rows:
+        yield batch.slice(start)
+
+
 def encode(docs: DataFrame, path: str = VOCABULARY, text: str = "text", ids: str = "token_ids", check: bool = False) -> DataFrame:
     """The rows with the ids of their text's pieces added; with ``check`` also decoded_sha256 and restored, from the text decoded from them."""
     model, at, names = load(path), docs.columns.index(text), [*docs.columns, ids, *(["decoded_sha256", "restored"] if check else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for start in range(0, whole.num_rows, 1000):
-                batch = whole.slice(start, 1000)
+            for batch in slices(whole, at):
                 texts = batch.column(at).to_pylist()
                 offsets, got = model.encode(texts)
                 cols = [pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(got, pa.int32()))]
@@ -94,8 +109,7 @@ def round_trip(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for start in range(0, whole.num_rows, 1000):
-                batch = whole.slice(start, 1000)
+            for batch in slices(whole, 1):
                 texts = batch.column(1).to_pylist()
                 offsets, ids = model.encode(texts)
                 rows = []

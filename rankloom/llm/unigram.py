@@ -8,8 +8,8 @@ import numpy as np
 
 MARK = "▁"
 PENALTY = 10.0  # of an unknown character, below the least score
-MEMORY = 400_000
-CELLS = 2_000_000
+MEMORY = 250_000  # words
+CELLS = 500_000  # of a search, some 30 bytes each
 
 
 def double_array(keys: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

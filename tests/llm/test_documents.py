@@ -206,6 +206,24 @@ def test_pieces_of_odd_rows(spark, edge, empty, texts):
     assert all((r.text or "") == r.decoded and r.kept for r in back)
 
 
+def test_texts_are_encoded_in_slices_of_few_bytes(spark, model):
+    """A slice was 1,000 texts of any length before."""
+    import pyarrow as pa
+
+    texts = [None, "", "é" * 1000, "a word " * (pieces.SLICE_BYTES // 4), None] + ["some words " * 2000] * 100 + [""] * 2500
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], names=["doc_id", "text"])
+    got = list(pieces.slices(batch, 1))
+    assert pa.Table.from_batches(got).to_pydict() == batch.to_pydict()
+    for part in got:
+        size = sum(len((t or "").encode()) for t in part.column(1).to_pylist())
+        assert 0 < part.num_rows <= 1000 and (size <= pieces.SLICE_BYTES or sum(bool(t) for t in part.column(1).to_pylist()) == 1)
+    assert len(got) >= 7 and list(pieces.slices(batch.slice(0, 0), 1)) == []
+    rows = [(i, t) for i, t in enumerate(texts[2:130])]
+    encoded = pieces.encode(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).select("doc_id", "token_ids").collect()
+    offsets, ids = model.encode([t for _, t in rows])
+    assert {r.doc_id: list(r.token_ids) for r in encoded} == {i: ids[offsets[i]:offsets[i + 1]].tolist() for i, _ in rows}
+
+
 # --- quality and toxicity
 
 
