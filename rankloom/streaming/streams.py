@@ -175,32 +175,50 @@ def _expiry(ttl_ms: int) -> StatefulProcessor:
     """Built here for the same reason as the tally above."""
 
     class Expiry(StatefulProcessor):
-        """Holds a key's newest fetch and reports it once the watermark passes its end."""
+        """Holds the newest fetch of each key of a bucket and reports it once the watermark passes its end.
+
+        A bucket has one timer, for the key that ends first. Its keys are read and
+        written together: a call to the state store costs far more than a key.
+        """
 
         def __init__(self, ttl_ms: int):
             self.ttl_ms = ttl_ms
 
         def init(self, handle: StatefulProcessorHandle) -> None:
             self.handle = handle
-            self.newest = handle.getValueState("newest", "fetched_ms bigint")
+            self.newest = handle.getValueState("newest", "keys array<string>, fetched_ms array<bigint>")
+
+        def load(self) -> dict:
+            return dict(zip(*self.newest.get())) if self.newest.exists() else {}
+
+        def save(self, held: dict, timed: int | None) -> None:
+            first = min(held.values(), default=None)
+            if first != timed:
+                if timed is not None:
+                    self.handle.deleteTimer(timed + self.ttl_ms)
+                if first is not None:
+                    self.handle.registerTimer(first + self.ttl_ms)
+            if held:
+                self.newest.update((list(held), list(held.values())))
+            else:
+                self.newest.clear()
 
         def handleInputRows(self, key, rows, timerValues):  # noqa: N802, N803
-            held = self.newest.get()[0] if self.newest.exists() else None
-            top = held
+            held = self.load()
+            timed = min(held.values(), default=None)
             for batch in rows:
-                m = int(batch["fetched_ms"].max())
-                top = m if top is None else max(top, m)
-            if top != held:
-                if held is not None:
-                    self.handle.deleteTimer(held + self.ttl_ms)
-                self.newest.update((top,))
-                self.handle.registerTimer(top + self.ttl_ms)
-            yield pd.DataFrame({"key": pd.Series([], dtype="str"), "fetched_ms": pd.Series([], dtype="int64")})
+                for k, t in zip(batch["key"].tolist(), batch["fetched_ms"].tolist()):
+                    if pd.notna(t) and (k not in held or t > held[k]):
+                        held[k] = int(t)
+            self.save(held, timed)
+            return iter(())
 
         def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):  # noqa: N802, N803
-            fetched = self.newest.get()[0]
-            self.newest.clear()
-            yield pd.DataFrame({"key": [key[0]], "fetched_ms": [fetched]})
+            held, now = self.load(), timerValues.getCurrentWatermarkInMs()
+            over = {k: t for k, t in held.items() if t + self.ttl_ms <= now}
+            # The timer that fired is gone already.
+            self.save({k: t for k, t in held.items() if k not in over}, None)
+            yield pd.DataFrame({"key": pd.Series(list(over), dtype="object"), "fetched_ms": pd.Series(list(over.values()), dtype="int64")})
 
         def close(self) -> None:
             pass
@@ -208,12 +226,17 @@ def _expiry(ttl_ms: int) -> StatefulProcessor:
     return Expiry(ttl_ms)
 
 
-def expired_entries(fetches: DataFrame, ttl_seconds: int = 24 * 60 * 60, delay: str = "0 seconds") -> DataFrame:
-    """Keys whose newest fetch is older than the time to live, as the watermark moves on."""
+def expired_entries(fetches: DataFrame, ttl_seconds: int = 24 * 60 * 60, delay: str = "0 seconds", buckets: int = 4096) -> DataFrame:
+    """Keys whose newest fetch is older than the time to live, as the watermark moves on.
+
+    Keys share ``buckets`` places of the state store, a few hundred a place for
+    millions of keys; a stream keeps the number that it began with.
+    """
     timed = fetches.withWatermark("fetched_at", delay).select(
-        "key", "fetched_at", F.unix_millis("fetched_at").alias("fetched_ms")
+        F.pmod(F.xxhash64("key"), F.lit(buckets)).alias("bucket"), F.col("key").cast("string").alias("key"),
+        "fetched_at", F.unix_millis("fetched_at").alias("fetched_ms"),
     )
-    return timed.groupBy("key").transformWithStateInPandas(
+    return timed.groupBy("bucket").transformWithStateInPandas(
         _expiry(ttl_seconds * 1000), outputStructType="key string, fetched_ms bigint",
         outputMode="append", timeMode="eventTime",
     )

@@ -428,3 +428,25 @@ def test_entries_expire_a_day_after_their_newest_fetch(spark, tmp_path):
         streams.start(streams.expired_entries(df), chk, out).awaitTermination()
     got = spark.read.schema("key string, fetched_ms bigint").parquet(out).collect()
     assert [r["key"] for r in got] == ["k"]
+
+
+def test_f15_keys_that_expire_share_few_places_of_the_state(spark, tmp_path, monkeypatch):
+    """One place a key before: two calls to the state store and two for its timer for each. Here all 300 keys share one place, and only those whose time is over go."""
+    streams.use_rocksdb(spark)
+    chk, out = str(tmp_path / "chk"), str(tmp_path / "out")
+    day = lambda d, n: f"2026-08-{d}T00:{n // 60:02}:{n % 60:02}Z"
+    arrivals = [
+        [(f"k{n}", day(17, n)) for n in range(300)] + [("k7", day(16, 7))],
+        [(f"k{n}", day(17, 1200 + n)) for n in range(0, 300, 3)] + [("clock", day(18, 150))],
+        [("k1", day(18, 200)), ("clock", day(18, 1250))],
+    ]
+    for i, rows_ in enumerate(arrivals):
+        write(tmp_path / "in" / f"{i}.jsonl", *[json.dumps({"key": k, "fetched_at": t}) for k, t in rows_])
+        df = streams.read_log(spark, str(tmp_path / "in"), "key string, fetched_at timestamp")
+        streams.start(streams.expired_entries(df, buckets=1), chk, out).awaitTermination()
+    got = [(r["key"], r["fetched_ms"]) for r in spark.read.schema("key string, fetched_ms bigint").parquet(out).collect()]
+    base = 1786924800000
+    late = {f"k{n}": base + 1000 * n for n in range(300) if n % 3}
+    again = {f"k{n}": base + 1000 * (1200 + n) for n in range(0, 51, 3)}
+    # k1 was over before its second fetch came.
+    assert sorted(got) == sorted((late | again).items())
