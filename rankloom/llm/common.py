@@ -20,6 +20,16 @@ def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+#: Rows and bytes of rows that a task hands to Python at a time.
+BATCH_ROWS, BATCH_BYTES = 1000, 2 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """From now on the session's Arrow batches are small: those of whole texts stand in memory several times, in the executor and in its workers."""
+    for key, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        spark.conf.set(f"spark.sql.execution.arrow.{key}", str(most))
+
+
 def whole(text: Column) -> Column:
     """Text with null read as empty."""
     return F.coalesce(text.cast("string"), F.lit(""))

@@ -54,20 +54,35 @@ def sample(docs: DataFrame, labels: DataFrame, folds: int, held: int, max_rows:
         F.broadcast(known), F.col("doc_id") == F.col("_id")).select("text", "label")
 
 
+#: Entries whose counts a task holds before it hands them on.
+HELD = 100_000
+
+
+def entry_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(entry, bad, fine): toxic and other rows (text, label) that hold an entry, added up over batches as far as ``HELD`` allows."""
+    seen = (Counter(), Counter())
+
+    def counted() -> pd.DataFrame:
+        keys = list(seen[1].keys() | seen[0].keys())
+        return pd.DataFrame({"entry": keys, "bad": [seen[1][k] for k in keys], "fine": [seen[0][k] for k in keys]})
+
+    for batch in batches:
+        for text, label in zip(batch["text"], batch["label"]):
+            seen[label].update({e for t in set(V.tokens_of(text)) for e in V.entries_of(t)})
+            if len(seen[0]) + len(seen[1]) >= HELD:
+                yield counted()
+                for held in seen:
+                    held.clear()
+    if any(seen):
+        yield counted()
+
+
 def induced(rows: DataFrame, least: int = 3, size: int = 4000, z: float = 4.0) -> dict[str, float]:
     """Entries whose share of toxic rows exceeds their share of others by ``z`` standard errors, at most ``size``, with the ratio of the shares."""
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            seen = (Counter(), Counter())
-            for text, label in zip(batch["text"], batch["label"]):
-                seen[label].update({e for t in set(V.tokens_of(text)) for e in V.entries_of(t)})
-            keys = list(set(seen[0]) | set(seen[1]))
-            yield pd.DataFrame({"entry": keys, "bad": [seen[1][k] for k in keys], "fine": [seen[0][k] for k in keys]})
-
     n = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
     if len(n) < 2:
         return {}
-    per = rows.mapInPandas(count, "entry string, bad long, fine long").groupBy("entry").agg(
+    per = rows.mapInPandas(entry_counts, "entry string, bad long, fine long").groupBy("entry").agg(
         F.sum("bad").alias("bad"), F.sum("fine").alias("fine")).where(F.col("bad") >= least)
     p, q = (F.col("bad") + 0.5) / (n[1] + 1), (F.col("fine") + 0.5) / (n[0] + 1)
     both = (F.col("bad") + F.col("fine") + 1) / (n[0] + n[1] + 2)

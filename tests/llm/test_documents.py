@@ -296,6 +296,19 @@ def test_voters_see_through_symbols_and_digits():
     assert hits[0, 0] == 1 and hits[0, -1] == 1 and hits[1, -2] == 1 and hits[2].sum() == 2 and hits[3:].sum() == 0
 
 
+def test_entry_counts_hold_few_entries_whatever_a_task_reads(monkeypatch):
+    monkeypatch.setattr(toxicity, "HELD", 500)
+    rows = [(" ".join(f"word{(i * 7 + k) % 900}" for k in range(20)), i % 2) for i in range(300)]
+    batches = [toxicity.pd.DataFrame(rows[at:at + 100], columns=["text", "label"]) for at in (0, 100, 200)]
+    got = list(toxicity.entry_counts(iter(batches)))
+    assert len(got) > 3 and max(map(len, got)) < 700
+    want = (Counter(), Counter())
+    for text, label in rows:
+        want[label].update({e for t in set(voters.tokens_of(text)) for e in voters.entries_of(t)})
+    sums = toxicity.pd.concat(got).groupby("entry").sum()
+    assert {e: (r.bad, r.fine) for e, r in sums.iterrows()} == {e: (want[1][e], want[0][e]) for e in want[0].keys() | want[1].keys()}
+
+
 # --- mixing
 
 def test_targets_by_hand():

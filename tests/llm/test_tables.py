@@ -7,6 +7,7 @@ import gzip
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
@@ -172,6 +173,22 @@ def test_stages_on_odd_and_empty_tables(spark, edge, empty, at):
     assert stage(spark, empty, SMALL).count() == 0
 
 
+@pytest.mark.parametrize("at", range(5))
+def test_stages_hand_texts_to_python_in_small_batches(spark, edge, at):
+    for key in ("maxRecordsPerBatch", "maxBytesPerBatch"):
+        spark.conf.unset(f"spark.sql.execution.arrow.{key}")
+    corpus_pipeline.STAGES[at][1](spark, edge, SMALL)
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"n": [b.num_rows], "size": [b.nbytes]})
+
+    short = spark.range(5000).coalesce(1).mapInArrow(sizes, "n long, size long").collect()
+    assert sum(r.n for r in short) == 5000 and max(r.n for r in short) <= 1000
+    wide = spark.range(300).coalesce(1).selectExpr("repeat('x', 100000) text").mapInArrow(sizes, "n long, size long").collect()
+    assert sum(r.n for r in wide) == 300 and max(r.size for r in wide) < 4 << 20
+
+
 def test_near_duplicate_stage_keeps_one_of_each_group(spark):
     text = " ".join(f"v{i}" for i in range(60))
     docs = spark.createDataFrame([(5, text), (2, text + " end"), (9, text.upper()), (1, "alone here"), (3, None)], "doc_id long, text string")
