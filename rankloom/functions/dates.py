@@ -39,6 +39,11 @@ _HTML_PATTERNS = [
 ]
 
 
+def _match(s: Column, pattern: str) -> Column:
+    """What a pattern finds, null for nothing: its groups are then read off this short text, and casts of an empty one never fail."""
+    return F.nullif(F.regexp_extract(s, pattern, 0), F.lit(""))
+
+
 def _first_in_window(now: Column, *instants: Column) -> Column:
     """First instant from the year 2000 up to a day past now, as a DATE."""
     start, end = F.lit("2000-01-01").cast("timestamp"), now + F.expr("interval 1 day")
@@ -53,26 +58,32 @@ def _rolled(year: Column, month: Column, day: Column) -> Column:
 
 def _relative(s: Column, now: Column) -> Column:
     def instant(t: Column) -> Column:
-        n = F.regexp_extract(t, _RELATIVE, 1).try_cast("bigint")
-        units = F.create_map(*[x for k, secs in UNIT_SECONDS.items() for x in (F.lit(k), F.lit(secs))])
-        secs = F.try_element_at(units, F.regexp_extract(t, _RELATIVE, 2))
-        ago = F.try_multiply(n, secs)
-        now_s = F.unix_timestamp(now)
+        def before(phrase: Column) -> Column:
+            n = F.regexp_extract(phrase, _RELATIVE, 1).try_cast("bigint")
+            units = F.create_map(*[x for k, secs in UNIT_SECONDS.items() for x in (F.lit(k), F.lit(secs))])
+            secs = F.try_element_at(units, F.regexp_extract(phrase, _RELATIVE, 2))
+            ago = F.try_multiply(n, secs)
+            now_s = F.unix_timestamp(now)
+            return F.timestamp_seconds(F.when(ago <= now_s, now_s - ago))
+
         return (
             F.when(t.rlike(r"^today\b"), now)
             .when(t.rlike(r"^yesterday\b"), now - F.expr("interval 1 day"))
-            .otherwise(F.timestamp_seconds(F.when(ago <= now_s, now_s - ago)))
+            .otherwise(let(_match(t, _RELATIVE), before))
         )
 
     return let(trim_ws(F.lower(s)), instant)
 
 
 def _wordy(s: Column) -> Column:
-    key = F.lower(F.substring(F.regexp_extract(s, _WORDY, 1), 1, 3))
-    month = F.array_position(F.array(*[F.lit(m) for m in MONTHS]), key).cast("int")
-    day = F.regexp_extract(s, _WORDY, 2).try_cast("int")
-    year = F.regexp_extract(s, _WORDY, 3).try_cast("int")
-    return F.when((month > 0) & (year >= 1999), _rolled(year, month, day))
+    def dated(found: Column) -> Column:
+        key = F.lower(F.substring(F.regexp_extract(found, _WORDY, 1), 1, 3))
+        month = F.array_position(F.array(*[F.lit(m) for m in MONTHS]), key).cast("int")
+        day = F.regexp_extract(found, _WORDY, 2).try_cast("int")
+        year = F.regexp_extract(found, _WORDY, 3).try_cast("int")
+        return F.when((month > 0) & (year >= 1999), _rolled(year, month, day))
+
+    return let(_match(s, _WORDY), dated)
 
 
 def relative_date(s: Column, now: Column) -> Column:
@@ -107,10 +118,13 @@ def date_from_content(content: Column, now: Column) -> Column:
 
 
 def date_from_url(url: Column, now: Column) -> Column:
-    year = F.regexp_extract(url, _IN_PATH, 1).try_cast("int")
-    month = F.regexp_extract(url, _IN_PATH, 2).try_cast("int")
-    day = F.coalesce(F.regexp_extract(url, _IN_PATH, 3).try_cast("int"), F.lit(1))
-    return _first_in_window(now, F.when(year.isNotNull(), _rolled(year, month, day)))
+    def dated(path: Column) -> Column:
+        year = F.regexp_extract(path, _IN_PATH, 1).try_cast("int")
+        month = F.regexp_extract(path, _IN_PATH, 2).try_cast("int")
+        day = F.coalesce(F.nullif(F.regexp_extract(path, _IN_PATH, 3), F.lit("")).try_cast("int"), F.lit(1))
+        return _first_in_window(now, F.when(year.isNotNull(), _rolled(year, month, day)))
+
+    return let(_match(url, _IN_PATH), dated)
 
 
 def date_from_metadata(meta: Column, now: Column) -> Column:

@@ -47,7 +47,7 @@ def clip(text: Column, limit: int) -> Column:
 def clean_markdown(md: Column, limit: int = CONTENT_CHARS) -> Column:
     """Drop carriage returns, lines that are only a link, and blank runs; then clip."""
     text = F.regexp_replace(md, "\r", "")
-    text = F.regexp_replace(text, _LINK_LINE, "")
+    text = F.when(F.contains(md, F.lit("]")), F.regexp_replace(text, _LINK_LINE, "")).otherwise(text)  # a link has one
     text = trim_ws(F.regexp_replace(text, r"\n{3,}", "\n\n"))
     return F.when(F.length(text) > limit, F.concat(clip(text, limit), F.lit(ELLIPSIS))).otherwise(text)
 

@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import dates as D
+from ..functions.binding import let
 from ..functions.text import clean_markdown, clip, title_key
 from ..functions.urls import host
 
@@ -108,17 +109,18 @@ def normalize(responses: DataFrame, layout: DataFrame, now: Column, contents: Da
     rows = rows.withColumn("snippet", F.when(F.col("snippet_field").isNotNull(), F.col("_given")).otherwise(own))
 
     def rung(name, date: Column) -> Column:
-        return F.struct(date.alias("published"), (F.lit(name) if isinstance(name, str) else name).alias("dated_by"))
+        named = F.lit(name) if isinstance(name, str) else name
+        return let(date, lambda d: F.when(d.isNotNull(), F.struct(d.alias("published"), named.alias("dated_by"))))
 
     key = title_key(F.col("_title"))
     hits = F.filter("_news", lambda x: (x["k"] == key) & (key != "") & x["d"].isNotNull())
-    native = F.transform("dates", lambda f: rung(f, D.parse_published(at(r, f, "string"), now)))
-    ladder = F.concat(
-        F.array(rung("metadata", D.date_from_metadata(at(r, F.col("metadata"), "map<string,string>"), now)), rung("news", F.try_element_at(hits, F.lit(-1))["d"])),
-        native,
-        F.array(rung("snippet", D.date_from_snippet(F.col("snippet"), now)), rung("content", D.date_from_content(F.col("content"), now)),
-                rung("url", D.date_from_url(F.col("url"), now)), rung("none", F.lit(None).cast("date"))))
-    first = F.try_element_at(F.filter(ladder, lambda x: x["published"].isNotNull() | (x["dated_by"] == "none")), F.lit(1))
+    native = F.filter(F.transform("dates", lambda f: rung(f, D.parse_published(at(r, f, "string"), now))), lambda x: x.isNotNull())
+    # A rung is only tried where those before it give no date.
+    first = F.coalesce(
+        rung("metadata", D.date_from_metadata(at(r, F.col("metadata"), "map<string,string>"), now)), rung("news", F.try_element_at(hits, F.lit(-1))["d"]),
+        F.try_element_at(native, F.lit(1)),
+        rung("snippet", D.date_from_snippet(F.col("snippet"), now)), rung("content", D.date_from_content(F.col("content"), now)),
+        rung("url", D.date_from_url(F.col("url"), now)), F.struct(F.lit(None).cast("date").alias("published"), F.lit("none").alias("dated_by")))
     return rows.withColumn("_dated", first).select(
         "query_id", "provider", "seq", "pos",
         F.coalesce("_title", "url").alias("title"), "url", F.col("_dated.published").cast("string").alias("published"),

@@ -1,5 +1,7 @@
 """URLs, dates, text, verdicts."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -168,3 +170,11 @@ def test_lifted_rules_equal_inline_ones(spark):
     assert " transform(" not in lifted._jdf.queryExecution().optimizedPlan().toString()
     plain = df.select("*", *[r().alias(n) for n, r in rules.items()])
     assert sorted(map(repr, lifted.collect())) == sorted(map(repr, plain.collect()))
+
+
+def test_date_rules_scan_a_text_once_for_each_pattern(spark):
+    """Groups are read off what a pattern found, not off the whole text again."""
+    for rule, texts in ((dates.date_from_content, ["_let0", "_let1"]), (dates.date_from_url, ["s"])):
+        df = with_rules(spark.createDataFrame([("x",)], "s string"), d=lambda: rule(F.col("s"), F.lit(NOW).cast("timestamp")))
+        read = re.findall(r"regexp_extract\((\w+)#", df._jdf.queryExecution().analyzed().toString())
+        assert [read.count(t) for t in texts] == [1] * len(texts)
