@@ -67,9 +67,9 @@ def _text(given: Column, text: Column, parts: Column) -> Column:
 
 
 def last_contents(contents: DataFrame) -> DataFrame:
-    """(page, fetched): the text that was fetched last for each URL, of rows (url, seq, content)."""
-    last = contents.groupBy("url").agg(F.max("seq").alias("seq"))
-    return contents.join(last, ["url", "seq"]).select(F.col("url").alias("page"), F.col("content").alias("fetched"))
+    """(page, fetched): the text that was fetched last for each URL, of rows (url, seq, content); of equal seq the greatest."""
+    last = contents.where("url is not null and seq is not null").groupBy("url").agg(F.max(F.struct("seq", "content")).alias("last"))
+    return last.select(F.col("url").alias("page"), F.col("last.content").alias("fetched"))
 
 
 def normalize(responses: DataFrame, layout: DataFrame, now: Column, contents: DataFrame | None = None) -> DataFrame:
@@ -78,7 +78,8 @@ def normalize(responses: DataFrame, layout: DataFrame, now: Column, contents: Da
     ``responses`` carries provider, query_id, seq, body, num_sources and
     extraction. ``contents`` (url, seq, content) supplies page texts fetched
     separately for layouts whose rule says so. News dates are matched by title
-    inside the same response, the last one winning.
+    inside the same response, the last one winning. ``sent`` is false where the
+    response left out the field that the snippet comes from.
     """
     rows = responses.join(layout.withColumnsRenamed({"url": "url_field", "snippet": "snippet_field", "content": "rule", "text": "text_field"}), "provider")
     rows = rows.withColumn("_v", F.try_parse_json("body"))
@@ -92,11 +93,11 @@ def normalize(responses: DataFrame, layout: DataFrame, now: Column, contents: Da
     r = F.col("r")
     rows = rows.withColumns({
         "url": at(r, F.col("url_field"), "string"), "_title": at(r, F.lit("title"), "string"),
-        "_given": F.coalesce(at(r, F.col("snippet_field"), "string"), F.lit("")),
+        "_given": at(r, F.col("snippet_field"), "string"),
         "_text": at(r, F.col("text_field"), "string"), "_parts": at(r, F.col("text_field"), "array<string>"),
     })
-    clean = F.col("extraction") == "clean"
-    rows = rows.withColumn("_clean", clean_markdown(_text(F.col("_given"), F.col("_text"), F.col("_parts"))))
+    given, clean, described = F.coalesce("_given", F.lit("")), F.col("extraction") == "clean", F.col("snippet_field").isNotNull()
+    rows = rows.withColumn("_clean", clean_markdown(_text(given, F.col("_text"), F.col("_parts"))))
     fetched = F.lit(None).cast("string")
     if contents is not None:
         rows = rows.join(last_contents(contents), (F.col("rule") == "fetched") & (F.col("url") == F.col("page")), "left")
@@ -106,7 +107,8 @@ def normalize(responses: DataFrame, layout: DataFrame, now: Column, contents: Da
     rows = rows.withColumn("content", F.when(F.col("rule") == "fetched", fetched).when(~raw_only, F.col("_clean")))
     unasked = F.when(F.col("rule") == "joined", F.col("_clean")).when(F.col("rule") == "long_text", F.col("_text"))
     own = F.coalesce(F.when(F.coalesce("content", F.lit("")) != "", clip(F.col("content"), SNIPPET_CHARS)), unasked, F.lit(""))
-    rows = rows.withColumn("snippet", F.when(F.col("snippet_field").isNotNull(), F.col("_given")).otherwise(own))
+    rows = rows.withColumn("snippet", F.when(described, given).otherwise(own))
+    sent = F.when(described, F.col("_given").isNotNull()).when(F.col("rule") == "long_text", F.col("_text").isNotNull()).otherwise(True)
 
     def rung(name, date: Column) -> Column:
         named = F.lit(name) if isinstance(name, str) else name
@@ -124,7 +126,7 @@ def normalize(responses: DataFrame, layout: DataFrame, now: Column, contents: Da
     return rows.withColumn("_dated", first).select(
         "query_id", "provider", "seq", "pos",
         F.coalesce("_title", "url").alias("title"), "url", F.col("_dated.published").cast("string").alias("published"),
-        "_dated.dated_by", host(F.col("url")).alias("domain"), "snippet", "content",
+        "_dated.dated_by", host(F.col("url")).alias("domain"), "snippet", "content", sent.alias("sent"),
     )
 
 

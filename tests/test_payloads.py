@@ -1,10 +1,13 @@
 """Provider responses under the layout table."""
 
 import json
+from collections import Counter
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from rankloom.sources import payloads
 
 NOW = "2026-08-18 00:00:00"
@@ -65,3 +68,36 @@ def test_odd_bodies_hold_no_results(spark, read):
     df = spark.createDataFrame([(p, "q", i, b if isinstance(b, str) or b is None else json.dumps(b), 5, "clean") for p in ("serper", "exa") for i, b in enumerate([*bodies, {"organic": [{"link": "u"}]}])], SCHEMA)
     got = payloads.empty_responses(df, payloads.layouts(spark)).collect()
     assert sorted((r.provider, r.seq) for r in got) == [("serper", i) for i in range(len(bodies))]
+
+
+def test_of_texts_fetched_at_once_one_is_taken(spark, read):
+    contents = spark.createDataFrame([("u", 1, "a"), ("u", 2, "b"), ("u", 2, "c"), ("u", 2, "c"), (None, 3, "d")], "url string, seq long, content string")
+    assert [(r["title"], r["content"]) for r in read([("bright_data", {"organic": [{"title": "1", "link": "u"}]}, 5, "clean")], contents)] == [("1", "c")]
+
+
+def test_a_snippet_that_was_not_sent_is_told_from_an_empty_one(read):
+    items = [{"url": "u"}, {"url": "u", "description": ""}, {"url": "u", "snippet": "s"}]
+    got = read([("brave", {"web": {"results": items}}, 5, "clean"), ("perplexity", {"results": items}, 5, "clean"), ("exa", {"results": items}, 5, "clean")])
+    assert [(r["provider"], r["snippet"], r["sent"]) for r in got] == [
+        ("brave", "", False), ("brave", "", True), ("brave", "", False), ("perplexity", "", False), ("perplexity", "", False), ("perplexity", "s", True),
+        ("exa", "", True), ("exa", "", True), ("exa", "", True)]
+
+
+@pytest.mark.parametrize("odd", [
+    "select * from d where doc_id % 7 not in (2, 3)",
+    "select * from d union all select doc_id + 100003, text, lang, source, n_chars from d",
+    "select * from d union all select * from d where doc_id % 11 = 2",
+    "select doc_id - 103 as doc_id, text, lang, source, n_chars from d",
+    "select case when doc_id % 13 <> 4 then doc_id end as doc_id, text, lang, source, n_chars from d",
+    "select doc_id, case when doc_id % 7 <> 3 then text end as text, lang, case when doc_id % 5 <> 1 then source end as source, n_chars from d",
+    "select doc_id, case doc_id % 7 when 3 then '' when 4 then ' ' || chr(10) else text end as text, lang, case when doc_id % 5 <> 1 then source else '' end as source, n_chars from d",
+], ids=["gaps", "shifted", "repeated", "negative", "no ids", "nulls", "empty"])
+def test_odd_documents_give_the_rows_of_the_sql(spark, tmp_path, odd):
+    con = duckdb.connect()
+    con.sql("create view d as select * from '/root/testdata/sf0.001/documents.parquet'")
+    con.sql(f"copy ({odd}) to '{tmp_path}/documents.parquet'")
+    con.sql(f"create view documents as select * from '{tmp_path}/documents.parquet'")
+    df = entry.queries()["s13_payload_sources"](spark, str(tmp_path))
+    want = con.sql(entry.oracle_sql()["s13_payload_sources"])
+    at = [want.columns.index(c) for c in df.columns]
+    assert Counter(map(tuple, df.collect())) == Counter(tuple(r[i] for i in at) for r in want.fetchall())
