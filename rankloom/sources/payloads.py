@@ -77,11 +77,14 @@ def normalize(responses: DataFrame, layout: DataFrame, now: Column, contents: Da
 
     ``responses`` carries provider, query_id, seq, body, num_sources and
     extraction. ``contents`` (url, seq, content) supplies page texts fetched
-    separately for layouts whose rule says so. News dates are matched by title
-    inside the same response, the last one winning. ``sent`` is false where the
-    response left out the field that the snippet comes from.
+    separately for layouts whose rule says so; with it, finished rows are dealt
+    by URL, so callers that know which responses need it pass only those. News
+    dates are matched by title inside the same response, the last one winning.
+    ``sent`` is false where the response left out the field that the snippet
+    comes from.
     """
-    rows = responses.join(layout.withColumnsRenamed({"url": "url_field", "snippet": "snippet_field", "content": "rule", "text": "text_field"}), "provider")
+    layout = layout.withColumnsRenamed({"url": "url_field", "snippet": "snippet_field", "content": "rule", "text": "text_field"})
+    rows = responses.join(F.broadcast(layout), "provider")
     rows = rows.withColumn("_v", F.try_parse_json("body"))
     results, n = _results(F.col("_v")), F.col("num_sources")
     picked = F.when(F.col("slice_first"), F.filter(F.slice(results, F.lit(1), n), _has_url)).otherwise(F.slice(F.filter(results, _has_url), F.lit(1), n))
@@ -89,26 +92,16 @@ def normalize(responses: DataFrame, layout: DataFrame, now: Column, contents: Da
         title_key(at(x, F.lit("title"), "string")).alias("k"), D.parse_published(at(x, F.lit("date"), "string"), now).alias("d")))
     rows = rows.withColumn("_news", dated).withColumn("_picked", picked).drop("_v", "body")
     keep = ["provider", "query_id", "seq", "extraction", "rule", "snippet_field", "text_field", "url_field", "dates", "metadata", "_news"]
-    rows = rows.select(*keep, F.posexplode("_picked").alias("pos", "r"))
+    # Outer, as a filter on the size of the results would parse each body once more.
+    rows = rows.select(*keep, F.posexplode_outer("_picked").alias("pos", "r")).where("pos is not null")
     r = F.col("r")
     rows = rows.withColumns({
         "url": at(r, F.col("url_field"), "string"), "_title": at(r, F.lit("title"), "string"),
         "_given": at(r, F.col("snippet_field"), "string"),
         "_text": at(r, F.col("text_field"), "string"), "_parts": at(r, F.col("text_field"), "array<string>"),
     })
-    given, clean, described = F.coalesce("_given", F.lit("")), F.col("extraction") == "clean", F.col("snippet_field").isNotNull()
+    given, clean, fetches, described = F.coalesce("_given", F.lit("")), F.col("extraction") == "clean", F.col("rule") == "fetched", F.col("snippet_field").isNotNull()
     rows = rows.withColumn("_clean", clean_markdown(_text(given, F.col("_text"), F.col("_parts"))))
-    fetched = F.lit(None).cast("string")
-    if contents is not None:
-        rows = rows.join(last_contents(contents), (F.col("rule") == "fetched") & (F.col("url") == F.col("page")), "left")
-        fetched = F.when(clean, F.col("fetched"))
-    # Excerpts and long texts come whether or not they were asked for, so a raw call has them as its snippet only.
-    raw_only = F.col("rule").isin("joined", "long_text") & ~clean
-    rows = rows.withColumn("content", F.when(F.col("rule") == "fetched", fetched).when(~raw_only, F.col("_clean")))
-    unasked = F.when(F.col("rule") == "joined", F.col("_clean")).when(F.col("rule") == "long_text", F.col("_text"))
-    own = F.coalesce(F.when(F.coalesce("content", F.lit("")) != "", clip(F.col("content"), SNIPPET_CHARS)), unasked, F.lit(""))
-    rows = rows.withColumn("snippet", F.when(described, given).otherwise(own))
-    sent = F.when(described, F.col("_given").isNotNull()).when(F.col("rule") == "long_text", F.col("_text").isNotNull()).otherwise(True)
 
     def rung(name, date: Column) -> Column:
         named = F.lit(name) if isinstance(name, str) else name
@@ -117,16 +110,33 @@ def normalize(responses: DataFrame, layout: DataFrame, now: Column, contents: Da
     key = title_key(F.col("_title"))
     hits = F.filter("_news", lambda x: (x["k"] == key) & (key != "") & x["d"].isNotNull())
     native = F.filter(F.transform("dates", lambda f: rung(f, D.parse_published(at(r, f, "string"), now))), lambda x: x.isNotNull())
+    # Excerpts and long texts come whether or not they were asked for, so a raw call has them as its snippet only.
+    raw_only = F.col("rule").isin("joined", "long_text") & ~clean
+    unasked = F.when(F.col("rule") == "joined", F.col("_clean")).when(F.col("rule") == "long_text", F.col("_text"))
+
+    def with_snippet(df: DataFrame, content: Column, *instead: Column) -> DataFrame:
+        own = F.coalesce(F.when(F.coalesce("content", F.lit("")) != "", clip(F.col("content"), SNIPPET_CHARS)), *instead, F.lit(""))
+        return df.withColumn("content", content).withColumn("snippet", F.when(described, given).otherwise(own))
+
+    # All that needs the result itself or its whole text, before rows are dealt by URL.
+    rows = with_snippet(rows, F.when(~fetches & ~raw_only, F.col("_clean")), unasked)
     # A rung is only tried where those before it give no date.
+    rows = rows.select(
+        "query_id", "provider", "seq", "pos", "extraction", "rule", "snippet_field", "_given", "url", "_title", "content", "snippet",
+        F.when(described, F.col("_given").isNotNull()).when(F.col("rule") == "long_text", F.col("_text").isNotNull()).otherwise(True).alias("sent"),
+        F.coalesce(
+            rung("metadata", D.date_from_metadata(at(r, F.col("metadata"), "map<string,string>"), now)), rung("news", F.try_element_at(hits, F.lit(-1))["d"]),
+            F.try_element_at(native, F.lit(1))).alias("_stated"))
+    if contents is not None:
+        rows = rows.join(last_contents(contents), fetches & (F.col("url") == F.col("page")), "left")
+        rows = with_snippet(rows, F.when(fetches, F.when(clean, F.col("fetched"))).otherwise(F.col("content")), F.when(~fetches, F.col("snippet")))
     first = F.coalesce(
-        rung("metadata", D.date_from_metadata(at(r, F.col("metadata"), "map<string,string>"), now)), rung("news", F.try_element_at(hits, F.lit(-1))["d"]),
-        F.try_element_at(native, F.lit(1)),
-        rung("snippet", D.date_from_snippet(F.col("snippet"), now)), rung("content", D.date_from_content(F.col("content"), now)),
+        "_stated", rung("snippet", D.date_from_snippet(F.col("snippet"), now)), rung("content", D.date_from_content(F.col("content"), now)),
         rung("url", D.date_from_url(F.col("url"), now)), F.struct(F.lit(None).cast("date").alias("published"), F.lit("none").alias("dated_by")))
     return rows.withColumn("_dated", first).select(
         "query_id", "provider", "seq", "pos",
         F.coalesce("_title", "url").alias("title"), "url", F.col("_dated.published").cast("string").alias("published"),
-        "_dated.dated_by", host(F.col("url")).alias("domain"), "snippet", "content", sent.alias("sent"),
+        "_dated.dated_by", host(F.col("url")).alias("domain"), "snippet", "content", "sent",
     )
 
 

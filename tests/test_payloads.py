@@ -101,3 +101,21 @@ def test_odd_documents_give_the_rows_of_the_sql(spark, tmp_path, odd):
     want = con.sql(entry.oracle_sql()["s13_payload_sources"])
     at = [want.columns.index(c) for c in df.columns]
     assert Counter(map(tuple, df.collect())) == Counter(tuple(r[i] for i in at) for r in want.fetchall())
+
+
+def test_texts_are_dealt_as_documents_and_as_fetched_pages_only(spark):
+    """Without broadcasts by size, as on large tables: bodies, results and finished rows of the other layouts stay where they are made."""
+    status = spark.sparkContext._jsc.sc()
+
+    def shuffled():
+        status.listenerBus().waitUntilEmpty(30_000)
+        return status.statusStore().executorSummary("driver").totalShuffleWrite()
+
+    whole = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select(F.sum(F.octet_length("text"))).first()[0]
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        before = shuffled()
+        entry.queries()["s13_payload_sources"](spark, "/root/testdata/sf0.001").write.format("noop").mode("overwrite").save()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert shuffled() - before < 1.5 * whole
